@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from roadweave.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from roadweave.llm.token_files import op6_token_files
+from roadweave.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_token_files": op6_token_files,
+    "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
