@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from roadweave.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from roadweave.llm.html_extract import op10_html_extract
+from roadweave.llm.quality import op7_quality
 from roadweave.llm.token_files import op6_token_files
 from roadweave.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_token_files": op6_token_files,
+    "op7_quality": op7_quality,
     "op9_warc": op9_warc,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {
