@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
         if not n:
             continue
         col = batch.column(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         total = 0
         for i in range(n):
             total += int(sizes[i])
