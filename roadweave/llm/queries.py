@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadweave.llm.embedding_dedup import op4_embedding_dedup
 from roadweave.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from roadweave.llm.html_extract import op10_html_extract
+from roadweave.llm.mixing import op3_mix
 from roadweave.llm.quality import op7_quality
 from roadweave.llm.token_files import op6_token_files
+from roadweave.llm.toxicity import op2_toxicity
 from roadweave.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_mix": op3_mix,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_token_files": op6_token_files,
     "op7_quality": op7_quality,
     "op9_warc": op9_warc,
