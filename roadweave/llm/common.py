@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -45,11 +46,30 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (with __ for a dot) for the actions inside alone."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so that its lineage ends there."""
+    """Writes df to the shared folder and reads it again, so that its lineage ends there.
+
+    Its shuffle files go at the end of the write, since nothing reads them again, and Arrow batches are bounded
+    in bytes, for tables with some very long texts.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxBytesPerBatch="33554432"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

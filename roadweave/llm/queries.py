@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from roadweave.llm.embedding_dedup import op4_embedding_dedup
 from roadweave.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from roadweave.llm.html_extract import op10_html_extract
+from roadweave.llm.jaccard_join import op8_jaccard_join
 from roadweave.llm.mixing import op3_mix
 from roadweave.llm.quality import op7_quality
 from roadweave.llm.token_files import op6_token_files
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_token_files": op6_token_files,
     "op7_quality": op7_quality,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_warc": op9_warc,
     "op10_html_extract": op10_html_extract,
 }
