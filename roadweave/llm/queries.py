@@ -12,6 +12,7 @@ from roadweave.llm.html_extract import op10_html_extract
 from roadweave.llm.jaccard_join import op8_jaccard_join
 from roadweave.llm.mixing import op3_mix
 from roadweave.llm.quality import op7_quality
+from roadweave.llm.sentencepiece_scan import op5_sentencepiece
 from roadweave.llm.token_files import op6_token_files
 from roadweave.llm.toxicity import op2_toxicity
 from roadweave.llm.warc import op9_warc
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mix": op3_mix,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_token_files": op6_token_files,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,

@@ -119,7 +119,7 @@ class Encoder:
     `most` runs.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 120_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, most
@@ -132,8 +132,8 @@ class Encoder:
         if len(cache) + len(fresh) > self.most:
             cache.clear()
             fresh = list(set().union(*runs))
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
+        for at in range(0, len(fresh), 4_000):
+            part = fresh[at : at + 4_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for w, e in zip(part, found):
                 cache[w] = np.array(e.ids, dtype="<u4").tobytes()
@@ -156,7 +156,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         stats = [0, 0]
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", 1 << 20):
                 for i, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                     raw += end
                     stats[0] += 1
