@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -194,19 +195,37 @@ def line_length(line: Line) -> float:
     return sum(max(math.hypot(b[0] - a[0], b[1] - a[1]), 1e-9) for a, b in zip(line, line[1:]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once per row, so that nested formulas don't multiply in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def projected(x: Column, y: Column, line: Line) -> Column:
     """struct(s_m, offset_m): the place along a polyline and the signed offset; the first of equally near segments counts.
 
-    An expression over literals, so rows are projected within their stage, without a join.
+    An expression over a literal array of segments: rows are projected within their stage, without a join, and the
+    plan's size does not depend on what else uses the result.
     """
     parts, at = [], 0.0
     for k, (a, b) in enumerate(zip(line, line[1:])):
         dx, dy = b[0] - a[0], b[1] - a[1]
         n = max(math.hypot(dx, dy), 1e-9)
-        t = F.least(F.greatest(((x - a[0]) * dx + (y - a[1]) * dy) / (n * n), F.lit(0.0)), F.lit(1.0))
-        ex, ey = x - (a[0] + t * dx), y - (a[1] + t * dy)
-        d2 = ex * ex + ey * ey
-        parts.append(F.struct(d2.alias("d2"), F.lit(k).alias("k"), (at + t * n).alias("s_m"), (F.signum(dx * ey - dy * ex) * F.sqrt(d2)).alias("offset_m")))
+        parts.append(F.struct(*(F.lit(v).alias(c) for c, v in (("k", k), ("ax", a[0]), ("ay", a[1]), ("dx", dx), ("dy", dy), ("n", n), ("at", at)))))
         at += n
-    best = F.array_min(F.array(*parts))
-    return F.when(x.isNotNull() & y.isNotNull(), F.struct(best["s_m"].alias("s_m"), best["offset_m"].alias("offset_m")))
+
+    def nearest(g: Column) -> Column:
+        t = F.least(F.greatest(((x - g["ax"]) * g["dx"] + (y - g["ay"]) * g["dy"]) / (g["n"] * g["n"]), F.lit(0.0)), F.lit(1.0))
+
+        def offset(t: Column) -> Column:
+            e = F.struct((x - (g["ax"] + t * g["dx"])).alias("x"), (y - (g["ay"] + t * g["dy"])).alias("y"))
+
+            def placed(e: Column) -> Column:
+                d2 = e["x"] * e["x"] + e["y"] * e["y"]
+                return F.struct(d2.alias("d2"), g["k"].alias("k"), (g["at"] + t * g["n"]).alias("s_m"), (F.signum(g["dx"] * e["y"] - g["dy"] * e["x"]) * F.sqrt(d2)).alias("offset_m"))
+
+            return let(e, placed)
+
+        return let(t, offset)
+
+    best = F.array_min(F.transform(F.array(*parts), nearest))
+    return F.when(x.isNotNull() & y.isNotNull(), best)
