@@ -163,6 +163,15 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBa
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
 
 
+def make_folder(uri: str) -> str:
+    """Makes a folder, so that a table without rows is an empty folder of files and not a missing one."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    system.create_dir(path, recursive=True)
+    return uri
+
+
 def write_file(uri: str, parts: Iterable[bytes]) -> int:
     """Writes a file under any URI that pyarrow knows, by a temporary name, so that a retried task leaves whole files only."""
     from pyarrow import fs

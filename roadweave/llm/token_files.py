@@ -11,15 +11,18 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import shared_path, slices, table, text_of, write_file
+from roadweave.llm.common import make_folder, shared_path, slices, table, text_of, write_file
 
 MAGIC = b"RWTOKEN1"
 
@@ -111,33 +114,78 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+_POINT = b".,;:!?#$%&*|+=<>/@^_~()[]{}\"-\\`"
+
+
 class Encoder:
     """Encodes with a tokenizers file, each distinct run between ASCII white space once.
 
     The file's normaliser and pre-tokeniser treat such runs separately (none of their rules reaches over
-    white space), so joining the runs' ids gives the ids of the whole text. The cache is emptied at
-    `most` runs.
+    white space), so joining the runs' ids gives the ids of the whole text. They also fold case, and cut
+    between a letter and the signs that end a run, so a new run is looked up in lower case (but in texts that might name special tokens)
+    and without those signs. Up to twice `most` runs are kept: when a generation is full the one before it goes.
     """
 
-    def __init__(self, path: str, most: int = 120_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        runs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        cache = self.cache
-        fresh = list(set().union(*runs).difference(cache)) if runs else []
-        if len(cache) + len(fresh) > self.most:
-            cache.clear()
-            fresh = list(set().union(*runs))
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        column = pa.array(texts, pa.string())
+        named = pc.fill_null(pc.match_substring(column, "<|"), False)
+        column = pc.if_else(named, column, pc.ascii_lower(column)) if pc.any(named).as_py() else pc.ascii_lower(column)
+        runs = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        words = runs.values.dictionary_encode()
+        distinct = [w.encode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        self._learn(set(distinct).difference(self.new))
+        found = list(map(self.new.__getitem__, distinct))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths
+        at = words.indices.to_numpy()
+        counts = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = pool[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        edges = ends[runs.offsets.to_numpy()]
+        return [ids[i:j].tobytes() for i, j in zip(edges, edges[1:])]
+
+    def _learn(self, need: set[bytes]) -> None:
+        new, old = self.new, self.old
+        fresh, cut = set(), []
+        for w in need:
+            if w in old:
+                new[w] = old[w]
+                continue
+            core = w.rstrip(_POINT)
+            if core and len(core) < len(w) and 97 <= core[-1] <= 122 and b"<|" not in w:
+                cut.append((w, core, w[len(core) :]))
+                fresh.update(x for x in cut[-1][1:] if x not in new and x not in old)
+            else:
+                fresh.add(w)
+        plain = [w for w in fresh if w.isalpha() and w.islower()]
+        for w in plain:
+            # Lower-case ASCII letters alone pass all rules unchanged as one word, which goes to the model itself.
+            new[w] = array("I", [t.id for t in self.model.tokenize(w.decode())]).tobytes()
+        fresh = list(fresh.difference(plain))
         for at in range(0, len(fresh), 4_000):
             part = fresh[at : at + 4_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, r)) for r in runs]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                new[w] = array("I", e.ids).tobytes()
+        for w, core, signs in cut:
+            new[w] = (new[core] if core in new else old[core]) + (new[signs] if signs in new else old[signs])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder per Python worker, which keeps its runs from task to task."""
+    return Encoder(path)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, block: int = 8192, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,18 +204,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         stats = [0, 0]
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
-            for part in slices(batches, "text", 1 << 20):
+            for part in slices(batches, "text", 2 << 20):
                 for i, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                     raw += end
                     stats[0] += 1
                     stats[1] += len(raw) // 4
                     yield i, raw
 
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         size = write_file(f"{path}/part-{shard:06d}.tok", file_parts(rows(), encoder.vocabulary, block))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "documents": pa.array([stats[0]], pa.int64()), "ids": pa.array([stats[1]], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
+    make_folder(path)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "shard int, documents long, ids long, bytes long")
 
