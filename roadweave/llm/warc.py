@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import lookup_join, shared_path, slices, stored, table, write_file
+from roadweave.llm.common import lookup_join, make_folder, shared_path, slices, stored, table, write_file
 
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
@@ -95,6 +95,7 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
         if files:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files]), pa.array([f[1] for f in files], pa.int64()), pa.array([f[2] for f in files], pa.int64())], names=["file", "records", "bytes"])
 
+    make_folder(path)
     return records.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "file string, records long, bytes long")
 
 
