@@ -194,3 +194,29 @@ def analysed(raw: DataFrame, cal: GroundPlane | RowScale, fps: float, track: Tra
     return kinematics(smoothed(segmented(filled(kept_tracks(raw, track), track)), track), cal, fps, motion)
 
 
+
+
+def slope_velocity(df: DataFrame, fps: float, p: MotionParams = MotionParams()) -> DataFrame:
+    """Velocity as the least-squares slope over the velocity window; the ends of a segment take the slope of its first and last whole window."""
+    h = p.half_velocity(fps)
+    w = Window.partitionBy("track_id", "segment").orderBy("frame")
+    weight = sum(k * k for k in range(-h, h + 1)) / fps
+    out = df
+    for c, v in (("world_x_m", "slope_x_mps"), ("world_y_m", "slope_y_mps")):
+        inner = sum((F.lead(c, k).over(w) - F.lag(c, k).over(w)) * float(k) for k in range(1, h + 1)) / weight
+        out = out.withColumn(v, inner)
+        out = out.withColumn(v, F.coalesce(F.col(v), F.first(v, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return out
+
+
+def row_speed(df: DataFrame, fps: float, scale_m: float, smooth_rows: int = 15, most: float = 60.0) -> DataFrame:
+    """The older speed: displacement over a quarter second of rows either side whatever their frames, held over the ends, clipped and averaged."""
+    k = max(1, round(fps / 4))
+    w = Window.partitionBy("track_id").orderBy("frame")
+    d = F.hypot(F.lead("cx", k).over(w) - F.lag("cx", k).over(w), F.lead("cy", k).over(w) - F.lag("cy", k).over(w))
+    v = d * scale_m / (F.lead("frame", k).over(w) - F.lag("frame", k).over(w)) * fps
+    df = df.withColumn("_v", v)
+    held = F.coalesce("_v", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    half = smooth_rows // 2
+    df = df.withColumn("_v", F.least(F.greatest(held, F.lit(0.0)), F.lit(most)))
+    return df.withColumn("row_speed_mps", F.avg("_v").over(w.rowsBetween(-half, half))).drop("_v")

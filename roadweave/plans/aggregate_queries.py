@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadweave.functions.expressions import line_length
 from roadweave.operators import aggregates as A
 from roadweave.params import MODES, PCE
-from roadweave.plans.adapters import FPS, GROUND, LINE, MOVEMENTS, duck, ground, movements, projected_sql
+from roadweave.plans.adapters import FPS, GROUND, LINE, MOVEMENTS, TRACKS, duck, ground, movements, projected_sql
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
@@ -143,6 +143,34 @@ def k6_track_detail(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ground(spark, d).groupBy("track_id").agg(F.min_by("mode", "frame").alias("mode"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.median("speed_kmh").alias("median_kmh"), F.max("speed_kmh").alias("max_kmh")))
 
 
+def k17_overlapping(spark: SparkSession, d: str) -> DataFrame:
+    """Vehicles whose time on screen overlaps the window from 20 s to 30 s."""
+    g = ground(spark, d).groupBy("track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
+    return g.where((F.col("f0") <= 30 * FPS) & (F.col("f1") >= 20 * FPS))
+
+
+def k19_trails(spark: SparkSession, d: str) -> DataFrame:
+    """The trail of each vehicle's last ten positions: its length in rows and its mean place."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("track_id").orderBy("frame").rowsBetween(-9, 0)
+    return rounded(ground(spark, d).where("speed_kmh > 5").select("track_id", "frame", F.count(F.lit(1)).over(w).alias("n"), F.avg("world_x_m").over(w).alias("mean_x"), F.avg("world_y_m").over(w).alias("mean_y")))
+
+
+def r3_draw_order(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of each frame from the largest to the smallest."""
+    from pyspark.sql import Window
+
+    from roadweave.plans.adapters import tracks
+
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return tracks(spark, d).select("frame", "track_id", F.row_number().over(Window.partitionBy("frame").orderBy(area.desc(), "track_id")).alias("place"))
+
+
+def r5_waiting(spark: SparkSession, d: str) -> DataFrame:
+    return ground(spark, d).groupBy("frame").agg(F.count_if((F.col("speed_kmh") < 6) & ~F.col("parked")).alias("waiting"), F.count_if(~F.col("parked")).alias("shown"))
+
+
 def r2_cumulative_modes(spark: SparkSession, d: str) -> DataFrame:
     """Distinct vehicles of each mode that have been seen up to each frame with a first sight."""
     from pyspark.sql import Window
@@ -152,7 +180,7 @@ def r2_cumulative_modes(spark: SparkSession, d: str) -> DataFrame:
     return per.withColumn("seen", F.sum("new").over(Window.partitionBy("mode").orderBy("frame")))
 
 
-QUERIES = {f.__name__: f for f in (i1_movement_counts, i2_approach_volumes, i3_od_summary, i5_projection, i6_speed_profile, i7_lane_volumes, i8_modal_split, h8_od_matrix, i9_queue_lengths, i10_fundamental_diagram, i11_time_space, i12_edie_cells, i13_fd_validity, i14_smoothed_offsets, i14_held_lanes, i15_lane_changes, k2_overlay_chunks, k6_track_detail, k10_od_heat, k11_top_movements, k12_pce_share, k13_approach_pivot, k14_lane_pivot, k15_slowest_bin, k16_peak_queue, k18_overlay_filter, r2_cumulative_modes)}
+QUERIES = {f.__name__: f for f in (i1_movement_counts, i2_approach_volumes, i3_od_summary, i5_projection, i6_speed_profile, i7_lane_volumes, i8_modal_split, h8_od_matrix, i9_queue_lengths, i10_fundamental_diagram, i11_time_space, i12_edie_cells, i13_fd_validity, i14_smoothed_offsets, i14_held_lanes, i15_lane_changes, k2_overlay_chunks, k6_track_detail, k10_od_heat, k11_top_movements, k12_pce_share, k13_approach_pivot, k14_lane_pivot, k15_slowest_bin, k16_peak_queue, k17_overlapping, k18_overlay_filter, k19_trails, r2_cumulative_modes, r3_draw_order, r5_waiting)}
 
 MV = f"WITH movements AS ({duck(MOVEMENTS)}), mv AS (SELECT *, CAST(floor(f0 / 5e0 / 6e1) AS INT) AS interval FROM movements WHERE turn <> 'internal')"
 _PCE = "CASE mode " + " ".join(f"WHEN '{m}' THEN {v!r}::DOUBLE" for m, v in PCE.items()) + " ELSE 1 END"
@@ -202,5 +230,9 @@ ORACLES = {
     "k15_slowest_bin": GR + "SELECT bin, round(mean_speed_kmh, 6) AS mean_speed_kmh, n_samples FROM profile WHERE bin > (SELECT min(bin) FROM profile) AND bin < (SELECT max(bin) FROM profile) ORDER BY profile.mean_speed_kmh, bin LIMIT 1",
     "k16_peak_queue": GR + "SELECT frame, queue_vehicles, round(queue_length_m, 6) AS queue_length_m FROM queues ORDER BY queue_vehicles DESC, frame LIMIT 1",
     "k18_overlay_filter": GR + "SELECT frame, mode, count(*) AS live FROM ground WHERE coalesce(speed_kmh, 0) >= 10 GROUP BY 1, 2",
+    "k17_overlapping": GR + "SELECT * FROM (SELECT track_id, min(frame) AS f0, max(frame) AS f1 FROM ground GROUP BY 1) WHERE f0 <= 150 AND f1 >= 100",
+    "k19_trails": GR + "SELECT track_id, frame, count(*) OVER w AS n, round(avg(world_x_m) OVER w, 6) AS mean_x, round(avg(world_y_m) OVER w, 6) AS mean_y FROM ground WHERE speed_kmh > 5 WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
+    "r3_draw_order": f"WITH tracks AS ({duck(TRACKS)}) SELECT frame, track_id, CAST(row_number() OVER (PARTITION BY frame ORDER BY (x2 - x1) * (y2 - y1) DESC, track_id) AS INT) AS place FROM tracks",
+    "r5_waiting": GR + "SELECT frame, count(*) FILTER (speed_kmh < 6 AND NOT parked) AS waiting, count(*) FILTER (NOT parked) AS shown FROM ground GROUP BY 1",
     "r2_cumulative_modes": GR + "SELECT mode, frame, new, CAST(sum(new) OVER (PARTITION BY mode ORDER BY frame) AS BIGINT) AS seen FROM (SELECT mode, frame, count(*) AS new FROM (SELECT track_id, min(frame) AS frame, min(mode) AS mode FROM ground GROUP BY 1) GROUP BY 1, 2)",
 }

@@ -140,13 +140,21 @@ def f24_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(T.run_report(raw, k, T.track_summary(k, FPS)), "value", keys=("metric",))
 
 
+def f2_slope_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(T.slope_velocity(kin(spark, sf_dir), FPS), "slope_x_mps", "slope_y_mps")
+
+
+def f11_row_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(T.row_speed(smooth(spark, sf_dir), FPS, 0.1), "row_speed_mps")
+
+
 def n_motion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parked and moving tracks with their median life and speed: the flagship, from raw boxes to verdicts."""
     s = summary(spark, sf_dir)
     return s.groupBy("parked").agg(F.count(F.lit(1)).alias("n_tracks"), F.round(F.median("life_s"), 6).alias("median_life_s"), F.round(F.median("p95_speed_mps"), 6).alias("median_p95_speed_mps"), F.round(F.avg("path_m"), 6).alias("mean_path_m"))
 
 
-QUERIES = {f.__name__: f for f in (d1_kept_tracks, d2_filled, d3_segments, d4_smoothed, e2_ground_plane, f1_velocity, f4_acceleration, f7_validity, f9_path_length, f10_window_displacement, f18_track_summary, f20_motion_state, f23_stats_by_mode, f24_report, n_motion_summary)}
+QUERIES = {f.__name__: f for f in (d1_kept_tracks, d2_filled, d3_segments, d4_smoothed, e2_ground_plane, f1_velocity, f2_slope_velocity, f11_row_speed, f4_acceleration, f7_validity, f9_path_length, f10_window_displacement, f18_track_summary, f20_motion_state, f23_stats_by_mode, f24_report, n_motion_summary)}
 
 _MODE = "CASE cls_name WHEN 'car' THEN 'car' WHEN 'van' THEN 'LGV' WHEN 'truck' THEN 'truck' WHEN 'motor' THEN 'motorcycle' WHEN 'pedestrian' THEN 'pedestrian' END"
 ORACLES = {
@@ -157,6 +165,12 @@ ORACLES = {
     "e2_ground_plane": BASE + f"""SELECT track_id, frame, round(70.472::DOUBLE / a, 6) AS scale_x, round(70.472::DOUBLE * 924.5::DOUBLE / (a * a), 6) AS scale_y, round(world_x_m, 6) AS gx, round(world_y_m, 6) AS gy,
       round(924.5::DOUBLE / a, 6) AS anisotropy, round((x2 - x1) * sqrt((70.472::DOUBLE / a) * (70.472::DOUBLE * 924.5::DOUBLE / (a * a))), 6) AS length_m, round(cx, 6) AS back_x, round(cy, 6) AS back_y FROM gnd""",
     "f1_velocity": BASE + f"SELECT track_id, frame, segment, {_rs('velocity_x_mps', 'velocity_y_mps', 'speed_mps', 'heading_deg')} FROM kin",
+    "f2_slope_velocity": BASE + """, sl AS (SELECT *, (lead(world_x_m) OVER w - lag(world_x_m) OVER w) / 4e-1 AS sx, (lead(world_y_m) OVER w - lag(world_y_m) OVER w) / 4e-1 AS sy FROM kin WINDOW w AS (PARTITION BY track_id, segment ORDER BY frame))
+      SELECT track_id, frame, round(coalesce(sx, first(sx IGNORE NULLS) OVER f, last(sx IGNORE NULLS) OVER b), 6) AS slope_x_mps, round(coalesce(sy, first(sy IGNORE NULLS) OVER f, last(sy IGNORE NULLS) OVER b), 6) AS slope_y_mps FROM sl
+      WINDOW f AS (PARTITION BY track_id, segment ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b AS (PARTITION BY track_id, segment ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "f11_row_speed": BASE + """, rv AS (SELECT *, sqrt((lead(cx) OVER w - lag(cx) OVER w) ** 2 + (lead(cy) OVER w - lag(cy) OVER w) ** 2) * 1e-1 / (lead(frame) OVER w - lag(frame) OVER w) * 5 AS v FROM smooth WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
+      rh AS (SELECT *, least(greatest(coalesce(v, last(v IGNORE NULLS) OVER b, first(v IGNORE NULLS) OVER f), 0), 60) AS h FROM rv WINDOW f AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      SELECT track_id, frame, round(avg(h) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) AS row_speed_mps FROM rh""",
     "f4_acceleration": BASE + f"SELECT track_id, frame, {_rs('acceleration_mps2', 'longitudinal_acceleration_mps2', 'lateral_acceleration_mps2')} FROM kin",
     "f7_validity": BASE + f"SELECT track_id, frame, {_rs('interpolated_fraction_in_window')}, kinematics_valid, {_rs('kinematics_quality')} FROM kin",
     "f9_path_length": BASE + f"SELECT track_id, {_rs('path_m')} FROM paths",
