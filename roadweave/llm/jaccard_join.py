@@ -23,8 +23,10 @@ from roadweave.llm.signature_tree import SignatureTree
 
 BITS = 2048  # of a document's token bitmap
 CHUNK = 1024  # documents of one key that one tree comparison takes; larger keys are split into pairs of chunks
+NARROW = 4096  # shingles of a set up to which its folded form is of 16 bits each
 SMALL = 24  # up to so many shingles, two documents meet by one of their least ones instead (prefix filter)
 SEGMENTS = ((48, 24), (96, 40), (192, 64))  # largest size and segments of the levels without sampling
+USED = 44  # of a level's segments that make keys: with a chance of 0.4 for each to agree, all differ with one of 2 * 10^-10
 _SKETCH = "doc_id long, n long, h1 long, h2 long, own boolean, level int, nf int, bits binary, keys array<long>"
 
 
@@ -58,7 +60,7 @@ def keys_at(s: np.ndarray, level: int, jaccard: float) -> tuple[np.ndarray, np.n
     place = (((s << np.uint64(shift)) >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     sums = np.add.reduceat(mixed(s ^ np.uint64(0xA5A5A5A55A5A5A5A)), first)
-    return mixed(sums + mixed(place[first] + salt)), s
+    return mixed(sums + mixed(place[first] + salt))[place[first] < USED], s
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -91,31 +93,57 @@ def sketches(docs: DataFrame, jaccard: float, size: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
 
 
+def folded(s: np.ndarray) -> bytes:
+    """The low 16 bits of up to NARROW shingle hashes, with repeats; more are kept as they are."""
+    return (s & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if len(s) <= NARROW else s.tobytes()
+
+
+def most_common(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """No fewer than the shingles that two sets share: equal hashes stay equal when folded, so folding loses none."""
+    counts = []
+    for v, n in ((x, nx), (y, ny)):
+        low = np.frombuffer(v, np.uint16) if n <= NARROW else (np.frombuffer(v, np.uint64) & np.uint64(0xFFFF)).astype(np.uint16)
+        counts.append(np.bincount(low, minlength=1 << 16))
+    return int(np.minimum(*counts).sum())
+
+
 def verified(pairs: DataFrame, docs: DataFrame, jaccard: float, size: int = 5) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity."""
+    """The pairs (a, b) whose whole shingle sets reach the similarity.
+
+    Pairs first meet folded sets, a quarter of the size, which can only show too large an overlap; what is left of them meets the whole sets.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     percent = round(100 * jaccard)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = shingle_sets(part.column("text").to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([folded(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "n", "folded", "shingles"])
 
-    found = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+    found = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, n long, folded binary, shingles binary"), "shingles")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "sa"):
-            keep = []
-            for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0
-                keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def common(x: bytes, nx: int, y: bytes, ny: int) -> int:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        small, large = (x, y) if nx <= ny else (y, x)
+        return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
 
-    joined = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return stored(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    def kept(count):  # noqa: ANN001, ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "va"):
+                keep = []
+                for x, nx, y, ny in zip(*(part.column(c).to_pylist() for c in ("va", "na", "vb", "nb"))):
+                    both = count(x, nx, y, ny)
+                    keep.append(both > 0 and 100 * both >= percent * (nx + ny - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    def met(rows: DataFrame, column: str) -> DataFrame:
+        side = lambda k: found.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col(column).alias(f"v{k}"))
+        return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "na", "vb", "nb")
+
+    likely = stored(met(pairs, "folded").mapInArrow(kept(most_common), "a long, b long"), "likely")
+    return stored(met(likely, "shingles").mapInArrow(kept(common), "a long, b long"), "links")
 
 
 def similar_groups(docs: DataFrame, jaccard: float = 0.75, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,8 +155,8 @@ def similar_groups(docs: DataFrame, jaccard: float = 0.75, size: int = 5, doc_id
     one component yet is searched by signature trees for the pairs that are left.
 
     What is lost: up to 24 shingles nothing can be. Above, a pair at the threshold shares no key with a
-    chance of under 10^-9 (over 20 segments agree on average), and over 192 shingles the trees leave a pair if its
-    bitmaps of sampled shingles show under 0.55, six standard deviations off. Shingles are 64-bit hashes.
+    chance of under 10^-9 (18 segments or more agree on average), and over 192 shingles the trees leave a pair if its
+    bitmaps of sampled shingles show under 0.55, five standard deviations or more off. Shingles are 64-bit hashes.
 
     Null texts count as empty and, like texts without words, link with nothing. Rows that repeat an id count as one
     document with several texts. A null id takes part; its component is null unless it has another's text. Other
@@ -161,10 +189,18 @@ def similar_groups(docs: DataFrame, jaccard: float = 0.75, size: int = 5, doc_id
     left = left.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.col("chunks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     left = left.withColumn("group", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")))
-    left = left.select("group", "doc_id", "level", "comp", F.when(F.col("chunk") == F.col("other"), F.lit(-1)).otherwise(F.col("chunk")).alias("chunk"))
-    left = left.join(marks.select("doc_id", "level", "nf", "bits"), ["doc_id", "level"])
+    left = left.select("group", "key", "doc_id", "level", "comp").join(marks.select("doc_id", "level", "nf", "bits", "keys"), ["doc_id", "level"])
 
     def search(whole: pa.Table) -> pa.RecordBatch | None:
+        """The pairs that a key's tree leaves; of all keys that a pair shares at a level, the least one returns it."""
+        key, keys = whole.column("key").to_numpy(), whole.column("keys").combine_chunks()
+        values, edges, sets = keys.values.to_numpy(), keys.offsets.to_numpy(), {}
+
+        def own(k: int) -> frozenset[int]:
+            if k not in sets:
+                sets[k] = frozenset(values[edges[k] : edges[k + 1]].tolist())
+            return sets[k]
+
         group = whole.column("group").to_numpy()
         bounds = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() + [len(group)]
         ids, level, comp, nf = (whole.column(c).to_numpy() for c in ("doc_id", "level", "comp", "nf"))
@@ -176,9 +212,10 @@ def similar_groups(docs: DataFrame, jaccard: float = 0.75, size: int = 5, doc_id
             sampled = level[a] > len(SEGMENTS)
             tree = SignatureTree(bits[a:b], nf[a:b].astype(np.int64), comp[a:b])
             i, j = tree.pairs(0.55 if sampled else jaccard)
-            if len(i):
-                a_.append(ids[a + i])
-                b_.append(ids[a + j])
+            least = np.fromiter((min(own(p) & own(q)) == key[a] for p, q in zip((a + i).tolist(), (a + j).tolist())), bool, len(i))
+            if least.any():
+                a_.append(ids[a + i[least]])
+                b_.append(ids[a + j[least]])
         if not a_:
             return None
         x, y = np.concatenate(a_), np.concatenate(b_)
