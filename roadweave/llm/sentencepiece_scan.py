@@ -204,7 +204,13 @@ def _pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, doc (a number of the row, for documents of several chunks), chunk, chunks, ids (binary, little-endian unsigned 32-bit).
+    """The rows of encoded_parts in one table."""
+    short, parts = encoded_parts(docs, model, chunk, doc_id, text)
+    return short.unionByName(parts)
+
+
+def encoded_parts(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables, of documents of one chunk and of longer ones: doc_id, doc (a number of the row, for documents of several chunks), chunk, chunks, ids (binary, little-endian unsigned 32-bit).
 
     A row per document of up to `chunk` characters, and per chunk of a longer one: document order is by chunk, and the chunks' ids
     joined are the ids of the whole text. A null text counts as empty and has a row without ids. Rows that repeat stay apart. A chunk is never
@@ -281,8 +287,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str = "doc_i
 
     out = "doc_id long, doc long, chunk int, chunks int, ids binary"
     parts = pieces.join(edges, ["doc", "chunk"]).select("doc_id", "doc", "chunk", "chunks", "p", "q", "s", "first", "last").mapInArrow(trace, out)
-    short = rows.where(F.col("n_chars") <= chunk).mapInArrow(small, out)
-    return short.unionByName(parts)
+    return rows.where(F.col("n_chars") <= chunk).mapInArrow(small, out), parts
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -298,34 +303,58 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
 
 
-def summary(encoded: DataFrame, model: str) -> DataFrame:
+def joined_crc(first: int, second: int, length: int) -> int:
+    """The CRC-32 of two byte strings joined, from theirs and the second one's length: the first is carried over that many zero bytes."""
+    times = lambda m, v: _xor(m[k] for k in range(32) if v >> k & 1)
+    step = [0xEDB88320] + [1 << k for k in range(31)]
+    for _ in range(3):
+        step = [times(step, x) for x in step]
+    while length:
+        if length & 1:
+            first = times(step, first)
+        step = [times(step, x) for x in step]
+        length >>= 1
+    return first ^ second
+
+
+def _xor(values: Iterator[int]) -> int:
+    out = 0
+    for v in values:
+        out ^= v
+    return out
+
+
+def summary(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_chunks, n_tokens, ids_crc32 (of all ids as little-endian unsigned 32-bit integers), text_crc32 (of the decoded text) of every document.
 
-    Only documents of several chunks are brought together, by document; a task holds one's ids and text.
+    Each chunk is encoded, decoded and summed up on its own; only the sums of documents of several chunks are brought together.
     """
-    plain = decode(encoded, model)
-    whole = plain.where("doc IS NULL").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.lit(1).cast("long").alias("n_chunks"), F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    out = "doc_id long, doc long, chunk int, n_chars long, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            ids, texts = part.column("ids").to_pylist(), [t.encode() for t in part.column("text").to_pylist()]
+            cols = [[len(t) for t in part.column("text").to_pylist()], [len(i) // 4 for i in ids], map(zlib.crc32, ids), map(len, texts), map(zlib.crc32, texts)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "doc", "chunk")), *(pa.array(list(c), pa.int64()) for c in cols)], names=[c.split()[0] for c in out.split(", ")])
+
+    short, parts = (decode(p, model).mapInArrow(sums, out) for p in encoded_parts(docs, model, chunk))
 
     def join(t: pa.Table) -> pa.RecordBatch:
-        doc = t.column("doc").to_numpy()
-        bounds = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist() + [len(doc)]
-        rows = []
-        for a, b in zip(bounds, bounds[1:]):
-            ids_sum = text_sum = tokens = chars = 0
-            for k in range(a, b):
-                ids, text = t.column("ids")[k].as_py(), t.column("text")[k].as_py()
-                ids_sum, text_sum = zlib.crc32(ids, ids_sum), zlib.crc32(text.encode(), text_sum)
-                tokens, chars = tokens + len(ids) // 4, chars + len(text)
-            rows.append((t.column("doc_id")[a].as_py(), chars, b - a, tokens, ids_sum, text_sum))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "text_crc32"])
+        rows: dict[int, list[int]] = {}
+        for doc, i, chars, tokens, ids_sum, size, text_sum in zip(*(t.column(c).to_pylist() for c in ("doc", "doc_id", "n_chars", "n_tokens", "ids_crc32", "n_bytes", "text_crc32"))):
+            if doc not in rows:
+                rows[doc] = [i, 0, 0, 0, 0, 0]
+            r = rows[doc]
+            r[1:] = [r[1] + chars, r[2] + 1, r[3] + tokens, joined_crc(r[4], ids_sum, 4 * tokens), joined_crc(r[5], text_sum, size)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows.values())], names=["doc_id", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "text_crc32"])
 
-    giant = plain.where("doc IS NOT NULL").select("doc", "chunk", "doc_id", "ids", "text")
-    return whole.unionByName(grouped(giant, ["doc"], join, "doc_id long, n_chars long, n_chunks long, n_tokens long, ids_crc32 long, text_crc32 long", order=["chunk"]))
+    result = "doc_id long, n_chars long, n_chunks long, n_tokens long, ids_crc32 long, text_crc32 long"
+    whole = short.select("doc_id", "n_chars", F.lit(1).cast("long").alias("n_chunks"), "n_tokens", "ids_crc32", "text_crc32")
+    return whole.unionByName(grouped(parts, ["doc"], join, result, order=["chunk"]))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents")
-    return summary(encode(docs, model), model)
+    return summary(table(spark, sf_dir, "documents"), model)
