@@ -162,12 +162,16 @@ class Mixture:
             return spark.createDataFrame([], "shard long, slot int, sid int, block long")
         return spark.range(0, shards, 1, min(shards, partitions(spark))).mapInPandas(draw, "shard long, slot int, sid int, block long")
 
+    def _times(self) -> DataFrame:
+        """How often each block is in the mixture. Its size grows with the data, which the planner cannot see behind the draws, so its join is hinted to be a merge."""
+        return self.slots_of().groupBy("sid", "block").agg(F.count(F.lit(1)).cast("int").alias("times")).hint("merge")
+
     def taken(self) -> DataFrame:
         """Every document with the words that the mixture takes of it, repeats counted: its pieces, joined by block index with the slots."""
-        times = self.slots_of().groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+        times = self._times()
         got = self.pieces().select("sid", "block", "part", "row", "words").join(times, ["sid", "block"])
         got = got.groupBy("sid", "part", "row").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
-        return self.placed.join(got, ["sid", "part", "row"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0).cast("long")).alias("taken"))
+        return self.placed.join(got.hint("merge"), ["sid", "part", "row"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0).cast("long")).alias("taken"))
 
     def documents(self) -> DataFrame:
         """The mixture as documents, with all columns of docs: in pass e the words of a document whose blocks are taken over e times.
@@ -175,14 +179,14 @@ class Mixture:
         A document that the mixture takes nothing of has no row; one taken whole keeps its text as it is.
         """
         spark = self.docs.sparkSession
-        times = self.slots_of().groupBy("sid", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
+        times = self._times()
         got = self.pieces().join(times, ["sid", "block"]).where("words > 0")
         spans = got.groupBy("sid", "part", "row", "text_hash", "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("spans"))
         spans = spans.select(F.col("text_hash").alias("__rw_hash"), "spans", F.col("size").alias("__rw_size"), F.row_number().over(_copies("text_hash")).alias("__rw_copy"))
         own = self.docs.withColumn("__rw_h", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
         own = own.withColumn("__rw_c", F.row_number().over(_copies("__rw_h")))
         # The copy numbers tell rows that repeat id and text apart; as a difference they are no join key, which keeps the window's partitioning.
-        both = own.join(spans, (F.col("__rw_h") == F.col("__rw_hash")) & (F.col("__rw_c") - F.col("__rw_copy") == 0))
+        both = own.join(spans.hint("merge"), (F.col("__rw_h") == F.col("__rw_hash")) & (F.col("__rw_c") - F.col("__rw_copy") == 0))
         from pyspark.sql.types import StructType
 
         names = self.docs.columns
