@@ -11,7 +11,7 @@ from roadweave.llm.exact_dedup import DigestIndex
 from roadweave.llm.jaccard_join import similar_groups
 from roadweave.llm.mixing import Mixture
 from roadweave.llm.quality import fit_quality, score_quality
-from roadweave.llm.sentencepiece_scan import encode, summary
+from roadweave.llm.sentencepiece_scan import summary
 
 LEAST_QUALITY = 0.3
 
@@ -42,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token counts and checksums of each document of the mixture."""
-    return summary(encode(docs, public_tokenizers.path("piece_bpe_32k.model")), public_tokenizers.path("piece_bpe_32k.model"))
+    return summary(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
