@@ -208,6 +208,35 @@ def test_tracking_stream_agrees_with_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("trk").collect())) == sorted(map(tuple, tracked(df).collect()))
 
 
+def test_tracked_query_tracks_every_box(spark, tmp_path):
+    import __spark_entry__ as e
+    from roadweave.plans.adapters import tracks
+
+    kinds = ["click", "view", "purchase", "signup", "error"]
+    events = [(20 * u + k, 1_700_000_000 + 60 * k, u, kinds[u % 5]) for u in range(15) for k in range(20)]
+    spark.createDataFrame(events, "event_id long, s long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "event_type").write.parquet(str(tmp_path / "events.parquet"))
+    modes = {"car": "car", "van": "LGV", "truck": "truck", "motor": "motorcycle", "pedestrian": "pedestrian"}
+    boxes = tracks(spark, str(tmp_path)).toPandas()
+    assert len(boxes) == len(events)
+    want = {}
+    for v in range(3):
+        tracker, of = Tracker(), boxes[boxes["track_id"] % 3 == v].sort_values(["x1", "y1"])
+        for f in sorted(set(of["frame"])):
+            d = of[of["frame"] == f]
+            for i, _, _, mode in tracker.step(f, d[["x1", "y1", "x2", "y2"]].to_numpy(), d["conf"].to_numpy(), [modes[c] for c in d["cls_name"]], [None] * len(d)):
+                want.setdefault((f"v{v}", mode), []).append(i)
+    got = {(r["video_id"], r["mode"]): (r["boxes"], r["ids"]) for r in e.queries()["c16_tracked"](spark, str(tmp_path)).collect()}
+    assert got == {k: (len(i), len(set(i))) for k, i in want.items()}
+    assert {m for _, m in got} == set(modes.values())
+
+
+def test_tracking_breaks_ties_by_whole_boxes(spark):
+    rows = [("v", f, 100.0, 100.0, 140.0 + 9 * k, 130.0 + 9 * k, 0.9, "car") for f in range(8) for k in range(4)]
+    schema = "video_id string, frame int, x1 double, y1 double, x2 double, y2 double, conf double, mode string"
+    up, down = (sorted(map(tuple, tracked(spark.createDataFrame(r, schema).coalesce(1)).collect())) for r in (rows, rows[::-1]))
+    assert up == down and len(up) > 0
+
+
 def test_entry_lists_sql_for_known_queries():
     import __spark_entry__ as e
 
