@@ -20,6 +20,13 @@ from roadweave.llm.html_pages import training_pages
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html ins label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("script style template noscript head title svg math object iframe canvas audio video".split())
+# What may stand in head; any other start tag, and text, end it.
+HEADED = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+# Start tags of HTML that end svg and math, except in their elements that hold HTML.
+ENDS_FOREIGN = BLOCK | frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+# Elements that hide nothing when they have no end tag of their own.
+BORNE = frozenset("template noscript title object iframe canvas audio video".split())
 # What an element of the key's kind closes when it is open above it.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _NAME = re.compile(r"[a-z]+")
@@ -34,14 +41,36 @@ class Block:
 
 
 class _Blocks(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, shown: frozenset[int] = frozenset()) -> None:
+        """shown: the places of start tags, counted over the unseen kinds, that hide nothing."""
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.unseen = 0
+        self.shown, self.opened, self.ignored = shown, 0, False
+        self.hidden: list[tuple[int, int]] = []  # depth in the stack and place of each open unseen element
+        self.unclosed: dict[str, list[int]] = {}
         self.blocks: list[Block] = []
         self.text: list[str] = []
         self.linked = 0
 
+    def set_cdata_mode(self, *args, **options) -> None:
+        if not self.ignored:
+            super().set_cdata_mode(*args, **options)
+
+    def cut(self, k: int, own: bool = False, noted: bool = True) -> None:
+        """Ends the elements from depth k on; own: by the end tag of the one at k; noted: those without one are kept in mind."""
+        while self.hidden and self.hidden[-1][0] >= k:
+            depth, place = self.hidden.pop()
+            if noted and not (own and depth == k) and self.stack[depth][0] in BORNE:
+                self.unclosed.setdefault(self.stack[depth][0], []).append(place)
+        del self.stack[k:]
+
+    def end_foreign(self) -> None:
+        while self.hidden:
+            k = self.hidden[-1][0]
+            if self.stack[k][0] not in ("svg", "math") or any(t in HOLDS_HTML for t, _ in self.stack[k + 1 :]):
+                break
+            self.cut(k)
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
@@ -49,42 +78,54 @@ class _Blocks(HTMLParser):
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.ignored = False
+        if tag == "body" and self.hidden:
+            self.cut(self.hidden[0][0], noted=False)
+        if tag in ENDS_FOREIGN:
+            self.end_foreign()
+        if tag not in HEADED and self.in_head():
+            self.cut(self.hidden[-1][0])
         if tag in UNSEEN:
-            if tag != "head" and tag in ("script", "style"):
-                self.unseen += 1
-                return
-            self.unseen += 1
-        elif tag == "body":
-            self.unseen = 0
+            self.ignored = self.opened in self.shown or (tag == "head" and any(t != "html" for t, _ in self.stack))
+            if not self.ignored:
+                self.hidden.append((len(self.stack), self.opened))
+                self.stack.append((tag, ()))
+            self.opened += 1
+            return
         if tag in BLOCK:
             self.flush()
             kinds = CLOSES.get(tag, "").split()
             for k in range(len(self.stack) - 1, -1, -1):
                 t = self.stack[k][0]
                 if t == "p" or t in kinds:
-                    del self.stack[k:]
+                    self.cut(k)
                     break
-                if t in BLOCK and t not in ("tr", "td", "th", "li", "dt", "dd", "option"):
+                if t in UNSEEN or t in BLOCK and t not in ("tr", "td", "th", "li", "dt", "dd", "option"):
                     break
         elif tag == "br":
             self.text.append(" ")
-        if tag not in VOID and tag not in UNSEEN:
+        if tag not in VOID:
             names = tuple(n for key, value in attrs if key in ("class", "id", "role") and value for n in _NAME.findall(value.lower()))
             self.stack.append((tag, names))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in UNSEEN:
-            self.unseen = max(0, self.unseen - 1)
-            return
         if tag in BLOCK:
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self.cut(k, own=True, noted=tag != "head")
                 break
+        else:
+            if self.unclosed.get(tag):
+                self.unclosed[tag].pop()
+
+    def in_head(self) -> bool:
+        return bool(self.hidden) and self.stack[self.hidden[-1][0]][0] == "head"
 
     def handle_data(self, data: str) -> None:
-        if not self.unseen:
+        if data.strip() and self.in_head():
+            self.cut(self.hidden[-1][0])
+        if not self.hidden:
             self.text.append(data)
             if any(t == "a" for t, _ in self.stack):
                 self.linked += len(data.strip())
@@ -96,6 +137,13 @@ def blocks(html: str | None) -> list[Block]:
     p.feed(html or "")
     p.close()
     p.flush()
+    p.cut(0)
+    shown = frozenset(place for places in p.unclosed.values() for place in places)
+    if shown:
+        p = _Blocks(shown)
+        p.feed(html or "")
+        p.close()
+        p.flush()
     return p.blocks
 
 

@@ -299,3 +299,24 @@ def test_html(spark):
     assert got[1]["text"] == "T & U One two three. Four. Five six seven."
     assert got[2]["text"] == got[3]["text"] == "" and got[5]["n_chars"] == 249999
     assert extract(spark.createDataFrame([], "page_id long, url string, html string"), f).count() == 0
+
+
+def test_html_unclosed_unseen_elements():
+    from roadweave.llm.html_extract import blocks
+
+    def texts(h):
+        return [b.text for b in blocks(h)]
+
+    assert texts("<html><head><title>T</title><p>Article one.<p>Two.") == ["Article one.", "Two."]
+    assert texts("<head><meta charset=x><noscript><img></noscript><style>s</style>Bare text.") == ["Bare text."]
+    assert texts("<head><title>T<meta></head><body><p>A") == ["A"]
+    assert texts("<head><title>T<p>A")[-1] == "A"
+    for tag in ("svg", "math", "object", "iframe", "canvas", "audio", "video", "noscript", "template"):
+        assert texts(f"<body><div><{tag}></div><p>A</p><p>B</p>") == ["A", "B"], tag
+        assert texts(f"<body><{tag}><p>A</p><p>B</p></body>") == ["A", "B"], tag
+        assert texts(f"<body><p>A <{tag}>hidden</{tag}>B</p>") == ["A B"], tag
+    assert texts("<p>A</p><svg><foreignObject><div>hidden</div></foreignObject></svg><p>B") == ["A", "B"]
+    assert texts("<div><video>hidden</div></video><p>A") == ["A"]
+    assert texts("<p>A<video><p>hidden</p></video>B") == ["A", "B"]
+    assert [b.tags for b in blocks("<article><p>A<object><param></object>")] == [("article", "p")]
+    assert texts("<p>A<script>unclosed <p>B") == ["A"]
