@@ -26,7 +26,7 @@ CHUNK = 1024  # documents of one key that one tree comparison takes; larger keys
 NARROW = 4096  # shingles of a set up to which its folded form is of 16 bits each
 SMALL = 24  # up to so many shingles, two documents meet by one of their least ones instead (prefix filter)
 SEGMENTS = ((48, 24), (96, 40), (192, 64))  # largest size and segments of the levels without sampling
-USED = 44  # of a level's segments that make keys: with a chance of 0.4 for each to agree, all differ with one of 2 * 10^-10
+USED = 44  # of a level's segments that make keys: with a chance of 0.35 for each to agree, all differ with one of 6 * 10^-9
 _SKETCH = "doc_id long, n long, h1 long, h2 long, own boolean, level int, nf int, bits binary, keys array<long>"
 
 
@@ -154,9 +154,11 @@ def similar_groups(docs: DataFrame, jaccard: float = 0.75, size: int = 5, doc_id
     most of a large group by as many pairs as it has documents. Then every key whose documents are not in
     one component yet is searched by signature trees for the pairs that are left.
 
-    What is lost: up to 24 shingles nothing can be. Above, a pair at the threshold shares no key with a
-    chance of under 10^-9 (18 segments or more agree on average), and over 192 shingles the trees leave a pair if its
-    bitmaps of sampled shingles show under 0.55, five standard deviations or more off. Shingles are 64-bit hashes.
+    What is lost: up to 24 shingles nothing can be. Above, a pair at the threshold shares no key with a chance of
+    under 10^-10 up to 192 shingles and of 6 * 10^-9 at most over them (15 segments or more agree on average). Over 192
+    shingles the trees also leave a pair if its bitmaps of sampled shingles show under 0.55, with a chance of up to
+    5 * 10^-6 (two equally large sets, 96 sampled shingles in each). Both are computed for sampled shingles that
+    fall independently, as they do for small fractions. Shingles are 64-bit hashes.
 
     Null texts count as empty and, like texts without words, link with nothing. Rows that repeat an id count as one
     document with several texts. A null id takes part; its component is null unless it has another's text. Other
