@@ -5,7 +5,7 @@ All of it partitions by track: Spark deals the rows out once by track_id, and ev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.expressions import GroundPlane, RowScale
@@ -51,6 +51,12 @@ def smoothed(df: DataFrame, p: TrackParams = TrackParams()) -> DataFrame:
     return df.withColumns({"cx": (F.col("x1") + F.col("x2")) * 0.5, "cy": (F.col("y1") + F.col("y2")) * 0.5})
 
 
+def later_value(column: str, *keys: str) -> Column:
+    """The column's next value by frame that is not null. A running frame over the descending order, since one that ends with the partition costs the square of its rows."""
+    back = Window.partitionBy(*keys).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(column, ignorenulls=True).over(back)
+
+
 def kinematics(df: DataFrame, cal: GroundPlane | RowScale, fps: float, p: MotionParams = MotionParams()) -> DataFrame:
     """Ground position, velocity, acceleration, heading and their validity; everything unknown is NULL."""
     hv, ha, dt = p.half_velocity(fps), p.half_acceleration(fps), 1.0 / fps
@@ -61,7 +67,7 @@ def kinematics(df: DataFrame, cal: GroundPlane | RowScale, fps: float, p: Motion
     speed = lambda c: (F.lead(c, hv).over(w) - F.lag(c, hv).over(w)) / (2 * hv * dt)
     seen = F.when(F.lead("frame", hv).over(w).isNotNull() & F.lag("frame", hv).over(w).isNotNull(), F.avg(F.col("interpolated").cast("double")).over(w.rowsBetween(-hv, hv)))
     df = df.withColumns({"vx": speed("world_x_m"), "vy": speed("world_y_m"), "interpolated_fraction_in_window": seen, "_i": F.row_number().over(w), "_m": F.count(F.lit(1)).over(part)})
-    held = {f"_{v}": F.coalesce(F.col(v), F.first(v, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) for v in ("vx", "vy")}
+    held = {f"_{v}": F.coalesce(F.col(v), later_value(v, "track_id", "segment"), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) for v in ("vx", "vy")}
     df = df.withColumns(held | {"_known": F.count("vx").over(part)})
     inner = (F.col("_i") > ha) & (F.col("_i") <= F.col("_m") - ha) & (F.col("_known") >= 2 * ha + 1) & F.col("vx").isNotNull()
     # The slope over equal steps, as weighted differences of the rows around.
@@ -91,37 +97,47 @@ def kinematics(df: DataFrame, cal: GroundPlane | RowScale, fps: float, p: Motion
     return df.withColumnsRenamed({"vx": "velocity_x_mps", "vy": "velocity_y_mps", "ax": "acceleration_x_mps2", "ay": "acceleration_y_mps2"}).drop("_i", "_m", "_known", "_vx", "_vy")
 
 
-def _decimated(df: DataFrame, step: int) -> DataFrame:
+def with_path_steps(df: DataFrame, fps: float, interval_s: float = 0.5) -> DataFrame:
+    """Adds _step_m: travel since the row an interval before, at every interval's row of a segment, else NULL."""
+    w = Window.partitionBy("track_id", "segment").orderBy("frame")
+    step = max(1, round(interval_s * fps))
+    d = F.hypot(F.col("world_x_m") - F.lag("world_x_m", step).over(w), F.col("world_y_m") - F.lag("world_y_m", step).over(w))
+    return df.withColumn("_step_m", F.when((F.row_number().over(w) - 1) % step == 0, d))
+
+
+def with_window_steps(df: DataFrame, fps: float, p: MotionParams = MotionParams()) -> DataFrame:
+    """Adds _away_m: at every interval's row with a place, the way from where the track was one window before; segments shorter than a window compare their ends."""
     w = Window.partitionBy("track_id", "segment").orderBy("frame")
-    return df.withColumn("_r", F.row_number().over(w) - 1).where(F.col("_r") % step == 0)
+    step, lag = max(1, round(p.path_interval_s * fps)), max(1, round(p.parked_window_s / p.path_interval_s))
+    taken = ((F.row_number().over(w) - 1) % step == 0) & F.col("world_x_m").isNotNull() & F.col("world_y_m").isNotNull()
+    rows = df.withColumn("_taken", taken)
+    part = Window.partitionBy("track_id", "segment", "_taken")
+    own = part.orderBy("frame")
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(part), "_k": F.row_number().over(own)})
+    far = F.hypot(F.col("world_x_m") - F.lag("world_x_m", lag).over(own), F.col("world_y_m") - F.lag("world_y_m", lag).over(own))
+    short = F.hypot(F.col("world_x_m") - F.first("world_x_m").over(own), F.col("world_y_m") - F.first("world_y_m").over(own))
+    ends = (F.col("_k") == F.col("_n")) & (F.col("_n") > 1) & (F.col("_n") <= lag)
+    return rows.withColumn("_away_m", F.when(F.col("_taken"), F.when(ends, short).otherwise(far))).drop("_taken", "_n", "_k")
 
 
 def path_lengths(df: DataFrame, fps: float, interval_s: float = 0.5) -> DataFrame:
     """track_id, path_m: travel summed over every interval's row within segments."""
-    w = Window.partitionBy("track_id", "segment").orderBy("frame")
-    d = F.hypot(F.col("world_x_m") - F.lag("world_x_m").over(w), F.col("world_y_m") - F.lag("world_y_m").over(w))
-    return _decimated(df, max(1, round(interval_s * fps))).withColumn("_d", d).groupBy("track_id").agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("path_m"))
+    return with_path_steps(df, fps, interval_s).groupBy("track_id").agg(F.coalesce(F.sum("_step_m"), F.lit(0.0)).alias("path_m"))
 
 
 def window_displacements(df: DataFrame, fps: float, p: MotionParams = MotionParams()) -> DataFrame:
-    """track_id, win_m: the farthest that a track moved from itself in one window; segments shorter than it compare their ends."""
-    rows = _decimated(df, max(1, round(p.path_interval_s * fps))).where("world_x_m IS NOT NULL AND world_y_m IS NOT NULL")
-    lag = max(1, round(p.parked_window_s / p.path_interval_s))
-    part = Window.partitionBy("track_id", "segment")
-    w = part.orderBy("frame")
-    ends = (F.row_number().over(w) == F.col("_n")) & (F.col("_n") > 1) & (F.col("_n") <= lag)
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(part))
-    far = F.hypot(F.col("world_x_m") - F.lag("world_x_m", lag).over(w), F.col("world_y_m") - F.lag("world_y_m", lag).over(w))
-    short = F.hypot(F.col("world_x_m") - F.first("world_x_m").over(w), F.col("world_y_m") - F.first("world_y_m").over(w))
-    return rows.withColumn("_d", F.when(ends, short).otherwise(far)).groupBy("track_id").agg(F.coalesce(F.max("_d"), F.lit(0.0)).alias("win_m"))
+    """track_id, win_m: the farthest that a track moved from itself in one window."""
+    return with_window_steps(df, fps, p).groupBy("track_id").agg(F.coalesce(F.max("_away_m"), F.lit(0.0)).alias("win_m"))
 
 
 def track_summary(df: DataFrame, fps: float, p: MotionParams = MotionParams()) -> DataFrame:
-    """One row per track with its span, travel, speeds, accelerations and the parked verdict."""
+    """One row per track with its span, travel, speeds, accelerations and the parked verdict: windows and one aggregate on the one shuffle by track."""
     moving = F.avg((F.col("speed_mps") > p.moving_speed).cast("double"))
     ends = {c: (F.min_by(c, "frame"), F.max_by(c, "frame")) for c in ("world_x_m", "world_y_m")}
     pct = lambda c, q: F.percentile(c, F.lit(q))
-    agg = df.groupBy("track_id").agg(
+    agg = with_window_steps(with_path_steps(df, fps, p.path_interval_s), fps, p).groupBy("track_id").agg(
+        F.coalesce(F.sum("_step_m"), F.lit(0.0)).alias("path_m"),
+        F.coalesce(F.max("_away_m"), F.lit(0.0)).alias("win_m"),
         F.min("frame").alias("f0"),
         F.max("frame").alias("f1"),
         F.hypot(ends["world_x_m"][1] - ends["world_x_m"][0], ends["world_y_m"][1] - ends["world_y_m"][0]).alias("net_m"),
@@ -132,8 +148,7 @@ def track_summary(df: DataFrame, fps: float, p: MotionParams = MotionParams()) -
         *(pct("longitudinal_acceleration_mps2", q).alias(n) for q, n in ((0.95, "p95_accel_mps2"), (0.05, "p05_brake_mps2"), (0.995, "peak_accel_mps2"), (0.005, "peak_brake_mps2"))),
         F.count_if(~F.col("interpolated")).alias("n_obs"),
     )
-    agg = agg.join(path_lengths(df, fps, p.path_interval_s), "track_id", "left").join(window_displacements(df, fps, p), "track_id", "left")
-    agg = agg.withColumns({"life_s": (F.col("f1") - F.col("f0") + 1) / F.lit(float(fps)), "path_m": F.coalesce("path_m", F.lit(0.0)), "win_m": F.coalesce("win_m", F.lit(0.0))})
+    agg = agg.withColumn("life_s", (F.col("f1") - F.col("f0") + 1) / F.lit(float(fps)))
     parked = (F.col("life_s") >= p.parked_min_life_s) & (F.col("moving_frac") < p.parked_moving_share) & (F.col("net_m") < p.parked_net_m) & (F.col("win_m") < p.parked_window_m)
     return agg.withColumn("parked", F.coalesce(parked, F.lit(False)))
 
@@ -205,7 +220,7 @@ def slope_velocity(df: DataFrame, fps: float, p: MotionParams = MotionParams())
     for c, v in (("world_x_m", "slope_x_mps"), ("world_y_m", "slope_y_mps")):
         inner = sum((F.lead(c, k).over(w) - F.lag(c, k).over(w)) * float(k) for k in range(1, h + 1)) / weight
         out = out.withColumn(v, inner)
-        out = out.withColumn(v, F.coalesce(F.col(v), F.first(v, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+        out = out.withColumn(v, F.coalesce(F.col(v), later_value(v, "track_id", "segment"), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     return out
 
 
@@ -216,7 +231,7 @@ def row_speed(df: DataFrame, fps: float, scale_m: float, smooth_rows: int = 15,
     d = F.hypot(F.lead("cx", k).over(w) - F.lag("cx", k).over(w), F.lead("cy", k).over(w) - F.lag("cy", k).over(w))
     v = d * scale_m / (F.lead("frame", k).over(w) - F.lag("frame", k).over(w)) * fps
     df = df.withColumn("_v", v)
-    held = F.coalesce("_v", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    held = F.coalesce("_v", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), later_value("_v", "track_id"))
     half = smooth_rows // 2
     df = df.withColumn("_v", F.least(F.greatest(held, F.lit(0.0)), F.lit(most)))
     return df.withColumn("row_speed_mps", F.avg("_v").over(w.rowsBetween(-half, half))).drop("_v")

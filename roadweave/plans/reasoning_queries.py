@@ -9,11 +9,12 @@ from roadweave.operators import reasoning as R
 from roadweave.plans.adapters import FPS, LINE, duck, ground, projected_sql, view
 from roadweave.plans.aggregate_queries import GR, cells, r6, rounded
 
-#: A stream per event type; signalled ones are interrupted for about half of each minute.
+#: A stream per event type, of all events. Those of signalled streams wait for the next green part, the first half of each minute.
 CROSSINGS = """
-SELECT event_type AS stream, event_id AS vehicle, event_id * 4e-1 + (event_id % 17) / 1e2 AS t_s,
+SELECT event_type AS stream, event_id AS vehicle,
+       CASE WHEN event_type IN ('view', 'purchase') THEN event_id * 4e-1 ELSE floor(event_id / 150e0) * 60e0 + (event_id % 150) * 19e-2 END + (event_id % 17) / 1e2 AS t_s,
        CASE user_id % 3 WHEN 0 THEN 'car' WHEN 1 THEN 'motorcycle' ELSE 'bus' END AS mode
-FROM EVENTS WHERE event_type IN ('view', 'purchase') OR event_id % 150 < 70
+FROM EVENTS
 """
 LINE2 = [(40.0, -8.0), (360.0, -8.0)]
 
