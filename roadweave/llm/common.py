@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 PREFIX = "__rw_"
+ROW_GROUP = 16 << 20  # bytes of a row group of intermediate tables, which every task that writes holds in memory
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +67,63 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     Its shuffle files go at the end of the write, since nothing reads them again, and Arrow batches are bounded
     in bytes, for tables with some very long texts.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxBytesPerBatch="33554432"):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).stored(df, label)
+
+
+class Scratch:
+    """Tables of one computation in the shared folder, which go as soon as they are no longer read.
+
+    A table may be dropped when all that was made of it is stored itself, since lineage ends at the later table, so a
+    lost executor never needs it again. Row groups are small, so that every task that writes holds little.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.places: dict[int, tuple[DataFrame, str, str | None]] = {}
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """df, written to the shared folder and read again."""
+        path = shared_path(self.spark, label)
+        with self._settings():
+            df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        return self._kept(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def bucketed(self, df: DataFrame, label: str, key: str) -> DataFrame:
+        """df, which the caller has dealt out by hash of key, as a table whose joins by key need no shuffle of it."""
+        path = shared_path(self.spark, label)
+        name = f"rw_{label}_{path[-32:]}"
+        with self._settings():
+            df.write.format("parquet").option("parquet.block.size", ROW_GROUP).option("path", path).bucketBy(partitions(self.spark), key).saveAsTable(name)
+        return self._kept(self.spark.table(name), path, name)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path, name = self.places.pop(id(df))
+            if name:
+                self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, path)
+
+    def _settings(self):  # noqa: ANN202
+        return settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxBytesPerBatch=str(8 << 20))
+
+    def _kept(self, df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+        self.places[id(df)] = (df, path, name)
+        return df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file by the file system that Spark has for its path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_table(spark: SparkSession, columns: list[list], schema: str) -> DataFrame:
+    """A table of a few rows that the driver has, by column; made by Arrow, since a list of rows would start Python workers of its own."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    types = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, to_arrow_schema(types).types)], schema=to_arrow_schema(types)), types)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,20 +9,21 @@ may hold fewer), each in the minimum bits for the vocabulary, least significant
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import make_folder, shared_path, slices, table, text_of, write_file
+from roadweave.llm.common import make_folder, shared_path, slices, stored, table, text_of, write_file
 
 MAGIC = b"RWTOKEN1"
 
@@ -114,7 +115,11 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-_POINT = b".,;:!?#$%&*|+=<>/@^_~()[]{}\"-\\`"
+_POINT = ".,;:!?#$%&*|+=<>/@^_~()[]{}\"-\\`"
+
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
+# How byte-level vocabularies write bytes: those that print stand for themselves, all others are numbered from 256 on.
+_SIGNS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class Encoder:
@@ -130,10 +135,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # Runs of the two generations, by their rows in the arrays: where a row's ids start in the pool, and how many they are.
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.pool, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -142,44 +149,75 @@ class Encoder:
         column = pc.if_else(named, column, pc.ascii_lower(column)) if pc.any(named).as_py() else pc.ascii_lower(column)
         runs = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         words = runs.values.dictionary_encode()
-        distinct = [w.encode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]
         if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        self._learn(set(distinct).difference(self.new))
-        found = list(map(self.new.__getitem__, distinct))
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths
-        at = words.indices.to_numpy()
-        counts = lengths[at]
+            self._turn()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = np.fromiter(map(self.new.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if (rows < 0).any():
+            self._learn([distinct[k] for k in np.flatnonzero(rows < 0).tolist()])
+            rows = np.fromiter(map(self.new.__getitem__, distinct), np.int64, len(distinct))
+        at = rows[words.indices.to_numpy()]
+        counts = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = pool[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        ids = self.pool[np.repeat(self.starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
         edges = ends[runs.offsets.to_numpy()]
         return [ids[i:j].tobytes() for i, j in zip(edges, edges[1:])]
 
-    def _learn(self, need: set[bytes]) -> None:
+    def _turn(self) -> None:
+        """The newer generation becomes the older one, and the older one's rows go."""
+        rows = np.fromiter(self.new.values(), np.int64, len(self.new))
+        self.old, self.new = dict(zip(self.new, range(len(rows)))), {}
+        self.pool, self.starts, self.lengths = _gathered(self.pool, self.starts, self.lengths, rows)
+
+    def _add(self, words: list[str], found: list[list[int]]) -> None:
+        self._put(words, np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _put(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.starts)
+        self.new.update(zip(words, range(first, first + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.lengths, self.pool = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, ids.astype("<u4")])
+
+    def _learn(self, need: list[str]) -> None:
         new, old = self.new, self.old
         fresh, cut = set(), []
-        for w in need:
+
+        def wanted(w: str) -> None:
             if w in old:
                 new[w] = old[w]
-                continue
+            elif w not in new:
+                fresh.add(w)
+
+        for w in need:
             core = w.rstrip(_POINT)
-            if core and len(core) < len(w) and 97 <= core[-1] <= 122 and b"<|" not in w:
+            if w in old:
+                new[w] = old[w]
+            elif core and len(core) < len(w) and _SMALL.fullmatch(core[-1]) and "<|" not in w:
                 cut.append((w, core, w[len(core) :]))
-                fresh.update(x for x in cut[-1][1:] if x not in new and x not in old)
+                wanted(core)
+                wanted(w[len(core) :])
             else:
                 fresh.add(w)
-        plain = [w for w in fresh if w.isalpha() and w.islower()]
-        for w in plain:
-            # Lower-case ASCII letters alone pass all rules unchanged as one word, which goes to the model itself.
-            new[w] = array("I", [t.id for t in self.model.tokenize(w.decode())]).tobytes()
-        fresh = list(fresh.difference(plain))
-        for at in range(0, len(fresh), 4_000):
-            part = fresh[at : at + 4_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                new[w] = array("I", e.ids).tobytes()
-        for w, core, signs in cut:
-            new[w] = (new[core] if core in new else old[core]) + (new[signs] if signs in new else old[signs])
+        # Small letters of Latin-1 alone pass all rules unchanged as one word, which goes to the model itself.
+        plain = [w for w in fresh if _SMALL.fullmatch(w)]
+        found = [[t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_SIGNS))] for w in plain]
+        self._add(plain, found)
+        other = list(fresh.difference(plain))
+        for at in range(0, len(other), 4_000):
+            part = other[at : at + 4_000]
+            self._add(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+        if cut:
+            # A run that was cut gets the ids of its two parts, one after the other.
+            pairs = np.array([(new[core], new[signs]) for _, core, signs in cut], np.int64)
+            ids, _, lengths = _gathered(self.pool, self.starts, self.lengths, pairs.ravel())
+            self._put([w for w, _, _ in cut], ids, lengths.reshape(-1, 2).sum(1))
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of the given rows, one after the other, with their starts and lengths."""
+    counts = lengths[rows]
+    before = np.cumsum(counts) - counts
+    return pool[np.repeat(starts[rows] - before, counts) + np.arange(int(counts.sum()))], before, counts
 
 
 @lru_cache(maxsize=1)
@@ -188,44 +226,60 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, block: int = 8192, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes docs as token files in ascending order of id; returns shard, documents, ids and bytes per file.
+_FILES = "shard int, piece int, documents long, ids long, bytes long"
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, block: int = 8192, doc_id: str = "doc_id", text: str = "text", roll: int = 64 << 20) -> DataFrame:
+    """Writes docs as token files in ascending order of id; returns shard, piece, documents, ids and bytes per file.
 
-    Rows are range-partitioned by id, and each partition is one file named by its number, so files
-    in the order of their names hold the ids in order. A null text counts as empty; a null id
+    Rows are range-partitioned by id. A partition is one shard, whose next piece begins where the one before has `roll` bytes
+    of ids; files are named by shard and piece, so in the order of their names they hold the ids in order. A document
+    is never split, so one longer than that makes a longer file. A null text counts as empty; a null id
     comes first; rows that repeat an id follow one another. A retried task writes the same bytes under
-    the same name. Other columns are not read.
+    the same names. Other columns are not read.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), None
-        stats = [0, 0]
+        shard, encoder = TaskContext.get().partitionId(), _encoder(tokenizer)
+        end = b"" if end_id is None else struct.pack("<I", end_id)
+        bits = width(encoder.vocabulary)
 
-        def rows() -> Iterator[tuple[int | None, bytes]]:
-            for part in slices(batches, "text", 2 << 20):
+        def encoded() -> Iterator[tuple[int | None, bytes]]:
+            for part in slices(batches, "text", 8 << 20):
                 for i, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                    raw += end
-                    stats[0] += 1
-                    stats[1] += len(raw) // 4
-                    yield i, raw
-
-        encoder = _encoder(tokenizer)
-        end = b"" if end_id is None else struct.pack("<I", end_id)
-        size = write_file(f"{path}/part-{shard:06d}.tok", file_parts(rows(), encoder.vocabulary, block))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "documents": pa.array([stats[0]], pa.int64()), "ids": pa.array([stats[1]], pa.int64()), "bytes": pa.array([size], pa.int64())})
+                    yield i, raw + end
+
+        rows, done = encoded(), []
+        head = next(rows, None)
+        while head is not None:
+            counts = [0, 0]
+
+            def own() -> Iterator[tuple[int | None, bytes]]:
+                nonlocal head
+                while head is not None and counts[1] * bits // 8 < roll:
+                    counts[0] += 1
+                    counts[1] += len(head[1]) // 4
+                    yield head
+                    head = next(rows, None)
+
+            size = write_file(f"{path}/part-{shard:06d}-{len(done):05d}.tok", file_parts(own(), encoder.vocabulary, block))
+            done.append((shard, len(done), *counts, size))
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        columns = list(zip(*done)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _FILES.split(", ")])
 
     make_folder(path)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "shard int, documents long, ids long, bytes long")
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, _FILES)
 
 
-def read_token_files(spark: SparkSession, path: str, shards: DataFrame) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone.
 
-    shards has a row per file with its count of ids, as write_token_files returns; their running sum gives each
-    file's first position.
+    files has a row per file with its count of ids, as write_token_files returns them; their running sum, by shard and
+    then over shards, gives each file's first position. A file, of about the size at which they roll, is read whole by one task.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,27 +292,26 @@ def read_token_files(spark: SparkSession, path: str, shards: DataFrame) -> DataF
                     ids, base = f.ids(int(f.starts[lo]), int(f.starts[hi])).astype("<u4"), int(f.starts[lo])
                     for k in range(lo, hi):
                         sums[k] = zlib.crc32(ids[f.starts[k] - base : f.starts[k + 1] - base].tobytes())
-                yield pd.DataFrame({"shard": int(name[-10:-4]), "doc_id": pd.Series(f.names, dtype="int64"), "start": f.starts[:-1], "n_tokens": np.diff(f.starts), "ids_crc32": sums})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path).select("path", "content")
-    docs = files.mapInPandas(read, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    # A row per file of some hundred MB: 100 TB makes about 10^6 rows here.
-    base = spark.createDataFrame(_before(shards.select("shard", "ids").collect()), "shard int, base long")
-    return docs.join(F.broadcast(base), "shard").select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def _before(rows: list) -> list[tuple[int, int]]:
-    out, total = [], 0
-    for shard, ids in sorted((r["shard"], r["ids"]) for r in rows):
-        out.append((shard, total))
-        total += ids
-    return out
+                yield pd.DataFrame({"shard": int(name[-16:-10]), "piece": int(name[-9:-4]), "doc_id": pd.Series(f.names, dtype="int64"), "start": f.starts[:-1], "n_tokens": np.diff(f.starts), "ids_crc32": sums})
+
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path).select("path", "content")
+    docs = content.mapInPandas(read, "shard int, piece int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    shards = files.groupBy("shard").agg(F.sum("ids").alias("ids"))
+    # Shards are ordered in groups of 4096 first, then the few groups.
+    groups = shards.withColumn("wide", F.floor(F.col("shard") / 4096)).groupBy("wide").agg(F.sum("ids").alias("ids"))
+    first = groups.select("wide", F.coalesce(F.sum("ids").over(before.orderBy("wide")), F.lit(0)).alias("of_groups"))
+    shards = shards.withColumn("wide", F.floor(F.col("shard") / 4096))
+    shards = shards.withColumn("of_shards", F.coalesce(F.sum("ids").over(before.partitionBy("wide").orderBy("shard")), F.lit(0))).join(first, "wide")
+    base = files.withColumn("of_pieces", F.coalesce(F.sum("ids").over(before.partitionBy("shard").orderBy("piece")), F.lit(0)))
+    base = base.join(shards, "shard").select("shard", "piece", (F.col("of_groups") + F.col("of_shards") + F.col("of_pieces")).alias("base"))
+    return docs.join(base, ["shard", "piece"]).select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files that hold all documents' ids."""
     import public_tokenizers
 
     path = shared_path(spark, "tokens")
     written = write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    rows = spark.createDataFrame(written.collect(), written.schema)
-    return read_token_files(spark, path, rows)
+    return read_token_files(spark, path, stored(written, "token-files"))
