@@ -204,13 +204,17 @@ def run_report(raw: DataFrame, df: DataFrame, summary: DataFrame) -> DataFrame:
     return out
 
 
+def distributions(df: DataFrame, fields: list[str]) -> DataFrame:
+    """field, value, tracks, n_rows: how many tracks and rows have each value of the given columns, from one pass; NULL is a value."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields)))
+    return df.select("track_id", pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count_distinct("track_id").alias("tracks"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def analysed(raw: DataFrame, cal: GroundPlane | RowScale, fps: float, track: TrackParams = TrackParams(), motion: MotionParams = MotionParams()) -> DataFrame:
     """Raw tracks to kinematics: filter, fill, segment, smooth, measure."""
     return kinematics(smoothed(segmented(filled(kept_tracks(raw, track), track)), track), cal, fps, motion)
 
 
-
-
 def slope_velocity(df: DataFrame, fps: float, p: MotionParams = MotionParams()) -> DataFrame:
     """Velocity as the least-squares slope over the velocity window; the ends of a segment take the slope of its first and last whole window."""
     h = p.half_velocity(fps)
