@@ -133,6 +133,28 @@ class RowScale:
         return px * self.scales(y)[0]
 
 
+@dataclass(frozen=True)
+class NoScale:
+    """No metric scale is known: places, lengths and all that follows are NULL."""
+
+    width: int
+    height: int
+    confidence: float = 0.0
+
+    def scales(self, y: Column) -> tuple[Column, Column]:
+        none = F.lit(None).cast("double")
+        return none, none
+
+    def to_ground(self, x: Column, y: Column) -> tuple[Column, Column]:
+        return self.scales(y)
+
+    def in_range(self, y: Column) -> Column:
+        return F.lit(False)
+
+    def length_m(self, px: Column, y: Column) -> Column:
+        return F.lit(None).cast("double")
+
+
 #: The WGS 84 ellipsoid.
 WGS84_A = 6378137.0
 WGS84_F = 1 / 298.257223563

@@ -6,6 +6,10 @@ Functions take movements (track_id, origin, destination, turn, mode, f0, f1, tra
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,26 +176,40 @@ def smoothed_offsets(df: DataFrame, line: Line, fps: float, smooth_s: float = 0.
 
 
 def held_lanes(rows: DataFrame, fps: float, lane_width_m: float = 3.2, hysteresis_m: float = 0.7, dwell_s: float = 1.0) -> DataFrame:
-    """Adds lane and lane_change: a lane is left only beyond its margin and after a dwell in one other lane.
+    """track_id, frame, lane, lane_change of every row: a lane is left only beyond its margin and after a dwell in one other lane.
 
-    A fold over each track's rows in order, as a SQL aggregate over the track's array, so it stays in the JVM.
+    Each row's lane needs the one before it, so this is one pass over every track's rows in order. Rows come sorted by track in
+    Arrow batches; only the running state is kept between them, so a track may be of any length. An unknown offset keeps
+    the lane as it is, and before the first known one the lane is NULL.
     """
     dwell = max(3, round(dwell_s * fps))
-    arr = rows.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("frame", "lateral_offset_m"))).alias("p"))
-    first = F.floor(F.element_at("p", 1)["lateral_offset_m"] / lane_width_m).cast("int")
-    state = F.struct(first.alias("cur"), F.lit(0).alias("pending"), first.alias("cand"), F.array().cast("array<struct<frame:int,lane:int,lane_change:boolean>>").alias("out"))
-
-    def step(s, x):  # noqa: ANN001, ANN202
-        o = x["lateral_offset_m"]
-        inside = (o >= s["cur"] * lane_width_m - hysteresis_m) & (o <= (s["cur"] + 1) * lane_width_m + hysteresis_m)
-        cand = F.floor(o / lane_width_m).cast("int")
-        count = F.when(cand == s["cand"], s["pending"] + 1).otherwise(1)
-        change = ~inside & (count >= dwell)
-        cur = F.when(change, cand).otherwise(s["cur"])
-        return F.struct(cur.alias("cur"), F.when(inside | change, 0).otherwise(count).alias("pending"), F.when(inside, s["cur"]).otherwise(cand).alias("cand"), F.concat(s["out"], F.array(F.struct(x["frame"].alias("frame"), cur.alias("lane"), change.alias("lane_change")))).alias("out"))
-
-    out = arr.select("track_id", F.explode(F.aggregate("p", state, step, lambda s: s["out"])).alias("x"))
-    return out.select("track_id", "x.frame", "x.lane", "x.lane_change")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, cur, cand, pending = None, None, None, 0
+        for batch in batches:
+            lanes, changes = [], []
+            for t, o in zip(batch.column("track_id").to_pylist(), batch.column("lateral_offset_m").to_pylist()):
+                if t != track:
+                    track, cur, cand, pending = t, None, None, 0
+                change = False
+                if o is not None:
+                    own = math.floor(o / lane_width_m)
+                    if cur is None:
+                        cur = cand = own
+                    if cur * lane_width_m - hysteresis_m <= o <= (cur + 1) * lane_width_m + hysteresis_m:
+                        cand, pending = cur, 0
+                    else:
+                        pending = pending + 1 if own == cand else 1
+                        cand = own
+                        if pending >= dwell:
+                            cur, pending, change = own, 0, True
+                lanes.append(cur)
+                changes.append(change)
+            yield pa.RecordBatch.from_arrays([batch.column("track_id"), batch.column("frame"), pa.array(lanes, pa.int32()), pa.array(changes, pa.bool_())], names=["track_id", "frame", "lane", "lane_change"])
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ordered = rows.select("track_id", "frame", "lateral_offset_m").repartition("track_id").sortWithinPartitions("track_id", "frame")
+    return ordered.mapInArrow(fold, f"track_id {kind['track_id']}, frame {kind['frame']}, lane int, lane_change boolean")
 
 
 def lane_change_summary(df: DataFrame, lanes: DataFrame) -> DataFrame:

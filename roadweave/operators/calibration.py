@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.functions.expressions import GroundPlane, RowScale
+from roadweave.functions.expressions import GroundPlane, NoScale, RowScale
 
 
 def row_bins(samples: DataFrame, bins: int, least: int = 25) -> tuple[list[tuple[float, float, float]], int, float]:
@@ -69,10 +71,32 @@ def fit_row_scale(samples: DataFrame, width: int, height: int) -> RowScale:
     return RowScale(base, slope, width, height, min(max(0.6 - residual, 0.1), 0.6))
 
 
-def choose(samples: DataFrame, width: int, height: int, camera_height_m: float | None, pitch_deg: float | None) -> GroundPlane | RowScale:
-    """The ground plane where telemetry is usable and the fit is good, else the row scale."""
-    if camera_height_m is not None and pitch_deg is not None and camera_height_m > 3 and 5 < abs(pitch_deg) < 89.5:
+Calibration = GroundPlane | RowScale | NoScale
+
+
+def choose(samples: DataFrame, width: int, height: int, camera_height_m: float | None, pitch_deg: float | None, prefer: str = "auto") -> Calibration:
+    """The ground plane where telemetry is usable and the fit is good, else the row scale; prefer is auto, ground_plane, row_scale or none.
+
+    Both "auto" and "ground_plane" fall back to the row scale. With "none" nothing is fitted, and all metric values are NULL.
+    """
+    if prefer not in ("auto", "ground_plane", "row_scale", "none"):
+        raise ValueError(f"no calibration is called {prefer}")
+    if prefer == "none":
+        return NoScale(width, height)
+    if prefer != "row_scale" and camera_height_m is not None and pitch_deg is not None and camera_height_m > 3 and 5 < abs(pitch_deg) < 89.5:
         fit = fit_ground_plane(samples, camera_height_m, pitch_deg, width, height)
         if fit is not None and fit.confidence > 0.25:
             return fit
     return fit_row_scale(samples, width, height)
+
+
+def described(cal: Calibration) -> dict[str, object]:
+    """The calibration as plain values, for a report."""
+    out: dict[str, object] = {"method": {"GroundPlane": "ground_plane", "RowScale": "row_scale", "NoScale": "none"}[type(cal).__name__], **asdict(cal)}
+    if isinstance(cal, GroundPlane):
+        out["horizon_row"] = round(cal.horizon_row(), 1)
+    return out
+
+
+def calibration_json(cal: Calibration) -> str:
+    return json.dumps(described(cal), indent=2, sort_keys=True, allow_nan=False)

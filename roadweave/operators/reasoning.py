@@ -89,8 +89,10 @@ def accepted_gaps(minor: DataFrame, major: DataFrame) -> DataFrame:
     rows = minor.select("stream", "vehicle", "t_s", F.lit(1).alias("_minor")).unionByName(major.select("stream", "vehicle", "t_s", F.lit(0).alias("_minor")))
     # At equal times the minor crossing comes first, so the gap ends with the major one at or after it.
     w = Window.partitionBy("stream").orderBy("t_s", F.desc("_minor"), "vehicle")
+    # What comes after is found in the reversed order, since a frame to the end of the stream costs the square of its rows.
+    back = Window.partitionBy("stream").orderBy(F.desc("t_s"), "_minor", F.desc("vehicle"))
     t = F.when(F.col("_minor") == 0, F.col("t_s"))
-    rows = rows.withColumns({"before": F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(t, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    rows = rows.withColumns({"before": F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.last(t, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     return rows.where("_minor = 1 AND before IS NOT NULL AND after IS NOT NULL").select("stream", "vehicle", "t_s", (F.col("after") - F.col("before")).alias("gap_s"))
 
 
@@ -271,3 +273,20 @@ def lane_structure(density: DataFrame, lane_width_m: float = 3.2) -> DataFrame:
     peaks = density.where("peak").agg(F.sort_array(F.collect_list("x_m")).alias("p"))
     kept = F.aggregate("p", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) >= 0.55 * lane_width_m), F.concat(a, F.array(x))).otherwise(a))
     return peaks.select(kept.alias("mode_offsets_m")).withColumn("n_lanes", F.size("mode_offsets_m"))
+
+
+def lane_verdict(density: DataFrame, lane_width_m: float = 3.2, spacing_m: tuple[float, float] = (2.4, 4.2), sharp: float = 2.2) -> DataFrame:
+    """Whether traffic keeps to lanes: the density's peaks, their median spacing, the modality index ((most - least) / mean) and a verdict.
+
+    Bands about a lane apart are lanes, clear where the density is sharp and else weak. One sharp band is the road, not a lane: a
+    single undifferentiated stream; without sharpness there is no structure (absent). A density without rows gives no row.
+    """
+    whole = density.agg(((F.max("density") - F.min("density")) / F.greatest(F.avg("density"), F.lit(1e-9))).alias("modality_index")).where("modality_index IS NOT NULL")
+    out = lane_structure(density, lane_width_m).crossJoin(whole)
+    gaps = F.transform(F.sequence(F.lit(1), F.col("n_lanes") - 1), lambda k: F.element_at("mode_offsets_m", k + 1) - F.element_at("mode_offsets_m", k))
+    n, ordered = F.col("n_lanes") - 1, F.array_sort(gaps)
+    middle = (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor((n + 2) / 2).cast("int"))) / 2
+    out = out.withColumn("spacing_m", F.when(F.col("n_lanes") >= 2, middle))
+    lanes = F.coalesce(F.col("spacing_m").between(*spacing_m), F.lit(False))
+    verdict = F.when(lanes & (F.col("modality_index") >= sharp), "clear").when(lanes, "weak").when(F.col("modality_index") >= sharp, "single undifferentiated stream").otherwise("absent")
+    return out.withColumns({"lane_like_spacing": lanes, "lane_structure": verdict})

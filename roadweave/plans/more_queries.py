@@ -29,7 +29,7 @@ def b3_owned(spark: SparkSession, d: str) -> DataFrame:
     cx, cy = (F.col("bx1") + F.col("bx2")) / 2, (F.col("by1") + F.col("by2")) / 2
     rows = rows.where((cx >= F.col("x0")) & (cx < F.col("x1")) & (cy >= F.col("y0")) & (cy < F.col("y1")))
     rows = rows.select("event_id", "conf", "tile_id", (F.col("bx1") - F.col("x0")).alias("x1_t"), (F.col("by1") - F.col("y0")).alias("y1_t"), (F.col("bx2") - F.col("x0")).alias("x2_t"), (F.col("by2") - F.col("y0")).alias("y2_t"))
-    return rounded(D.owned(rows, grid.withColumnsRenamed({"x1": "ex", "y1": "ey"}), 1920, 1080).select("event_id", "x1", "y1", "x2", "y2"))
+    return rounded(D.owned(rows, grid, 1920, 1080).select("event_id", "x1", "y1", "x2", "y2"))
 
 
 def b6_exclusion(spark: SparkSession, d: str) -> DataFrame:

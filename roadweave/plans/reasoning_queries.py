@@ -90,6 +90,10 @@ def j11_lane_structure(spark: SparkSession, d: str) -> DataFrame:
     return R.lane_structure(R.lane_density(ground(spark, d), LINE)).select("n_lanes", F.round(F.array_min("mode_offsets_m"), 6).alias("first_m"), F.round(F.array_max("mode_offsets_m"), 6).alias("last_m"))
 
 
+def j11_lane_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.lane_verdict(R.lane_density(ground(spark, d), LINE)).drop("mode_offsets_m"))
+
+
 def _gaps(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
     minor, major = _minor_major(spark, d)
     modes = minor.select("vehicle", "mode")
@@ -106,7 +110,7 @@ def j13_raff_by_mode(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.raff_critical_gap(_gaps(spark, d, ["mode"])))
 
 
-QUERIES = {f.__name__: f for f in (j1_congestion_regions, j2_stopline, j3_cycles, j3_signals, j4_accepted, j4_rejected, j4_critical_gap, j5_desire_deviation, j6_obstructions, j8_shock_fronts, j8_shockwave, j9_periodicity, j10_complementarity, j11_lane_density, j11_lane_structure, j12_raff, j13_raff_by_mode)}
+QUERIES = {f.__name__: f for f in (j1_congestion_regions, j2_stopline, j3_cycles, j3_signals, j4_accepted, j4_rejected, j4_critical_gap, j5_desire_deviation, j6_obstructions, j8_shock_fronts, j8_shockwave, j9_periodicity, j10_complementarity, j11_lane_density, j11_lane_structure, j11_lane_verdict, j12_raff, j13_raff_by_mode)}
 
 CR = f"WITH cr AS ({duck(CROSSINGS)})"
 CY = CR + """, h AS (SELECT *, t_s - lag(t_s) OVER (PARTITION BY stream ORDER BY t_s, vehicle) AS hw FROM cr), pl AS (SELECT *, CAST(sum(CASE WHEN hw > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY t_s, vehicle) AS BIGINT) AS platoon FROM h),
@@ -129,7 +133,20 @@ def _raff(key: str) -> str:
 _COLL = GR + """, cc AS (SELECT segment, interval, sum(flow_veh_per_h) AS q, sum(density_veh_per_km) AS k, avg(speed_kmh) AS v, min(segment_start_m) AS seg_m, min(interval_start_s) AS t_s FROM cells GROUP BY 1, 2),
 fr AS (SELECT a.segment, a.interval, a.seg_m, a.t_s, a.q AS q_up, b.q AS q_down, a.k AS k_up, b.k AS k_down, (b.q - a.q) / (b.k - a.k) / 3.6::DOUBLE AS u_mps FROM cc a JOIN cc b ON b.interval = a.interval AND b.segment = a.segment + 1 WHERE (a.v < 40) <> (b.v < 40) AND abs(b.k - a.k) >= 1e-6), fronts AS (SELECT * FROM fr WHERE abs(u_mps) <= 30)
 """
+#: The density's peaks, merged where they are closer than 0.55 of a lane to the last that was kept.
+_KEPT = (
+    "WITH RECURSIVE"
+    + GR[4:]
+    + """, f AS (SELECT round_even(offset_m * 100, 0)::INT AS o, count(*) AS c FROM pr WHERE abs(offset_m) <= 10 GROUP BY 1), de AS (SELECT g, g * 1e-1 - 10 AS x, sum(c * exp(-5e-1 * ((g * 1e-1 - 10 - o / 1e2) / 3.5e-1) ** 2)) AS density FROM f CROSS JOIN (SELECT unnest(range(201))::INT AS g) GROUP BY g),
+      pk AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM (SELECT x, density, max(density) OVER (ORDER BY g ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m, avg(density) OVER () AS a FROM de) WHERE density = m AND density > 1.15::DOUBLE * a),
+      ke AS (SELECT i, x, [x] AS p FROM pk WHERE i = 1 UNION ALL SELECT pk.i, pk.x, CASE WHEN pk.x - list_last(p) >= 55e-2 * 32e-1 THEN list_append(p, pk.x) ELSE p END FROM ke JOIN pk ON pk.i = ke.i + 1), en AS (SELECT p FROM ke ORDER BY i DESC LIMIT 1)
+"""
+)
 ORACLES = {
+    "j11_lane_structure": _KEPT + "SELECT len(p)::INT AS n_lanes, round(p[1], 6) AS first_m, round(p[-1], 6) AS last_m FROM en",
+    "j11_lane_verdict": _KEPT
+    + """SELECT n_lanes, round(spacing, 6) AS spacing_m, round(mi, 6) AS modality_index, coalesce(spacing BETWEEN 2.4::DOUBLE AND 4.2::DOUBLE, false) AS lane_like_spacing, CASE WHEN coalesce(spacing BETWEEN 2.4::DOUBLE AND 4.2::DOUBLE, false) THEN CASE WHEN mi >= 2.2::DOUBLE THEN 'clear' ELSE 'weak' END WHEN mi >= 2.2::DOUBLE THEN 'single undifferentiated stream' ELSE 'absent' END AS lane_structure
+      FROM (SELECT len(p)::INT AS n_lanes, list_median([p[k + 1] - p[k] for k in range(1, len(p))]) AS spacing FROM en), (SELECT (max(density) - min(density)) / greatest(avg(density), 1e-9) AS mi FROM de)""",
     "j2_stopline": GR + """, l AS (SELECT *, lag(s_m) OVER w AS s0, lag(frame) OVER w AS f0 FROM near WHERE mode <> 'pedestrian' WINDOW w AS (PARTITION BY track_id ORDER BY frame)), hit AS (SELECT * FROM l WHERE s_m >= 60 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame) = 1)
       SELECT track_id, round((f0 + CASE WHEN s_m = s0 THEN 0 ELSE (60 - s0) / (s_m - s0) END * (hit.frame - f0)) / 5e0, 6) AS t_s, m.mode, round(m.med, 6) AS median_speed_kmh FROM hit JOIN (SELECT track_id, arg_min(mode, frame) AS mode, median(speed_kmh) AS med FROM l GROUP BY 1) m USING (track_id) WHERE f0 IS NOT NULL""",
     "j3_cycles": CY + f"SELECT stream, platoon, {r6('start_s', 'end_s')}, vehicles, {r6('green_s', 'red_s', 'cycle_s', 'saturation_flow_veh_h', 'startup_loss_s')} FROM cy",

@@ -120,6 +120,12 @@ ORACLES = {
       line AS (SELECT 'ASIA' AS origin, 'EUROPE' AS destination, 24 AS points, median(px) FILTER (node = 0) AS x, median(py) FILTER (node = 0) AS y FROM nd),
       ch AS (SELECT od.*, coalesce(l.points, 2)::INT AS points, coalesce(l.x, g.x) AS x, coalesce(l.y, g.y) AS y FROM od LEFT JOIN line l USING (origin, destination) LEFT JOIN gate g ON g.name = origin LEFT JOIN gate h ON h.name = destination WHERE l.x IS NOT NULL OR (g.x IS NOT NULL AND h.x IS NOT NULL))
       SELECT origin, destination, turn, count, points, {_LONLAT[0]} AS lon0, {_LONLAT[1]} AS lat0 FROM ch""",
+    "h10_centrelines": GR + NODES + " SELECT 'W' AS origin, 'E' AS destination, node, round(median(px), 6) AS x, round(median(py), 6) AS y FROM nd GROUP BY 3 HAVING count(*) >= 3",
+    "g7_trajectories": "WITH RECURSIVE"
+    + GR[4:]
+    + """, o AS (SELECT track_id, world_x_m AS x, world_y_m AS y, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS i FROM ground), f AS (SELECT track_id, i, x, y, 1 AS n FROM o WHERE i = 1
+      UNION ALL SELECT track_id, i, CASE WHEN far THEN x1 ELSE x END, CASE WHEN far THEN y1 ELSE y END, CASE WHEN far THEN n + 1 ELSE n END FROM (SELECT f.track_id, o.i, f.x, f.y, o.x AS x1, o.y AS y1, f.n, sqrt((o.x - f.x) ** 2 + (o.y - f.y) ** 2) >= 4 AS far FROM f JOIN o ON o.track_id = f.track_id AND o.i = f.i + 1))
+      SELECT track_id, max(n)::INT AS points, any_value(m) AS mode FROM f JOIN (SELECT track_id, arg_min(mode, frame) AS m FROM ground GROUP BY 1) USING (track_id) GROUP BY 1 HAVING max(n) >= 2""",
     "h10_centreline_nodes": GR + NODES + ", md AS (SELECT track_id, arg_min(mode, frame) AS destination FROM ground GROUP BY 1) SELECT 'W' AS origin, destination, node, round(median(px), 6) AS x, round(median(py), 6) AS y FROM nd JOIN md USING (track_id) GROUP BY 2, 3 HAVING count(DISTINCT track_id) >= 3",
     "b9_label_ids": "SELECT DISTINCT length(event_type)::INT AS cls_id, event_type AS cls_name FROM events",
     "f24_distributions": ST + " SELECT 'mode' AS field, mode AS value, count(DISTINCT track_id) AS tracks, count(*) AS n_rows FROM st GROUP BY 2 UNION ALL SELECT 'motion_state', motion_state, count(DISTINCT track_id), count(*) FROM st GROUP BY 2 UNION ALL SELECT 'cls_name', cls_name, count(DISTINCT track_id), count(*) FROM st GROUP BY 2",
