@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import slices, table
+from roadweave.llm.common import table
 from roadweave.llm.html_pages import training_pages
 
 # Elements that begin and end a block; all others are inline.
@@ -32,19 +32,45 @@ CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td
 _NAME = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An open element and those around it; sets of their tags and names are shared along the path, so that deep pages cost no more a block."""
+
+    __slots__ = ("above", "in_link", "names", "own", "tag", "tag_set", "under")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: Path | None) -> None:
+        self.tag, self.above = tag, above
+        block = tag in BLOCK
+        self.own = tag if block else above.own if above else ""
+        self.under = (above.own if block else above.under) if above else ""
+        self.in_link = tag == "a" or bool(above and above.in_link)
+        around = above.tag_set if above else frozenset()
+        self.tag_set = around | {tag} if block and tag not in around else around
+        known = above.names if above else frozenset()
+        self.names = known if known.issuperset(names) else known | set(names)
+
+
 @dataclass
 class Block:
     text: str
     linked: int
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    path: Path | None
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """The block elements around the text, from the outermost."""
+        found, at = [], self.path
+        while at:
+            if at.tag in BLOCK:
+                found.append(at.tag)
+            at = at.above
+        return tuple(reversed(found))
 
 
 class _Blocks(HTMLParser):
     def __init__(self, shown: frozenset[int] = frozenset()) -> None:
         """shown: the places of start tags, counted over the unseen kinds, that hide nothing."""
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[Path] = []
         self.shown, self.opened, self.ignored = shown, 0, False
         self.hidden: list[tuple[int, int]] = []  # depth in the stack and place of each open unseen element
         self.unclosed: dict[str, list[int]] = {}
@@ -56,25 +82,33 @@ class _Blocks(HTMLParser):
         if not self.ignored:
             super().set_cdata_mode(*args, **options)
 
+    def push(self, tag: str, names: tuple[str, ...] = ()) -> None:
+        self.stack.append(Path(tag, names, self.stack[-1] if self.stack else None))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """The place after a comment; one without an end, of which the whole page is at hand, ends at the next sign that could end a tag."""
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def cut(self, k: int, own: bool = False, noted: bool = True) -> None:
         """Ends the elements from depth k on; own: by the end tag of the one at k; noted: those without one are kept in mind."""
         while self.hidden and self.hidden[-1][0] >= k:
             depth, place = self.hidden.pop()
-            if noted and not (own and depth == k) and self.stack[depth][0] in BORNE:
-                self.unclosed.setdefault(self.stack[depth][0], []).append(place)
+            if noted and not (own and depth == k) and self.stack[depth].tag in BORNE:
+                self.unclosed.setdefault(self.stack[depth].tag, []).append(place)
         del self.stack[k:]
 
     def end_foreign(self) -> None:
         while self.hidden:
             k = self.hidden[-1][0]
-            if self.stack[k][0] not in ("svg", "math") or any(t in HOLDS_HTML for t, _ in self.stack[k + 1 :]):
+            if self.stack[k].tag not in ("svg", "math") or any(e.tag in HOLDS_HTML for e in self.stack[k + 1 :]):
                 break
             self.cut(k)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append(Block(text, self.linked, tuple(t for t, _ in self.stack if t in BLOCK), tuple(n for _, names in self.stack for n in names)))
+            self.blocks.append(Block(text, self.linked, self.stack[-1] if self.stack else None))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -86,17 +120,17 @@ class _Blocks(HTMLParser):
         if tag not in HEADED and self.in_head():
             self.cut(self.hidden[-1][0])
         if tag in UNSEEN:
-            self.ignored = self.opened in self.shown or (tag == "head" and any(t != "html" for t, _ in self.stack))
+            self.ignored = self.opened in self.shown or (tag == "head" and any(e.tag != "html" for e in self.stack))
             if not self.ignored:
                 self.hidden.append((len(self.stack), self.opened))
-                self.stack.append((tag, ()))
+                self.push(tag)
             self.opened += 1
             return
         if tag in BLOCK:
             self.flush()
             kinds = CLOSES.get(tag, "").split()
             for k in range(len(self.stack) - 1, -1, -1):
-                t = self.stack[k][0]
+                t = self.stack[k].tag
                 if t == "p" or t in kinds:
                     self.cut(k)
                     break
@@ -106,13 +140,13 @@ class _Blocks(HTMLParser):
             self.text.append(" ")
         if tag not in VOID:
             names = tuple(n for key, value in attrs if key in ("class", "id", "role") and value for n in _NAME.findall(value.lower()))
-            self.stack.append((tag, names))
+            self.push(tag, names)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+            if self.stack[k].tag == tag:
                 self.cut(k, own=True, noted=tag != "head")
                 break
         else:
@@ -120,14 +154,14 @@ class _Blocks(HTMLParser):
                 self.unclosed[tag].pop()
 
     def in_head(self) -> bool:
-        return bool(self.hidden) and self.stack[self.hidden[-1][0]][0] == "head"
+        return bool(self.hidden) and self.stack[self.hidden[-1][0]].tag == "head"
 
     def handle_data(self, data: str) -> None:
         if data.strip() and self.in_head():
             self.cut(self.hidden[-1][0])
         if not self.hidden:
             self.text.append(data)
-            if any(t == "a" for t, _ in self.stack):
+            if self.stack and self.stack[-1].in_link:
                 self.linked += len(data.strip())
 
 
@@ -147,17 +181,21 @@ def blocks(html: str | None) -> list[Block]:
     return p.blocks
 
 
+OUTSIDE = Path("", (), None)
+
+
 def features(b: Block) -> list[str]:
     words = b.text.count(" ") + 1
     share = b.linked / len(b.text)
-    out = ["bias", f"own={b.tags[-1] if b.tags else ''}"]
-    out += [f"in={t}" for t in set(b.tags)] + [f"name={n}" for n in set(b.names)]
+    path = b.path or OUTSIDE
+    out = ["bias", f"own={path.own}"]
+    out += [f"in={t}" for t in path.tag_set] + [f"name={n}" for n in path.names]
     out.append(f"words={0 if words < 3 else 1 if words < 6 else 2 if words < 12 else 3 if words < 30 else 4}")
     out.append(f"links={0 if share == 0 else 1 if share < 0.34 else 2 if share < 0.8 else 3}")
     out.append(f"stop={b.text[-1] in '.!?'}")
     out.append(f"mark={b.text[0] in '©®'}")
-    if len(b.tags) > 1:
-        out.append(f"pair={b.tags[-2]}>{b.tags[-1]}")
+    if path.under:
+        out.append(f"pair={path.under}>{path.own}")
     return out
 
 
@@ -245,23 +283,22 @@ def trained() -> Field:
 
 
 def extract(pages: DataFrame, field: Field, html: str = "html", text: str = "text", length: str = "n_chars") -> DataFrame:
-    """All columns of pages, with the main text and its code points; columns of these names are replaced. No shuffle.
+    """All columns of pages, with the main text and its code points; columns of these names are replaced. No shuffle; only the html goes to Python.
 
-    Null, empty and text-free pages give an empty text.
+    Null, empty and text-free pages give an empty text. A page of any length is parsed whole, in time about proportional to it.
     """
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-    pages = pages.drop(text, length)
-    schema = StructType([*pages.schema.fields, StructField(text, StringType()), StructField(length, LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, html):
-            found = [field.main_text(h) for h in part.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=[*part.schema.names, text, length])
+    @F.arrow_udf("text string, length long")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            texts = [field.main_text(h.as_py()) for h in column]
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["text", "length"])
 
-    return pages.mapInArrow(run, schema)
+    out = pages.withColumn("__rw_found", found(F.col(html)))
+    return out.select(*(c for c in pages.columns if c not in (text, length)), F.col("__rw_found.text").alias(text), F.col("__rw_found.length").alias(length))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page, as extract gives them."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages, trained()).select("page_id", "url", "text", "n_chars")
