@@ -149,6 +149,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
     passes them; the bytes in between are one quarantined gap.
     """
     at, gap, why = 0, -1, ""
+    member_at = line_at = 0
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
@@ -164,9 +165,14 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         except ValueError as e:
             if gap < 0:
                 gap, why = at, str(e)
-            g, v = data.find(GZIP, at + 1), START.search(data, at + 1)
-            after = [x for x in (g, v.start() if v else -1) if x >= 0]
-            at = min(after) if after else len(data)
+            # The next place of each mark is kept until it is passed, so no byte is searched twice for it.
+            if member_at <= at:
+                found = data.find(GZIP, at + 1)
+                member_at = found if found >= 0 else len(data)
+            if line_at <= at:
+                mark = START.search(data, at + 1)
+                line_at = mark.start() if mark else len(data)
+            at = min(member_at, line_at)
             continue
         if gap >= 0:
             yield gap, at - gap, None, b"", why
@@ -213,6 +219,7 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, read back from the archives that hold them all."""
     path = shared_path(spark, "warc")
     write_warc(marked(table(spark, sf_dir, "pages")), path).agg(F.sum("records")).collect()
     back = read_warc(spark, path).where("status = 'ok'")
