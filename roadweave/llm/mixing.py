@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import WORD, partitions, slices, stored, table
+from roadweave.llm.common import WORD, partitions, slices, small_table, stored, table
 
 BLOCK = 64  # words in a block
 SHARD = 4096  # slots in an output shard
@@ -60,18 +60,24 @@ def permuted(i: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def drawn(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of each colour are among n balls drawn from counts without replacement; beyond numpy's limit, rounded normal draws."""
+    """How many of each colour are among n balls drawn from counts without replacement, exactly and alike for counts of any size.
+
+    Each ball is taken by a coin toss first; then as many as are too many, or too few, are drawn from those
+    taken, or left, in the same way. That is about the square root of n, so the last few are drawn one by one soon.
+    """
     total = int(counts.sum())
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    out, left, need = np.zeros_like(counts), total, n
-    for k, c in enumerate(counts.tolist()):
-        left -= c
-        mean = need * c / max(1, left + c)
-        spread = np.sqrt(max(0.0, mean * (1 - c / max(1, left + c)) * (1 - need / max(1, left + c))))
-        out[k] = min(max(round(rng.normal(mean, spread)), need - left, 0), c, need)
-        need -= int(out[k])
-    return out
+    if n > total - n:
+        return counts - drawn(rng, counts, total - n)
+    if n <= 32:
+        left, out = counts.copy(), np.zeros_like(counts)
+        for _ in range(n):
+            k = int(np.searchsorted(np.cumsum(left), rng.integers(int(left.sum())), side="right"))
+            left[k] -= 1
+            out[k] += 1
+        return out
+    out = rng.binomial(counts, n / total)
+    over = int(out.sum()) - n
+    return out - drawn(rng, out, over) if over > 0 else out + drawn(rng, counts - out, -over)
 
 
 def shard_counts(shard: int, shards: int, slots: int, quotas: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +123,7 @@ class Mixture:
         self.blocks = [-(-n // block) for n in self.sizes]
         # A source's slots: rounded to whole blocks, and at most `most` passes over them.
         self.quotas = [min(int(most * b), round(t / n * b)) if n else 0 for n, t, b in zip(self.sizes, self.targets, self.blocks)]
-        named = spark.createDataFrame([(k, s, n, t) for k, (s, n, t) in enumerate(zip(self.sources, self.sizes, self.targets))], "sid int, source_name string, source_size long, target double")
+        named = small_table(spark, [list(range(len(rows))), self.sources, self.sizes, self.targets], "sid int, source_name string, source_size long, target double")
         from pyspark.sql import Window
 
         before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +165,7 @@ class Mixture:
                     yield pd.DataFrame({"shard": shard, "slot": np.arange(len(sid)), "sid": sid[order], "block": block[order]})
 
         if not shards:
-            return spark.createDataFrame([], "shard long, slot int, sid int, block long")
+            return small_table(spark, [[]] * 4, "shard long, slot int, sid int, block long")
         return spark.range(0, shards, 1, min(shards, partitions(spark))).mapInPandas(draw, "shard long, slot int, sid int, block long")
 
     def _times(self) -> DataFrame:
@@ -181,8 +187,8 @@ class Mixture:
         spark = self.docs.sparkSession
         times = self._times()
         got = self.pieces().join(times, ["sid", "block"]).where("words > 0")
-        spans = got.groupBy("sid", "part", "row", "text_hash", "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("spans"))
-        spans = spans.select(F.col("text_hash").alias("__rw_hash"), "spans", F.col("size").alias("__rw_size"), F.row_number().over(_copies("text_hash")).alias("__rw_copy"))
+        spans = got.groupBy("sid", "part", "row", "text_hash", "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("__rw_spans"))
+        spans = spans.select(F.col("text_hash").alias("__rw_hash"), "__rw_spans", F.col("size").alias("__rw_size"), F.row_number().over(_copies("text_hash")).alias("__rw_copy"))
         own = self.docs.withColumn("__rw_h", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
         own = own.withColumn("__rw_c", F.row_number().over(_copies("__rw_h")))
         # The copy numbers tell rows that repeat id and text apart; as a difference they are no join key, which keeps the window's partitioning.
@@ -222,7 +228,7 @@ class Mixture:
                 yield pa.RecordBatch.from_pydict(cols)
 
         schema = StructType(list(self.docs.schema.fields))
-        return both.select(*names, F.col("spans").alias("__rw_spans"), "__rw_size").mapInArrow(cut, schema)
+        return both.select(*names, "__rw_spans", "__rw_size").mapInArrow(cut, schema)
 
 
 def _copies(*keys: str):  # noqa: ANN202
@@ -232,5 +238,6 @@ def _copies(*keys: str):  # noqa: ANN202
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, and its source; nulls, ties and repeats as in Mixture."""
     mix = Mixture(table(spark, sf_dir, "documents"))
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
