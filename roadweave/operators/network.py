@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,53 +35,108 @@ def endpoints(df: DataFrame, min_travel_m: float = 25.0, frame: tuple[int, int]
 
 
 def average_linkage(points: np.ndarray, weights: np.ndarray, cut: float) -> np.ndarray:
-    """Labels of weighted points: the two clusters of least mean distance merge while it is at most cut. Labels order by first member."""
+    """Labels of weighted points: the two clusters of least mean distance merge while it is at most cut. Labels order by first member.
+
+    Clusters only merge if some of their points lie within cut, so each connected neighbourhood is worked on its own, by
+    chains of nearest neighbours: the square of its points in time and memory.
+    """
     n = len(points)
     if n == 0:
         return np.zeros(0, int)
-    d = np.hypot(points[:, None, 0] - points[None, :, 0], points[:, None, 1] - points[None, :, 1])
-    np.fill_diagonal(d, np.inf)
-    size, label, live = weights.astype(float).copy(), np.arange(n), np.ones(n, bool)
-    while live.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        d[i, ~live] = d[~live, i] = np.inf
-        d[i, j] = d[j, i] = np.inf
-        size[i] += size[j]
-        live[j] = False
-        label[label == j] = i
+    label = np.arange(n)
+    for part in neighbourhoods(points, cut):
+        for i, j, height in chained(points[part], weights[part].astype(float)):
+            if height <= cut:
+                a, b = sorted((label[part[i]], label[part[j]]))
+                label[part[label[part] == b]] = a
     return np.unique(label, return_inverse=True)[1]
 
 
-def gates(ends: DataFrame, cluster_m: float = 25.0, min_tracks: int = 12, cell_m: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def neighbourhoods(points: np.ndarray, reach: float) -> list[np.ndarray]:
+    """The indices of points that steps of at most reach connect. Points of one cell, whose diagonal is reach, always are; cells are compared while they are apart."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    for k, (x, y) in enumerate(np.floor(points * (2**0.5 / max(reach, 1e-9))).astype(np.int64).tolist()):
+        cells.setdefault((x, y), []).append(k)
+    low = np.arange(len(points))
+
+    def root(k: int) -> int:
+        while low[k] != k:
+            low[k] = low[low[k]]
+            k = int(low[k])
+        return k
+
+    for own in cells.values():
+        low[own] = own[0]
+    for (x, y), own in cells.items():
+        for dx, dy in ((0, 1), (0, 2), *((dx, dy) for dx in (1, 2) for dy in range(-2, 3))):
+            other = cells.get((x + dx, y + dy))
+            if other is None or (a := root(own[0])) == (b := root(other[0])):
+                continue
+            q = points[other]
+            if any((np.hypot(q[:, 0] - px, q[:, 1] - py) <= reach).any() for px, py in points[own]):
+                low[max(a, b)] = min(a, b)
+    roots = np.array([root(k) for k in range(len(points))])
+    order = np.argsort(roots, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
+
+
+def chained(points: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float]]:
+    """All merges (i, j, mean distance) of average linkage, i and j being members of the clusters: a chain follows nearest neighbours until two are each other's."""
+    n = len(points)
+    d = np.hypot(points[:, None, 0] - points[None, :, 0], points[:, None, 1] - points[None, :, 1])
+    np.fill_diagonal(d, np.inf)
+    size, chain, out, live = size.copy(), [], [], np.ones(n, bool)
+    while len(out) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        i = chain[-1]
+        j = int(d[i].argmin())
+        # A tie with the one before it in the chain ends the chain.
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+            del chain[-2:]
+            a, b = min(i, j), max(i, j)
+            out.append((a, b, float(d[a, b])))
+            new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            d[a], d[:, a] = new, new
+            d[a, a] = np.inf
+            d[b], d[:, b] = np.inf, np.inf
+            d[a, ~live] = d[~live, a] = np.inf
+            size[a] += size[b]
+            live[b] = False
+        else:
+            chain.append(j)
+    return out
+
+
+def gates(ends: DataFrame, cluster_m: float = 25.0, min_tracks: int = 12, cell_m: float | None = None, scene: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(gates, ends with gate_in and gate_out, -1 for none) from the clustered entry and exit points.
 
-    Points are first counted by cells of cell_m, so that what one group clusters is bounded by the scene's area and
-    not by its traffic; within a cell points share a gate.
+    scene names a column of ends that tells recordings or places apart: each is clustered by a task of its own, in the square of
+    its distinct points. For a scene with more endpoints than that allows, cell_m counts them by cells first, which bounds the
+    work by the scene's area; then points within a cell share a gate, and results differ a little from those of exact points.
     """
-    cell = lambda x, y: F.concat_ws("/", F.floor(x / cell_m), F.floor(y / cell_m))
-    both = ends.where("on_edge_in").select(F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(1).alias("i"), F.col("bearing_in").alias("b")).unionByName(ends.where("on_edge_out").select(F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(0).alias("i"), F.col("bearing_out").alias("b")))
-    both = both.withColumn("cell", cell(F.col("x"), F.col("y")))
-    cells = both.groupBy("cell").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    keys = [scene] if scene else []
+    ends = ends.withColumn("_scene", F.col(scene).cast("string") if scene else F.lit("all"))
+    at = lambda v: F.floor(v / cell_m).cast("double") if cell_m else v
+    both = ends.where("on_edge_in").select("_scene", *keys, F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(1).alias("i"), F.col("bearing_in").alias("b")).unionByName(ends.where("on_edge_out").select("_scene", *keys, F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(0).alias("i"), F.col("bearing_out").alias("b")))
+    both = both.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
+    cells = both.groupBy("_scene", "cx", "cy").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
 
     def label(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["x", "y"])
-        return pd.DataFrame({"cell": g["cell"], "label": average_linkage(g[["x", "y"]].to_numpy(), g["n"].to_numpy(), cluster_m)})
+        return pd.DataFrame({"_scene": g["_scene"], "cx": g["cx"], "cy": g["cy"], "label": average_linkage(g[["x", "y"]].to_numpy(), g["n"].to_numpy(), cluster_m)})
 
-    labels = cells.withColumn("scene", F.lit(0)).groupBy("scene").applyInPandas(label, "cell string, label int")
-    j = both.join(labels, "cell")
-    g = j.groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("i").alias("n_in"), F.sum(1 - F.col("i")).alias("n_out"), circular_mean(F.when(F.col("i") == 1, F.col("b"))).alias("bearing_in"), circular_mean(F.when(F.col("i") == 0, F.col("b"))).alias("bearing_out")).where(F.col("n_in") + F.col("n_out") >= min_tracks)
-    g = g.withColumn("gate", F.row_number().over(Window.orderBy("label")) - 1)
-    lab = labels.join(g.select("label", "gate"), "label").select("cell", "gate")
-    e = ends.withColumns({"_ci": F.when(F.col("on_edge_in"), cell(F.col("x0"), F.col("y0"))), "_co": F.when(F.col("on_edge_out"), cell(F.col("x1"), F.col("y1")))})
-    e = e.join(lab.select(F.col("cell").alias("_ci"), F.col("gate").alias("gate_in")), "_ci", "left").join(lab.select(F.col("cell").alias("_co"), F.col("gate").alias("gate_out")), "_co", "left")
-    return named(g.drop("label")), e.withColumns({"gate_in": F.coalesce("gate_in", F.lit(-1)), "gate_out": F.coalesce("gate_out", F.lit(-1))}).drop("_ci", "_co")
+    labels = cells.groupBy("_scene").applyInPandas(label, "_scene string, cx double, cy double, label int")
+    j = both.join(labels, ["_scene", "cx", "cy"])
+    g = j.groupBy("_scene", *keys, "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("i").alias("n_in"), F.sum(1 - F.col("i")).alias("n_out"), circular_mean(F.when(F.col("i") == 1, F.col("b"))).alias("bearing_in"), circular_mean(F.when(F.col("i") == 0, F.col("b"))).alias("bearing_out")).where(F.col("n_in") + F.col("n_out") >= min_tracks)
+    g = g.withColumn("gate", F.row_number().over(Window.partitionBy("_scene").orderBy("label")) - 1)
+    lab = labels.join(g.select("_scene", "label", "gate"), ["_scene", "label"]).select("_scene", "cx", "cy", "gate")
+    e = ends
+    for side, x, y in (("in", "x0", "y0"), ("out", "x1", "y1")):
+        e = e.withColumns({"_cx": F.when(F.col(f"on_edge_{side}"), at(F.col(x))), "_cy": F.when(F.col(f"on_edge_{side}"), at(F.col(y)))})
+        e = e.join(lab.select("_scene", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("gate").alias(f"gate_{side}")), ["_scene", "_cx", "_cy"], "left").drop("_cx", "_cy")
+    return named(g.drop("label"), scene=scene).drop("_scene"), e.withColumns({k: F.coalesce(k, F.lit(-1)) for k in ("gate_in", "gate_out")}).drop("_scene")
 
 
 def compass_point(deg: Column) -> Column:
@@ -87,20 +144,21 @@ def compass_point(deg: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, COMPASS)), k + 1)
 
 
-def named(g: DataFrame, yaw_deg: float = 0.0) -> DataFrame:
+def named(g: DataFrame, yaw_deg: float = 0.0, scene: str | None = None) -> DataFrame:
     """Names gates by where traffic comes from; a repeated name gets its number."""
     b = F.coalesce("bearing_in", "bearing_out") + F.lit(yaw_deg)
     g = g.withColumn("_p", F.when(b.isNotNull(), compass_point(F.pmod(b + 180.0, F.lit(360.0)))).otherwise(F.concat(F.lit("G"), F.col("gate"))))
-    r = F.row_number().over(Window.partitionBy("_p").orderBy("gate"))
+    r = F.row_number().over(Window.partitionBy(*([scene] if scene else []), "_p").orderBy("gate"))
     return g.withColumn("_r", r).withColumn("name", F.when(F.col("_r") > 1, F.concat("_p", F.col("_r").cast("string"))).otherwise(F.col("_p"))).drop("_p", "_r")
 
 
-def movements(ends: DataFrame, g: DataFrame) -> DataFrame:
-    """A row per track with both gates: origin, destination and turn. Gates are a few rows by geometry, so they are broadcast."""
-    e = ends.join(F.broadcast(g.select(F.col("gate").alias("gate_in"), F.col("name").alias("origin"))), "gate_in").join(F.broadcast(g.select(F.col("gate").alias("gate_out"), F.col("name").alias("destination"))), "gate_out")
+def movements(ends: DataFrame, g: DataFrame, scene: str | None = None) -> DataFrame:
+    """A row per track with both gates: origin, destination and turn. Gates are a few rows of each scene, so they are broadcast where Spark sees that they are small."""
+    keys = [scene] if scene else []
+    e = ends.join(g.select(*keys, F.col("gate").alias("gate_in"), F.col("name").alias("origin")), [*keys, "gate_in"]).join(g.select(*keys, F.col("gate").alias("gate_out"), F.col("name").alias("destination")), [*keys, "gate_out"])
     turn = turn_of(F.col("bearing_in"), F.col("bearing_out"))
     same = (F.col("gate_in") == F.col("gate_out")) & (turn != "u-turn")
-    return e.select("track_id", "origin", "destination", F.when(same, "internal").otherwise(turn).alias("turn"), "mode", "f0", "f1", "travel_m", "gate_in", "gate_out")
+    return e.select(*keys, "track_id", "origin", "destination", F.when(same, "internal").otherwise(turn).alias("turn"), "mode", "f0", "f1", "travel_m", "gate_in", "gate_out")
 
 
 def centrelines(df: DataFrame, mv: DataFrame, nodes: int = 24, min_points: int = 4, min_paths: int = 3) -> DataFrame:
@@ -121,16 +179,16 @@ def centrelines(df: DataFrame, mv: DataFrame, nodes: int = 24, min_points: int =
 
 
 def entry_lanes(df: DataFrame, mv: DataFrame, g: DataFrame, reach_m: float = 30.0, lane_width_m: float = 3.2, min_points: int = 3, min_tracks: int = 5) -> DataFrame:
-    """track_id, lane_in: each track's median offset across its entry, clustered per gate. Offsets are counted by decimetre first."""
+    """track_id, lane_in: each track's median offset across its entry, clustered per gate; equal offsets count once with their number."""
     near = df.join(mv.select("track_id", "gate_in"), "track_id").join(F.broadcast(g.select(F.col("gate").alias("gate_in"), F.col("x").alias("gx"), F.col("y").alias("gy"), "bearing_in")), "gate_in")
     dx, dy, b = F.col("world_x_m") - F.col("gx"), F.col("world_y_m") - F.col("gy"), F.radians("bearing_in")
     near = near.where(F.hypot(dx, dy) <= reach_m).withColumn("o", dx * F.cos(b) - dy * F.sin(b))
     off = near.groupBy("gate_in", "track_id").agg(F.median("o").alias("o"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_points) & F.col("o").isNotNull())
-    fine = off.groupBy("gate_in", F.rint(F.col("o") * 10).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    fine = off.groupBy("gate_in", "o").agg(F.count(F.lit(1)).alias("n"))
 
     def lanes(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("d")
-        x, n = p["d"].to_numpy() / 10.0, p["n"].to_numpy()
+        p = p.sort_values("o")
+        x, n = p["o"].to_numpy(), p["n"].to_numpy()
         lab = average_linkage(np.stack([x, np.zeros(len(x))], 1), n, 0.75 * lane_width_m)
         c = sorted(float(np.average(x[lab == k], weights=n[lab == k])) for k in np.unique(lab) if n[lab == k].sum() >= min_tracks)
         return pd.DataFrame({"gate_in": p["gate_in"].iloc[0], "lane": range(len(c)), "centre": c})
@@ -138,3 +196,40 @@ def entry_lanes(df: DataFrame, mv: DataFrame, g: DataFrame, reach_m: float = 30.
     centres = fine.groupBy("gate_in").applyInPandas(lanes, "gate_in int, lane int, centre double")
     j = off.join(F.broadcast(centres), "gate_in")
     return j.groupBy("track_id").agg(F.min(F.struct(F.abs(F.col("o") - F.col("centre")).alias("d"), "lane"))["lane"].alias("lane_in"))
+
+
+@dataclass
+class Network:
+    """What tracks tell of the roads: gates, movements with their entry lanes, and the centreline of every pair of gates with enough tracks."""
+
+    gates: DataFrame
+    movements: DataFrame
+    centrelines: DataFrame
+
+    def corridors(self) -> dict[tuple[str, str], list[tuple[float, float]]]:
+        """The centrelines as polylines: two dozen points for each pair of gates, which operators take as literals."""
+        out: dict[tuple[str, str], list[tuple[float, float]]] = {}
+        for r in self.centrelines.orderBy("origin", "destination", "node").collect():
+            out.setdefault((r["origin"], r["destination"]), []).append((r["x"], r["y"]))
+        return out
+
+
+def build(df: DataFrame, min_travel_m: float = 25.0, cluster_m: float = 25.0, min_tracks: int = 12, lane_width_m: float = 3.2, least_paths: int = 5, frame: tuple[int, int] | None = None) -> Network:
+    """Gates from where tracks begin and end, movements between them, entry lanes, and centrelines of pairs with at least least_paths real movements.
+
+    Its tables are read many times, so they are persisted; they have a row per gate, track, or node of a centreline.
+    """
+    g, ends = gates(endpoints(df, min_travel_m, frame).persist(), cluster_m, min_tracks)
+    g, ends = g.persist(), ends.persist()
+    real = movements(ends, g).persist()
+    lanes = entry_lanes(df, real, g, lane_width_m=lane_width_m)
+    mv = real.join(lanes, "track_id", "left").persist()
+    pairs = mv.where("turn <> 'internal'")
+    busy = pairs.groupBy("origin", "destination").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_paths).drop("n")
+    return Network(g, mv, centrelines(df, pairs.join(busy, ["origin", "destination"], "left_semi")).persist())
+
+
+def described(net: Network) -> DataFrame:
+    """field, value, n: how many gates there are, and movements by turn."""
+    gates_ = net.gates.agg(F.count(F.lit(1)).alias("n")).select(F.lit("gates").alias("field"), F.lit(None).cast("string").alias("value"), "n")
+    return gates_.unionByName(net.movements.groupBy("turn").agg(F.count(F.lit(1)).alias("n")).select(F.lit("turn").alias("field"), F.col("turn").alias("value"), "n"))
