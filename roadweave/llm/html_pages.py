@@ -131,8 +131,54 @@ def _article(p: _Page) -> None:
     p.open(f"</{a.split()[0]}>")
 
 
+def _bare_page(p: _Page) -> None:
+    """A page whose elements tell nothing by their kinds or names: what is main text shows in its words, links and neighbours alone."""
+    r = p.rng
+    name = lambda: r.choice(["", "", f' class="{"".join(r.choices(_SYLLABLES, k=2))}{r.randint(1, 99)}"'])
+
+    def linked_line() -> None:
+        tag = r.choice(["div", "p", "td", "center"])
+        a, b = ("<table><tr><td>", "</td></tr></table>") if tag == "td" else (f"<{tag}{name()}>", f"</{tag}>")
+        links = r.choice([" ", " | ", " &middot; "]).join(f'<a href="/{k}">{p.words(1, 3)}</a>' for k in range(r.randint(3, 9)))
+        p.block(a + links + b, 0)
+
+    def linked_list() -> None:
+        p.open(f"<ul{name()}>")
+        p.links(r.randint(3, 9))
+        p.open("</ul>")
+
+    def scrap() -> None:
+        p.block(r.choice([f"<div{name()}>&copy; {p.words(1, 5)}</div>", f"<div{name()}>{p.words(1, 4).rstrip('.')}</div>", f"<footer><p>{p.words(2, 12)}</p></footer>", f'<div><a href="/">{p.words(1, 2)}</a> <a href="/b">{p.words(1, 2)}</a></div>']), 0)
+
+    depth = r.randint(0, 3)
+    p.open("".join(f"<div{name()}>" for _ in range(depth)))
+    for _ in range(r.randint(0, 2)):
+        r.choice([linked_line, linked_list])()
+    if r.random() < 0.9:
+        inner = r.randint(0, 3)
+        p.open("".join(f"<div{name()}>" for _ in range(inner)))
+        if r.random() < 0.9:
+            p.block(f"<h1{name()}>{p.words(2, 10)}</h1>", 1)
+        for _ in range(r.randint(2, 10)):
+            kind = r.random()
+            if kind < 0.4:
+                p.block(f"<p{name()}>{p.words(8, 80)}</p>", 1)
+            elif kind < 0.6:
+                p.block(f"<div{name()}>{p.words(12, 80)}</div>", 1)
+            elif kind < 0.8:
+                p.block(f"<div{name()}><div>{'<br><br>'.join(p.words(10, 60) for _ in range(r.randint(2, 4)))}</div></div>", 1)
+            elif kind < 0.9:
+                p.block(f"<h2>{p.words(1, 6)}</h2>", 1)
+            else:
+                p.block(f'<p>{p.words(8, 40)} <a href="/x">{p.words(1, 3)}</a> {p.words(5, 20)}</p>', 1)
+        p.open("</div>" * inner)
+    for _ in range(r.randint(0, 3)):
+        r.choice([linked_line, linked_list, scrap, scrap])()
+    p.open("</div>" * depth)
+
+
 def training_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """(html, labels of its text blocks in order) for `count` pages of mixed layouts; the same for the same seed."""
+    """(html, labels of its text blocks in order) for `count` pages of mixed layouts and half as many bare ones; the same for the same seed."""
     out = []
     for k in range(count):
         p = _Page(random.Random(f"{seed}:{k}"))
@@ -145,6 +191,11 @@ def training_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
             _noise(p)
         p.open(p.rng.choice(["</body></html>", ""]))
         out.append(("".join(p.parts), p.labels))
+    for k in range(count // 2):
+        p = _Page(random.Random(f"{seed}:bare:{k}"))
+        p.open("<html><head><title>x</title></head><body>")
+        _bare_page(p)
+        out.append(("".join(p.parts), p.labels))
     return out
 
 
