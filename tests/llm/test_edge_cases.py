@@ -196,7 +196,7 @@ def test_token_files(spark, docs, rows, empty):
     tok = Tokenizer.from_file(path)
     for table in (docs, empty):
         at = shared_path(spark, "t")
-        stats = spark.createDataFrame(write_token_files(table, at, path, end_id=2).collect(), "shard int, documents long, ids long, bytes long")
+        stats = spark.createDataFrame(write_token_files(table, at, path, end_id=2).collect(), "shard int, piece int, documents long, ids long, bytes long")
         got = sorted((tuple(r) for r in read_token_files(spark, at, stats).collect()), key=lambda r: r[1])
         start, want = 0, []
         for i, t, *_ in sorted(rows if table is docs else [], key=lambda r: (r[0] is not None, r[0] or 0)):
