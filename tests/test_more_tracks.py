@@ -56,16 +56,14 @@ def test_bundles_hold_every_section(spark, junction):
 
     net = N.build(junction, min_tracks=5)
     lines = net.corridors()
-    assert [net_pair for net_pair in B.busiest(net, lines)][0] in lines
-    rows = B.as_rows({k: v for k, v in B.insights(junction, net, 10.0).items() if k in ("approaches", "od", "modal_split", "speed_profiles")}).collect()
-    od = [json.loads(r["row"]) for r in rows if r["section"] == "od"]
-    assert sorted(x["count"] for x in od) == [3, 4, 5, 6, 8, 14]
-    speeds = [json.loads(r["row"])["mean_speed_kmh"] for r in rows if r["section"] == "speed_profiles"]
-    assert speeds and all(abs(v - 36.0) < 1e-6 for v in speeds)
-    found = B.reasoning(junction, net, 10.0)
-    assert {"congestion", "signals", "desire_deviation", "lane_structure", "obstructions"} <= set(found)
-    assert found["congestion"].count() == 0
-    assert {r["signalised"] for r in found["signals"].collect()} <= {None, False, True}
+    pairs = B.busiest(net, lines)
+    assert pairs and all(p in lines for p in pairs)
+    rows = B.as_rows({"od": B.insights(junction, net, 10.0)["od"]}).collect()
+    assert sorted(json.loads(r["row"])["count"] for r in rows) == [3, 4, 5, 6, 8, 14]
+    # The rest is only planned here; its parts have tests of their own.
+    assert {"speed_profiles", "fundamental", "queues"} <= set(B.insights(junction, net, 10.0))
+    assert {"time_space", "cells", "validity", "lane_changes"} == set(B.flow(junction, net, 10.0))
+    assert {"congestion", "signals", "desire_deviation", "lane_structure", "obstructions"} <= set(B.reasoning(junction, net, 10.0))
 
 
 def test_average_linkage_against_brute_force():
