@@ -182,4 +182,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 23,
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector, unsound ones too, as near_duplicates gives them."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

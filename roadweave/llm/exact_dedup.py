@@ -59,6 +59,7 @@ class DigestIndex:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document, dropped ones too; nulls, ties and repeats as in DigestIndex.deduplicate."""
     index = DigestIndex(spark, shared_path(spark, "digest-index"))
     out = index.deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -154,7 +154,8 @@ def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, jaccard: float
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = own.unionByName(others).repartition(partitions(scratch.spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    out = scratch.stored(rows.mapInArrow(run, "a long, b long"), "links")
+    # A few files of pairs instead of one per task.
+    out = scratch.stored(rows.mapInArrow(run, "a long, b long").hint("rebalance"), "links")
     scratch.drop(pairs, dealt)
     return out
 

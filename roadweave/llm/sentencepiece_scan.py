@@ -13,7 +13,7 @@ products of these matrices, which are associative, give the piece over every edg
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,8 +43,6 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the model has pieces that go on after a space, which no text can be cut at")
-        if self.sp.encode(" a  ① ") != self.sp.encode("a  ① ", add_bos=False)[:0] + self.sp.encode(" a  ① ") or self.sp.decode(self.sp.encode(" a  ① ")) != " a  ① ":
-            raise ValueError("the model changes texts before it encodes them")
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.texts = np.empty(len(ids), object)
         self.texts[:] = b""
@@ -52,6 +50,9 @@ class Pieces:
             self.texts[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
             self.texts[i] = bytes([b])
+        probe = " a  ①\tﬁ Ａe\u0301\n b "
+        if b"".join(self.texts[self.sp.encode(probe)]) != f" {probe}".encode():
+            raise ValueError("the model changes texts before it encodes them, or does not begin them with a space")
         self.most, self.cache = most, {}
         self.agree = lru_cache(1 << 18)(self._agree)
 
@@ -73,7 +74,7 @@ class Pieces:
         return [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
 
     def units(self, text: str) -> list[str]:
-        """Parts of a text that encode on their own: each begins with the spaces before its word."""
+        """Parts of a text without SPACE signs that encode on their own: each begins with the spaces before its word; as many SPACE signs stand for spaces at the end."""
         parts = text.split(" ")
         if "" not in parts:
             return parts
@@ -84,7 +85,7 @@ class Pieces:
                 run = 0
             else:
                 run += 1
-        out.append(" " * run + parts[-1] if parts[-1] else "\0" * (run + 1))
+        out.append(" " * run + parts[-1] if parts[-1] else SPACE * (run + 1))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -98,9 +99,9 @@ class Pieces:
         for at in range(0, len(fresh), 4_000):
             part = fresh[at : at + 4_000]
             # A unit of spaces alone stands at a text's end; it has no word for the space that begins a text to belong to.
-            found = self.sp.encode([u if u.strip("\0") or not u else " " * (len(u) - 1) for u in part], num_threads=1)
+            found = self.sp.encode([" " * (len(u) - 1) if u.startswith(SPACE) else u for u in part], num_threads=1)
             for u, ids in zip(part, found):
-                if u and not u.strip("\0"):
+                if u.startswith(SPACE):
                     ids = ids or [self.ids[SPACE]]
                 self.cache[u] = np.array(ids, dtype="<u4").tobytes()
         return [b"".join(map(self.cache.__getitem__, s)) for s in split]
@@ -209,12 +210,17 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str = "doc_i
     return short.unionByName(parts)
 
 
-def encoded_parts(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+_PARTS = "doc_id long, doc long, chunk int, chunks int, ids binary"
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoded_parts(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text", then: Callable[[Batches], Batches] = lambda rows: rows, schema: str = _PARTS) -> tuple[DataFrame, DataFrame]:
     """Two tables, of documents of one chunk and of longer ones: doc_id, doc (a number of the row, for documents of several chunks), chunk, chunks, ids (binary, little-endian unsigned 32-bit).
 
     A row per document of up to `chunk` characters, and per chunk of a longer one: document order is by chunk, and the chunks' ids
     joined are the ids of the whole text. A null text counts as empty and has a row without ids. Rows that repeat stay apart. A chunk is never
-    shorter than the longest piece. The model path must be readable on the executors; other columns are not read.
+    shorter than the longest piece. The model path must be readable on the executors; other columns are not read. then makes
+    batches of the given schema of those of both tables, in the same Python worker.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -285,22 +291,24 @@ def encoded_parts(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str =
             ids = [m.trace(s, p, q, k == 0, f, e) for s, p, q, k, f, e in zip(*cols)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "doc", "chunk", "chunks")), pa.array(ids, pa.binary())], names=["doc_id", "doc", "chunk", "chunks", "ids"])
 
-    out = "doc_id long, doc long, chunk int, chunks int, ids binary"
-    parts = pieces.join(edges, ["doc", "chunk"]).select("doc_id", "doc", "chunk", "chunks", "p", "q", "s", "first", "last").mapInArrow(trace, out)
-    return rows.where(F.col("n_chars") <= chunk).mapInArrow(small, out), parts
+    parts = pieces.join(edges, ["doc", "chunk"]).select("doc_id", "doc", "chunk", "chunks", "p", "q", "s", "first", "last")
+    return rows.where(F.col("n_chars") <= chunk).mapInArrow(lambda b: then(small(b)), schema), parts.mapInArrow(lambda b: then(trace(b)), schema)
+
+
+def decoded(batches: Batches, model: str) -> Batches:
+    """The batches with a text, the characters of each row's ids."""
+    m = _pieces(model)
+    for part in slices(batches, "ids"):
+        found = [m.decode(i or b"", k == 0) for i, k in zip(part.column("ids").to_pylist(), part.column("chunk").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, "text"])
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """Adds text, the characters of each row's ids; a document's rows joined by chunk are its text. A null or empty ids gives an empty text."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _pieces(model)
-        for part in slices(batches, "ids"):
-            found = [m.decode(i or b"", k == 0) for i, k in zip(part.column("ids").to_pylist(), part.column("chunk").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, "text"])
-
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
+    schema = StructType([*(f for f in encoded.schema.fields if f.name != "text"), StructField("text", StringType())])
+    return encoded.drop("text").mapInArrow(lambda b: decoded(b, model), schema)
 
 
 def joined_crc(first: int, second: int, length: int) -> int:
@@ -331,13 +339,13 @@ def summary(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """
     out = "doc_id long, doc long, chunk int, n_chars long, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long"
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+    def sums(batches: Batches) -> Batches:
+        for part in decoded(batches, model):
             ids, texts = part.column("ids").to_pylist(), [t.encode() for t in part.column("text").to_pylist()]
             cols = [[len(t) for t in part.column("text").to_pylist()], [len(i) // 4 for i in ids], map(zlib.crc32, ids), map(len, texts), map(zlib.crc32, texts)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "doc", "chunk")), *(pa.array(list(c), pa.int64()) for c in cols)], names=[c.split()[0] for c in out.split(", ")])
 
-    short, parts = (decode(p, model).mapInArrow(sums, out) for p in encoded_parts(docs, model, chunk))
+    short, parts = encoded_parts(docs, model, chunk, then=sums, schema=out)
 
     def join(t: pa.Table) -> pa.RecordBatch:
         rows: dict[int, list[int]] = {}
@@ -354,6 +362,7 @@ def summary(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and checksums of every document, from its encoded and decoded chunks, as summary gives them."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
