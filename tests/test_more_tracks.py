@@ -50,20 +50,13 @@ def test_network_is_built_with_turns_lanes_and_centrelines(spark, junction):
     assert N.movements(e, g, scene="clip").count() == 40
 
 
-def test_bundles_hold_every_section(spark, junction):
+def test_sections_become_rows(spark):
+    from roadweave.operators import aggregates as A
     from roadweave.operators import bundles as B
-    from roadweave.operators import network as N
 
-    net = N.build(junction, min_tracks=5)
-    lines = net.corridors()
-    pairs = B.busiest(net, lines)
-    assert pairs and all(p in lines for p in pairs)
-    rows = B.as_rows({"od": B.insights(junction, net, 10.0)["od"]}).collect()
-    assert sorted(json.loads(r["row"])["count"] for r in rows) == [3, 4, 5, 6, 8, 14]
-    # The rest is only planned here; its parts have tests of their own.
-    assert {"speed_profiles", "fundamental", "queues"} <= set(B.insights(junction, net, 10.0))
-    assert {"time_space", "cells", "validity", "lane_changes"} == set(B.flow(junction, net, 10.0))
-    assert {"congestion", "signals", "desire_deviation", "lane_structure", "obstructions"} <= set(B.reasoning(junction, net, 10.0))
+    mv = spark.createDataFrame([(k, "W", "E", "through", "car", 0, 9, 5.0) for k in range(3)] + [(9, "E", "E", "internal", "car", 0, 9, 5.0)], "track_id long, origin string, destination string, turn string, mode string, f0 int, f1 int, travel_m double")
+    rows = B.as_rows({"od": A.od_summary(mv), "modes": A.modal_split(mv)}).collect()
+    assert [json.loads(r["row"])["count"] for r in rows if r["section"] == "od"] == [3] and {r["section"] for r in rows} == {"od", "modes"}
 
 
 def test_average_linkage_against_brute_force():
