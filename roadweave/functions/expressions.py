@@ -222,18 +222,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def projected(x: Column, y: Column, line: Line) -> Column:
-    """struct(s_m, offset_m): the place along a polyline and the signed offset; the first of equally near segments counts.
-
-    An expression over a literal array of segments: rows are projected within their stage, without a join, and the
-    plan's size does not depend on what else uses the result.
-    """
+def segments_of(line: Line) -> Column:
+    """The pieces of a polyline as a literal array: number, start, direction, length, and the way along the line at the start."""
     parts, at = [], 0.0
     for k, (a, b) in enumerate(zip(line, line[1:])):
         dx, dy = b[0] - a[0], b[1] - a[1]
         n = max(math.hypot(dx, dy), 1e-9)
         parts.append(F.struct(*(F.lit(v).alias(c) for c, v in (("k", k), ("ax", a[0]), ("ay", a[1]), ("dx", dx), ("dy", dy), ("n", n), ("at", at)))))
         at += n
+    return F.array(*parts)
+
+
+def projected(x: Column, y: Column, line: Line | Column) -> Column:
+    """struct(s_m, offset_m): the place along a polyline and the signed offset; the first of equally near segments counts.
+
+    An expression over an array of segments, literal or a column: rows are projected within their stage, and the plan's size does not depend on how
+    many polylines there are when each row brings its own.
+    """
 
     def nearest(g: Column) -> Column:
         t = F.least(F.greatest(((x - g["ax"]) * g["dx"] + (y - g["ay"]) * g["dy"]) / (g["n"] * g["n"]), F.lit(0.0)), F.lit(1.0))
@@ -249,5 +254,5 @@ def projected(x: Column, y: Column, line: Line) -> Column:
 
         return let(t, offset)
 
-    best = F.array_min(F.transform(F.array(*parts), nearest))
+    best = F.array_min(F.transform(line if isinstance(line, Column) else segments_of(line), nearest))
     return F.when(x.isNotNull() & y.isNotNull(), best)

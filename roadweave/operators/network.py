@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,15 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.expressions import bearing, circular_mean, turn_of
+from roadweave.storage import cut
 
 #: The 16 compass points.
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 
 
-def endpoints(df: DataFrame, min_travel_m: float = 25.0, frame: tuple[int, int] | None = None, margin_px: float = 45.0) -> DataFrame:
+def endpoints(df: DataFrame, min_travel_m: float = 25.0, frame: tuple[int, int] | None = None, margin_px: float = 45.0, keys: Sequence[str] = ()) -> DataFrame:
     """Per track its first and last known place (each column by itself), span, travel, bearings over its first and last points, and whether its ends lie at the border."""
     at = lambda c, f: f(c, F.when(F.col(c).isNotNull(), F.col("frame")))
-    w = Window.partitionBy("track_id")
+    track = [*keys, "track_id"]
+    w = Window.partitionBy(*track)
     known = F.col("world_x_m").isNotNull() & F.col("world_y_m").isNotNull()
     df = df.withColumns({"_i": F.when(known, F.count_if(known).over(w.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))), "_n": F.count_if(known).over(w)})
     k = F.greatest(F.lit(2), F.least(F.floor(F.col("_n") / 4), F.lit(45)))
@@ -28,10 +31,10 @@ def endpoints(df: DataFrame, min_travel_m: float = 25.0, frame: tuple[int, int]
         cols |= {f"_{a}1": pick(c, F.lit(1)), f"_{a}k": pick(c, k), f"_{a}m": pick(c, F.col("_n") - k + 1), f"_{a}n": pick(c, F.col("_n"))}
     if frame:
         cols |= {"px0": at("cx", F.min_by), "py0": at("cy", F.min_by), "px1": at("cx", F.max_by), "py1": at("cy", F.max_by)}
-    g = df.groupBy("track_id").agg(*(v.alias(n) for n, v in cols.items()))
+    g = df.groupBy(*track).agg(*(v.alias(n) for n, v in cols.items()))
     edge = (lambda x, y: (x <= margin_px) | (x >= frame[0] - 1 - margin_px) | (y <= margin_px) | (y >= frame[1] - 1 - margin_px)) if frame else (lambda x, y: F.lit(True))
     g = g.withColumns({"travel_m": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), "bearing_in": bearing(F.col("_xk") - F.col("_x1"), F.col("_yk") - F.col("_y1")), "bearing_out": bearing(F.col("_xn") - F.col("_xm"), F.col("_yn") - F.col("_ym")), "on_edge_in": edge(F.col("px0") if frame else None, F.col("py0") if frame else None), "on_edge_out": edge(F.col("px1") if frame else None, F.col("py1") if frame else None)})
-    return g.where((F.col("travel_m") >= min_travel_m) & F.col("x0").isNotNull() & F.col("y0").isNotNull()).select("track_id", "x0", "y0", "x1", "y1", "f0", "f1", "mode", "travel_m", "bearing_in", "bearing_out", "on_edge_in", "on_edge_out")
+    return g.where((F.col("travel_m") >= min_travel_m) & F.col("x0").isNotNull() & F.col("y0").isNotNull()).select(*track, "x0", "y0", "x1", "y1", "f0", "f1", "mode", "travel_m", "bearing_in", "bearing_out", "on_edge_in", "on_edge_out")
 
 
 def average_linkage(points: np.ndarray, weights: np.ndarray, cut: float) -> np.ndarray:
@@ -127,7 +130,7 @@ def gates(ends: DataFrame, cluster_m: float = 25.0, min_tracks: int = 12, cell_m
         g = g.sort_values(["x", "y"])
         return pd.DataFrame({"_scene": g["_scene"], "cx": g["cx"], "cy": g["cy"], "label": average_linkage(g[["x", "y"]].to_numpy(), g["n"].to_numpy(), cluster_m)})
 
-    labels = cells.groupBy("_scene").applyInPandas(label, "_scene string, cx double, cy double, label int")
+    labels = cut(cells.groupBy("_scene").applyInPandas(label, "_scene string, cx double, cy double, label int"))
     j = both.join(labels, ["_scene", "cx", "cy"])
     g = j.groupBy("_scene", *keys, "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("i").alias("n_in"), F.sum(1 - F.col("i")).alias("n_out"), circular_mean(F.when(F.col("i") == 1, F.col("b"))).alias("bearing_in"), circular_mean(F.when(F.col("i") == 0, F.col("b"))).alias("bearing_out")).where(F.col("n_in") + F.col("n_out") >= min_tracks)
     g = g.withColumn("gate", F.row_number().over(Window.partitionBy("_scene").orderBy("label")) - 1)
@@ -161,41 +164,48 @@ def movements(ends: DataFrame, g: DataFrame, scene: str | None = None) -> DataFr
     return e.select(*keys, "track_id", "origin", "destination", F.when(same, "internal").otherwise(turn).alias("turn"), "mode", "f0", "f1", "travel_m", "gate_in", "gate_out")
 
 
-def centrelines(df: DataFrame, mv: DataFrame, nodes: int = 24, min_points: int = 4, min_paths: int = 3) -> DataFrame:
-    """origin, destination, node, x, y: the median over paths of each of `nodes` places equally spaced along them."""
-    rows = df.where("world_x_m IS NOT NULL AND world_y_m IS NOT NULL").join(mv.select("track_id", "origin", "destination"), "track_id")
-    w = Window.partitionBy("track_id").orderBy("frame")
+def centrelines(df: DataFrame, mv: DataFrame, nodes: int = 24, min_points: int = 4, min_paths: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, origin, destination, node, x, y: the median over paths of each of `nodes` places equally spaced along them."""
+    track, pair = [*keys, "track_id"], [*keys, "origin", "destination"]
+    rows = df.where("world_x_m IS NOT NULL AND world_y_m IS NOT NULL").join(mv.select(*track, "origin", "destination"), track)
+    w, whole = Window.partitionBy(*track).orderBy("frame"), Window.partitionBy(*track)
     step = F.coalesce(F.hypot(F.col("world_x_m") - F.lag("world_x_m").over(w), F.col("world_y_m") - F.lag("world_y_m").over(w)), F.lit(0.0))
-    rows = rows.withColumn("_d", step).withColumns({"_s": F.sum("_d").over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("track_id"))}).where(F.col("_n") >= min_points)
-    total = F.max("_s").over(Window.partitionBy("track_id"))
-    rows = rows.withColumns({"_t": total, "_s2": F.lead("_s").over(w), "_x2": F.lead("world_x_m").over(w), "_y2": F.lead("world_y_m").over(w)}).where("_t > 0 AND _s2 > _s")
+    rows = rows.withColumn("_d", step).withColumns({"_s": F.sum("_d").over(w), "_n": F.count(F.lit(1)).over(whole)}).where(F.col("_n") >= min_points)
+    rows = rows.withColumns({"_t": F.max("_s").over(whole), "_s2": F.lead("_s").over(w), "_x2": F.lead("world_x_m").over(w), "_y2": F.lead("world_y_m").over(w)}).where("_t > 0 AND _s2 > _s")
     # Each piece of a path yields the nodes that fall on it, so nodes and pieces need no join.
     u = F.col("_t") / (nodes - 1)
     first, last = F.ceil(F.col("_s") / u - 1e-9), F.when(F.col("_s2") >= F.col("_t"), F.lit(nodes - 1)).otherwise(F.ceil(F.col("_s2") / u - 1e-9) - 1)
     rows = rows.withColumn("node", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("node") * u - F.col("_s")) / (F.col("_s2") - F.col("_s"))))
-    rows = rows.select("track_id", "origin", "destination", F.col("node").cast("int").alias("node"), (F.col("world_x_m") + share * (F.col("_x2") - F.col("world_x_m"))).alias("x"), (F.col("world_y_m") + share * (F.col("_y2") - F.col("world_y_m"))).alias("y"))
-    return rows.groupBy("origin", "destination", "node").agg(F.median("x").alias("x"), F.median("y").alias("y"), F.count_distinct("track_id").alias("paths")).where(F.col("paths") >= min_paths).drop("paths")
+    x = (F.col("world_x_m") + share * (F.col("_x2") - F.col("world_x_m"))).alias("x")
+    y = (F.col("world_y_m") + share * (F.col("_y2") - F.col("world_y_m"))).alias("y")
+    rows = rows.select("track_id", *pair, F.col("node").cast("int").alias("node"), x, y)
+    return rows.groupBy(*pair, "node").agg(F.median("x").alias("x"), F.median("y").alias("y"), F.count_distinct("track_id").alias("paths")).where(F.col("paths") >= min_paths).drop("paths")
 
 
-def entry_lanes(df: DataFrame, mv: DataFrame, g: DataFrame, reach_m: float = 30.0, lane_width_m: float = 3.2, min_points: int = 3, min_tracks: int = 5) -> DataFrame:
-    """track_id, lane_in: each track's median offset across its entry, clustered per gate; equal offsets count once with their number."""
-    near = df.join(mv.select("track_id", "gate_in"), "track_id").join(F.broadcast(g.select(F.col("gate").alias("gate_in"), F.col("x").alias("gx"), F.col("y").alias("gy"), "bearing_in")), "gate_in")
+def entry_lanes(df: DataFrame, mv: DataFrame, g: DataFrame, reach_m: float = 30.0, lane_width_m: float = 3.2, min_points: int = 3, min_tracks: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, track_id, lane_in: each track's median offset across its entry, clustered per gate of its recording; equal offsets count once with their number.
+
+    Gates are a few rows a recording and lanes a few a gate; Spark broadcasts them where their size allows it.
+    """
+    track, gate = [*keys, "track_id"], [*keys, "gate_in"]
+    near = df.join(mv.select(*track, "gate_in"), track).join(g.select(*keys, F.col("gate").alias("gate_in"), F.col("x").alias("gx"), F.col("y").alias("gy"), "bearing_in"), gate)
     dx, dy, b = F.col("world_x_m") - F.col("gx"), F.col("world_y_m") - F.col("gy"), F.radians("bearing_in")
     near = near.where(F.hypot(dx, dy) <= reach_m).withColumn("o", dx * F.cos(b) - dy * F.sin(b))
-    off = near.groupBy("gate_in", "track_id").agg(F.median("o").alias("o"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_points) & F.col("o").isNotNull())
-    fine = off.groupBy("gate_in", "o").agg(F.count(F.lit(1)).alias("n"))
+    off = near.groupBy(*gate, "track_id").agg(F.median("o").alias("o"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_points) & F.col("o").isNotNull())
+    fine = off.groupBy(*gate, "o").agg(F.count(F.lit(1)).alias("n"))
 
     def lanes(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("o")
         x, n = p["o"].to_numpy(), p["n"].to_numpy()
         lab = average_linkage(np.stack([x, np.zeros(len(x))], 1), n, 0.75 * lane_width_m)
         c = sorted(float(np.average(x[lab == k], weights=n[lab == k])) for k in np.unique(lab) if n[lab == k].sum() >= min_tracks)
-        return pd.DataFrame({"gate_in": p["gate_in"].iloc[0], "lane": range(len(c)), "centre": c})
+        return pd.DataFrame({**{k: p[k].iloc[0] for k in gate}, "lane": range(len(c)), "centre": c})
 
-    centres = fine.groupBy("gate_in").applyInPandas(lanes, "gate_in int, lane int, centre double")
-    j = off.join(F.broadcast(centres), "gate_in")
-    return j.groupBy("track_id").agg(F.min(F.struct(F.abs(F.col("o") - F.col("centre")).alias("d"), "lane"))["lane"].alias("lane_in"))
+    kinds = dict(fine.dtypes)
+    centres = fine.groupBy(*gate).applyInPandas(lanes, ", ".join([*(f"`{k}` {kinds[k]}" for k in gate), "lane int", "centre double"]))
+    j = off.join(centres, gate)
+    return j.groupBy(*track).agg(F.min(F.struct(F.abs(F.col("o") - F.col("centre")).alias("d"), "lane"))["lane"].alias("lane_in"))
 
 
 @dataclass
@@ -207,29 +217,31 @@ class Network:
     centrelines: DataFrame
 
     def corridors(self) -> dict[tuple[str, str], list[tuple[float, float]]]:
-        """The centrelines as polylines: two dozen points for each pair of gates, which operators take as literals."""
+        """The centrelines of one recording as polylines: two dozen points for each pair of gates, which operators take as literals."""
         out: dict[tuple[str, str], list[tuple[float, float]]] = {}
         for r in self.centrelines.orderBy("origin", "destination", "node").collect():
             out.setdefault((r["origin"], r["destination"]), []).append((r["x"], r["y"]))
         return out
 
 
-def build(df: DataFrame, min_travel_m: float = 25.0, cluster_m: float = 25.0, min_tracks: int = 12, lane_width_m: float = 3.2, least_paths: int = 5, frame: tuple[int, int] | None = None) -> Network:
+def build(df: DataFrame, min_travel_m: float = 25.0, cluster_m: float = 25.0, min_tracks: int = 12, lane_width_m: float = 3.2, least_paths: int = 5, frame: tuple[int, int] | None = None, scene: str | None = None) -> Network:
     """Gates from where tracks begin and end, movements between them, entry lanes, and centrelines of pairs with at least least_paths real movements.
 
-    Its tables are read many times, so they are persisted; they have a row per gate, track, or node of a centreline.
+    scene names the column that tells recordings apart: each gets a network of its own, all in one plan. The tables, which have a row per gate, track, or node
+    of a centreline, are computed here and kept, so what is made of them has short plans.
     """
-    g, ends = gates(endpoints(df, min_travel_m, frame).persist(), cluster_m, min_tracks)
-    g, ends = g.persist(), ends.persist()
-    real = movements(ends, g).persist()
-    lanes = entry_lanes(df, real, g, lane_width_m=lane_width_m)
-    mv = real.join(lanes, "track_id", "left").persist()
+    keys = [scene] if scene else []
+    track, pair = [*keys, "track_id"], [*keys, "origin", "destination"]
+    g, ends = gates(cut(endpoints(df, min_travel_m, frame, keys=keys)), cluster_m, min_tracks, scene=scene)
+    g = cut(g)
+    real = cut(movements(ends, g, scene))
+    mv = cut(real.join(entry_lanes(df, real, g, lane_width_m=lane_width_m, keys=keys), track, "left"))
     pairs = mv.where("turn <> 'internal'")
-    busy = pairs.groupBy("origin", "destination").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_paths).drop("n")
-    return Network(g, mv, centrelines(df, pairs.join(busy, ["origin", "destination"], "left_semi")).persist())
+    busy = pairs.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_paths).drop("n")
+    return Network(g, mv, cut(centrelines(df, pairs.join(busy, pair, "left_semi"), keys=keys)))
 
 
-def described(net: Network) -> DataFrame:
-    """field, value, n: how many gates there are, and movements by turn."""
-    gates_ = net.gates.agg(F.count(F.lit(1)).alias("n")).select(F.lit("gates").alias("field"), F.lit(None).cast("string").alias("value"), "n")
-    return gates_.unionByName(net.movements.groupBy("turn").agg(F.count(F.lit(1)).alias("n")).select(F.lit("turn").alias("field"), F.col("turn").alias("value"), "n"))
+def described(net: Network, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, field, value, n: how many gates there are, and movements by turn."""
+    gates_ = net.gates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.lit("gates").alias("field"), F.lit(None).cast("string").alias("value"), "n")
+    return gates_.unionByName(net.movements.groupBy(*keys, "turn").agg(F.count(F.lit(1)).alias("n")).select(*keys, F.lit("turn").alias("field"), F.col("turn").alias("value"), "n"))

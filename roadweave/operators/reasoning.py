@@ -6,24 +6,26 @@ works on many approaches or recordings at once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.functions.expressions import Line, line_length, projected
-from roadweave.operators.aggregates import on_corridor
+from roadweave.functions.expressions import Line, projected, segments_of
+from roadweave.operators.aggregates import beside, length_of, on_corridor
 
 
-def stopline_crossings(df: DataFrame, line: Line, fps: float, at_m: float | None = None) -> DataFrame:
-    """When each vehicle first reaches a place on the corridor, interpolated; one already beyond it at first sight has no row."""
-    x0 = line_length(line) / 2 if at_m is None else at_m
-    w = Window.partitionBy("track_id").orderBy("frame")
-    rows = on_corridor(df.where("mode <> 'pedestrian'"), line).withColumns({"_s": F.lag("s_m").over(w), "_f": F.lag("frame").over(w)})
-    hit = F.when(F.col("s_m") >= x0, F.struct("frame", F.col("_f").alias("f0"), F.col("_s").alias("s0"), F.col("s_m").alias("s1")))
-    g = rows.groupBy("track_id").agg(F.min(hit).alias("h"), F.min_by("mode", "frame").alias("mode"), F.median("speed_kmh").alias("median_speed_kmh")).where("h.f0 IS NOT NULL")
-    share = F.when(F.col("h.s1") == F.col("h.s0"), 0.0).otherwise((x0 - F.col("h.s0")) / (F.col("h.s1") - F.col("h.s0")))
-    return g.select("track_id", ((F.col("h.f0") + share * (F.col("h.frame") - F.col("h.f0"))) / fps).alias("t_s"), "mode", "median_speed_kmh")
+def stopline_crossings(df: DataFrame, line: Line | None, fps: float, at_m: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """When each vehicle first reaches a place on the corridor (its middle, unless given), interpolated; one already beyond it at first sight has no row."""
+    keys, x0 = [*by, "track_id"], F.lit(at_m) if at_m is not None else length_of(line) / 2
+    w = Window.partitionBy(*keys).orderBy("frame")
+    rows = on_corridor(df.where("mode <> 'pedestrian'"), line).withColumns({"_s": F.lag("s_m").over(w), "_f": F.lag("frame").over(w), "_x": x0})
+    hit = F.when(F.col("s_m") >= F.col("_x"), F.struct("frame", F.col("_f").alias("f0"), F.col("_s").alias("s0"), F.col("s_m").alias("s1")))
+    g = rows.groupBy(*keys).agg(F.min(hit).alias("h"), F.first("_x").alias("x"), F.min_by("mode", "frame").alias("mode"), F.median("speed_kmh").alias("median_speed_kmh")).where("h.f0 IS NOT NULL")
+    share = F.when(F.col("h.s1") == F.col("h.s0"), 0.0).otherwise((F.col("x") - F.col("h.s0")) / (F.col("h.s1") - F.col("h.s0")))
+    return g.select(*keys, ((F.col("h.f0") + share * (F.col("h.frame") - F.col("h.f0"))) / fps).alias("t_s"), "mode", "median_speed_kmh")
 
 
 def platoons(crossings: DataFrame, red_gap_s: float = 12.0) -> DataFrame:
@@ -135,43 +137,54 @@ def raff_critical_gap(gaps: DataFrame, points: int = 400, least: int = 5) -> Dat
     return cross.groupBy("stream").agg(F.min_by(at, "cell").alias("critical_gap_s"), F.first("na").alias("n_accepted"), F.first("nr").alias("n_rejected"))
 
 
-def desire_deviation(df: DataFrame, line: Line, lane_width_m: float = 3.2, band_m: float = 0.6, least: int = 50) -> DataFrame:
+def desire_deviation(df: DataFrame, line: Line | None, lane_width_m: float = 3.2, band_m: float = 0.6, least: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """Offsets from the corridor's line: spread, and the share near a lane border against chance."""
     rows = on_corridor(df, line, 14.0).withColumn("_u", F.col("offset_m") / lane_width_m)
     near = F.abs(F.col("_u") - F.rint("_u")) < band_m / lane_width_m
-    g = rows.agg(F.count(F.lit(1)).alias("samples"), F.median("offset_m").alias("median_offset_m"), (F.percentile("offset_m", F.lit(0.85)) - F.percentile("offset_m", F.lit(0.15))).alias("offset_spread_m"), F.avg(near.cast("double")).alias("straddle_share")).where(F.col("samples") >= least)
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.median("offset_m").alias("median_offset_m"), (F.percentile("offset_m", F.lit(0.85)) - F.percentile("offset_m", F.lit(0.15))).alias("offset_spread_m"), F.avg(near.cast("double")).alias("straddle_share")).where(F.col("samples") >= least)
     chance = min(1.0, 2 * band_m / lane_width_m)
     verdict = F.when(F.col("straddle_share") >= chance * 0.95, "none").when(F.col("straddle_share") >= chance * 0.6, "partial").otherwise("good")
     return g.withColumns({"lane_discipline": verdict, "systematic_bias": F.abs("median_offset_m") > 0.9})
 
 
-def obstruction_census(df: DataFrame, corridors: dict[str, Line], fps: float, carriageway_m: float = 7.0, min_dwell_s: float = 20.0) -> DataFrame:
-    """Parked tracks by their nearest corridor, in lane or at the kerb; corridors are literals, so nothing is joined."""
-    parts = [F.struct(F.lit(k).alias("k"), F.lit(name).alias("corridor"), projected(F.col("world_x_m"), F.col("world_y_m"), line).alias("p")) for k, (name, line) in enumerate(corridors.items())]
-    rows = df.where("parked").withColumn("c", F.explode(F.array(*parts))).where("c.p IS NOT NULL")
-    g = rows.groupBy("track_id", "c.k", "c.corridor").agg(F.median(F.abs("c.p.offset_m")).alias("lateral"), F.median("c.p.s_m").alias("along"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by("mode", "frame").alias("mode"))
-    best = g.groupBy("track_id").agg(F.min(F.struct("lateral", "k", "corridor", "along", "f0", "f1", "mode")).alias("b")).select("track_id", "b.*")
+def obstruction_census(df: DataFrame, corridors: dict[str, Line] | DataFrame, fps: float, carriageway_m: float = 7.0, min_dwell_s: float = 20.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Parked tracks by their nearest corridor, in lane or at the kerb. Dwell and start count all of a track's frames, those without a known place too.
+
+    corridors: polylines by name, as literals, or the table of aggregates.corridor_table, whose recordings keys tell apart. Of equally near ones the first
+    by name, or as given, counts.
+    """
+    track = [*keys, "track_id"]
+    parked = df.where("parked")
+    whole = parked.groupBy(*track).agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by("mode", "frame").alias("mode"))
+    if isinstance(corridors, DataFrame):
+        rows = beside(parked, corridors, keys).withColumn("k", F.col("corridor"))
+    else:
+        table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(name).alias("corridor"), segments_of(line).alias("segments")) for k, (name, line) in enumerate(corridors.items())))
+        p = F.transform(table, lambda c: F.struct(c["k"].alias("k"), c["corridor"].alias("corridor"), projected(F.col("world_x_m"), F.col("world_y_m"), c["segments"]).alias("p")))
+        rows = parked.withColumn("c", F.explode(p)).select(*track, "c.k", "c.corridor", "c.p.s_m", "c.p.offset_m")
+    g = rows.where("offset_m IS NOT NULL").groupBy(*track, "k", "corridor").agg(F.median(F.abs("offset_m")).alias("lateral"), F.median("s_m").alias("along"))
+    best = g.groupBy(*track).agg(F.min(F.struct("lateral", "k", "corridor", "along")).alias("b")).select(*track, "b.*").join(whole, track)
     dwell = (F.col("f1") - F.col("f0") + 1) / fps
-    out = best.select("track_id", "mode", "corridor", F.col("along").alias("distance_along_m"), F.col("lateral").alias("lateral_offset_m"), dwell.alias("dwell_s"), (F.col("f0") / fps).alias("start_s"))
+    out = best.select(*track, "mode", "corridor", F.col("along").alias("distance_along_m"), F.col("lateral").alias("lateral_offset_m"), dwell.alias("dwell_s"), (F.col("f0") / fps).alias("start_s"))
     return out.where((F.col("dwell_s") >= min_dwell_s) & (F.col("lateral_offset_m") <= carriageway_m)).withColumn("obstruction", F.when(F.col("lateral_offset_m") <= carriageway_m * 0.5, "in-lane").otherwise("kerbside"))
 
 
-def collapsed_cells(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("segment", "interval").agg(F.sum("flow_veh_per_h").alias("q"), F.sum("density_veh_per_km").alias("k"), F.avg("density_veh_per_km").alias("mean_k"), F.avg("speed_kmh").alias("v"), F.min("segment_start_m").alias("seg_m"), F.min("interval_start_s").alias("t_s"))
+def collapsed_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return cells.groupBy(*by, "segment", "interval").agg(F.sum("flow_veh_per_h").alias("q"), F.sum("density_veh_per_km").alias("k"), F.avg("density_veh_per_km").alias("mean_k"), F.avg("speed_kmh").alias("v"), F.min("segment_start_m").alias("seg_m"), F.min("interval_start_s").alias("t_s"))
 
 
-def shock_fronts(cells: DataFrame, congested_kmh: float = 15.0) -> DataFrame:
+def shock_fronts(cells: DataFrame, congested_kmh: float = 15.0, by: Sequence[str] = ()) -> DataFrame:
     """Adjacent segments of which just one is congested, with the wave speed that conservation of vehicles gives."""
-    c = collapsed_cells(cells)
-    w = Window.partitionBy("interval").orderBy("segment")
+    c = collapsed_cells(cells, by)
+    w = Window.partitionBy(*by, "interval").orderBy("segment")
     nxt = {f"{x}2": F.when(F.lead("segment").over(w) == F.col("segment") + 1, F.lead(x).over(w)) for x in ("q", "k", "v")}
     c = c.withColumns(nxt).where((F.col("v") < congested_kmh) != (F.col("v2") < congested_kmh))
     c = c.where(F.abs(F.col("k2") - F.col("k")) >= 1e-6).withColumn("u_mps", (F.col("q2") - F.col("q")) / (F.col("k2") - F.col("k")) / 3.6)
-    return c.where(F.abs("u_mps") <= 30).select("segment", "interval", "seg_m", "t_s", F.col("q").alias("q_up"), F.col("q2").alias("q_down"), F.col("k").alias("k_up"), F.col("k2").alias("k_down"), "u_mps")
+    return c.where(F.abs("u_mps") <= 30).select(*by, "segment", "interval", "seg_m", "t_s", F.col("q").alias("q_up"), F.col("q2").alias("q_down"), F.col("k").alias("k_up"), F.col("k2").alias("k_down"), "u_mps")
 
 
-def shockwave(fronts: DataFrame, least: int = 4) -> DataFrame:
-    g = fronts.agg(F.count(F.lit(1)).alias("n_fronts"), F.median("u_mps").alias("median_mps"), F.percentile("u_mps", F.lit(0.25)).alias("p25_mps"), F.percentile("u_mps", F.lit(0.75)).alias("p75_mps"), F.avg((F.col("u_mps") < 0).cast("double")).alias("upstream_share"))
+def shockwave(fronts: DataFrame, least: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    g = fronts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_fronts"), F.median("u_mps").alias("median_mps"), F.percentile("u_mps", F.lit(0.25)).alias("p25_mps"), F.percentile("u_mps", F.lit(0.75)).alias("p75_mps"), F.avg((F.col("u_mps") < 0).cast("double")).alias("upstream_share"))
     return g.where(F.col("n_fronts") >= least).withColumn("direction", F.when(F.col("median_mps") < -0.2, "upstream").when(F.col("median_mps") > 0.2, "downstream").otherwise("stationary"))
 
 
@@ -239,50 +252,59 @@ def periodicity(crossings: DataFrame, low_s: int = 25, high_s: int = 180, least:
     return g.select("stream", (-F.col("top.l")).cast("int").alias("cycle_s"), F.col("top.ac").alias("peak"), (F.col("top.ac") - F.col("band")).alias("prominence"), ((F.col("top.ac") - F.col("band") >= 0.25) & (F.col("top.ac") > 0.2)).alias("periodic"))
 
 
-def complementarity(crossings: DataFrame, bin_s: float = 2.0) -> DataFrame:
+def complementarity(crossings: DataFrame, bin_s: float = 2.0, by: Sequence[str] = ()) -> DataFrame:
     """Correlation of every two streams' counts by bin over all streams' common range; under -0.15 they alternate.
 
-    Streams are approaches of one junction, so their pairs are few; rows meet by equal bins, and empty bins enter as counts alone.
+    by tells junctions apart: only a junction's own streams, which are a few, are paired. Rows meet by equal bins, and empty bins enter as counts alone.
     """
-    ends = crossings.groupBy("stream").agg(F.min("t_s").alias("a"), F.max("t_s").alias("b")).agg(F.max("a").alias("t0"), F.min("b").alias("t1"))
-    rows = crossings.crossJoin(F.broadcast(ends)).where("t_s >= t0 AND t_s < t1").withColumn("bin", F.floor((F.col("t_s") - F.col("t0")) / bin_s).cast("int"))
-    h = rows.groupBy("stream", "bin").agg(F.count(F.lit(1)).alias("c"), F.max(F.ceil((F.col("t1") - F.col("t0")) / bin_s)).alias("n"))
-    m = h.groupBy("stream").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"), F.max("n").alias("n"))
-    x, y = m.select(F.col("stream").alias("first"), F.col("s").alias("s1"), F.col("ss").alias("ss1"), "n"), m.select(F.col("stream").alias("second"), F.col("s").alias("s2"), F.col("ss").alias("ss2"))
-    both = h.select(F.col("stream").alias("first"), "bin", F.col("c").alias("c1")).join(h.select(F.col("stream").alias("second"), "bin", F.col("c").alias("c2")), "bin").where("first < second").groupBy("first", "second").agg(F.sum(F.col("c1") * F.col("c2")).alias("p"))
-    out = x.join(F.broadcast(y), F.col("first") < F.col("second")).join(both, ["first", "second"], "left")
+    if not by:
+        return complementarity(crossings.withColumn("_junction", F.lit(0)), bin_s, ["_junction"]).drop("_junction")
+    by = list(by)
+    ends = crossings.groupBy(*by, "stream").agg(F.min("t_s").alias("a"), F.max("t_s").alias("b")).groupBy(*by).agg(F.max("a").alias("t0"), F.min("b").alias("t1"))
+    rows = crossings.join(ends, by).where("t_s >= t0 AND t_s < t1").withColumn("bin", F.floor((F.col("t_s") - F.col("t0")) / bin_s).cast("int"))
+    h = rows.groupBy(*by, "stream", "bin").agg(F.count(F.lit(1)).alias("c"), F.max(F.ceil((F.col("t1") - F.col("t0")) / bin_s)).alias("n"))
+    m = h.groupBy(*by, "stream").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"), F.max("n").alias("n"))
+    x, y = m.select(*by, F.col("stream").alias("first"), F.col("s").alias("s1"), F.col("ss").alias("ss1"), "n"), m.select(*by, F.col("stream").alias("second"), F.col("s").alias("s2"), F.col("ss").alias("ss2"))
+    both = h.select(*by, F.col("stream").alias("first"), "bin", F.col("c").alias("c1")).join(h.select(*by, F.col("stream").alias("second"), "bin", F.col("c").alias("c2")), [*by, "bin"])
+    both = both.where("first < second").groupBy(*by, "first", "second").agg(F.sum(F.col("c1") * F.col("c2")).alias("p"))
+    out = x.join(y, by).where("first < second").join(both, [*by, "first", "second"], "left")
     cov = F.coalesce("p", F.lit(0)) * F.col("n") - F.col("s1") * F.col("s2")
     sd = F.sqrt((F.col("ss1") * F.col("n") - F.col("s1") * F.col("s1")).cast("double")) * F.sqrt((F.col("ss2") * F.col("n") - F.col("s2") * F.col("s2")).cast("double"))
-    return out.select("first", "second", F.try_divide(cov.cast("double"), sd).alias("correlation")).withColumn("alternating", F.col("correlation") < -0.15)
+    return out.select(*by, "first", "second", F.try_divide(cov.cast("double"), sd).alias("correlation")).withColumn("alternating", F.col("correlation") < -0.15)
 
 
-def lane_density(df: DataFrame, line: Line, width_m: float = 0.35, step_m: float = 0.1, reach_m: float = 10.0) -> DataFrame:
+def lane_density(df: DataFrame, line: Line | None, width_m: float = 0.35, step_m: float = 0.1, reach_m: float = 10.0, by: Sequence[str] = ()) -> DataFrame:
     """A Gaussian kernel density of offsets on a grid: offsets are first counted in fine cells (a hundredth of a metre), so the work
     after the scan does not grow with the rows."""
-    fine = on_corridor(df, line, reach_m).groupBy(F.rint(F.col("offset_m") * 100).cast("int").alias("o")).agg(F.count(F.lit(1)).alias("c"))
+    fine = on_corridor(df, line, reach_m).groupBy(*by, F.rint(F.col("offset_m") * 100).cast("int").alias("o")).agg(F.count(F.lit(1)).alias("c"))
     n = round(2 * reach_m / step_m) + 1
     cells = fine.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("x", F.col("g") * step_m - reach_m)
     z = (F.col("x") - F.col("o") / 100.0) / width_m
-    out = cells.groupBy("g").agg(F.min("x").alias("x_m"), F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("density"))
-    mean, w = F.avg("density").over(Window.partitionBy()), Window.orderBy("g").rowsBetween(-4, 4)
+    out = cells.groupBy(*by, "g").agg(F.min("x").alias("x_m"), F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("density"))
+    mean, w = F.avg("density").over(Window.partitionBy(*by)), Window.partitionBy(*by).orderBy("g").rowsBetween(-4, 4)
     return out.withColumn("peak", (F.col("density") == F.max("density").over(w)) & (F.col("density") > 1.15 * mean))
 
 
-def lane_structure(density: DataFrame, lane_width_m: float = 3.2) -> DataFrame:
+def lane_structure(density: DataFrame, lane_width_m: float = 3.2, by: Sequence[str] = ()) -> DataFrame:
     """The density's peaks, merged where they are closer than 0.55 of a lane to the last that was kept."""
-    peaks = density.where("peak").agg(F.sort_array(F.collect_list("x_m")).alias("p"))
+    peaks = density.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(F.col("peak"), F.col("x_m")))).alias("p"))
+    return _merged(peaks, lane_width_m).select(*by, "mode_offsets_m", "n_lanes")
+
+
+def _merged(peaks: DataFrame, lane_width_m: float) -> DataFrame:
     kept = F.aggregate("p", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) >= 0.55 * lane_width_m), F.concat(a, F.array(x))).otherwise(a))
-    return peaks.select(kept.alias("mode_offsets_m")).withColumn("n_lanes", F.size("mode_offsets_m"))
+    return peaks.withColumn("mode_offsets_m", kept).withColumn("n_lanes", F.size("mode_offsets_m"))
 
 
-def lane_verdict(density: DataFrame, lane_width_m: float = 3.2, spacing_m: tuple[float, float] = (2.4, 4.2), sharp: float = 2.2) -> DataFrame:
+def lane_verdict(density: DataFrame, lane_width_m: float = 3.2, spacing_m: tuple[float, float] = (2.4, 4.2), sharp: float = 2.2, by: Sequence[str] = ()) -> DataFrame:
     """Whether traffic keeps to lanes: the density's peaks, their median spacing, the modality index ((most - least) / mean) and a verdict.
 
     Bands about a lane apart are lanes, clear where the density is sharp and else weak. One sharp band is the road, not a lane: a
     single undifferentiated stream; without sharpness there is no structure (absent). A density without rows gives no row.
     """
-    whole = density.agg(((F.max("density") - F.min("density")) / F.greatest(F.avg("density"), F.lit(1e-9))).alias("modality_index")).where("modality_index IS NOT NULL")
-    out = lane_structure(density, lane_width_m).crossJoin(whole)
+    modality = (F.max("density") - F.min("density")) / F.greatest(F.avg("density"), F.lit(1e-9))
+    whole = density.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(F.col("peak"), F.col("x_m")))).alias("p"), modality.alias("modality_index")).where("modality_index IS NOT NULL")
+    out = _merged(whole, lane_width_m).select(*by, "mode_offsets_m", "n_lanes", "modality_index")
     gaps = F.transform(F.sequence(F.lit(1), F.col("n_lanes") - 1), lambda k: F.element_at("mode_offsets_m", k + 1) - F.element_at("mode_offsets_m", k))
     n, ordered = F.col("n_lanes") - 1, F.array_sort(gaps)
     middle = (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor((n + 2) / 2).cast("int"))) / 2
@@ -290,3 +312,9 @@ def lane_verdict(density: DataFrame, lane_width_m: float = 3.2, spacing_m: tuple
     lanes = F.coalesce(F.col("spacing_m").between(*spacing_m), F.lit(False))
     verdict = F.when(lanes & (F.col("modality_index") >= sharp), "clear").when(lanes, "weak").when(F.col("modality_index") >= sharp, "single undifferentiated stream").otherwise("absent")
     return out.withColumns({"lane_like_spacing": lanes, "lane_structure": verdict})
+
+
+def waits(rows: DataFrame, fps: float, wait_kmh: float = 6.0, by: Sequence[str] = ()) -> DataFrame:
+    """by, vehicle, wait_s: when each vehicle is first slow, if it ever is."""
+    slow = rows.where(F.col("speed_kmh") < wait_kmh)
+    return slow.groupBy(*by, F.col("track_id").alias("vehicle")).agg((F.min("frame") / fps).alias("wait_s"))

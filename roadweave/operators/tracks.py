@@ -51,10 +51,16 @@ def smoothed(df: DataFrame, p: TrackParams = TrackParams()) -> DataFrame:
     return df.withColumns({"cx": (F.col("x1") + F.col("x2")) * 0.5, "cy": (F.col("y1") + F.col("y2")) * 0.5})
 
 
-def later_value(column: str, *keys: str) -> Column:
-    """The column's next value by frame that is not null. A running frame over the descending order, since one that ends with the partition costs the square of its rows."""
-    back = Window.partitionBy(*keys).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
-    return F.last(column, ignorenulls=True).over(back)
+def neighbour(column: str, way: str, *keys: str) -> Column:
+    """The column's last (way "lag") or next ("lead") value by frame that is not null, without the row's own."""
+    return F.expr(f"{way}({column}, 1) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY frame)")
+
+
+def bridged(column: str, at: str, known: str) -> Column:
+    """The column where `known` (a struct of `at` and the column) is not null; elsewhere on the straight line by `at` between _before and _after, or the only one of these."""
+    a, b = F.col(f"_before.{column}"), F.col(f"_after.{column}")
+    share = (F.col(at) - F.col(f"_before.{at}")) / (F.col(f"_after.{at}") - F.col(f"_before.{at}"))
+    return F.when(F.col(known).isNotNull(), F.col(column)).otherwise(F.coalesce(a + (b - a) * share, b, a))
 
 
 def kinematics(df: DataFrame, cal: GroundPlane | RowScale, fps: float, p: MotionParams = MotionParams()) -> DataFrame:
@@ -67,8 +73,10 @@ def kinematics(df: DataFrame, cal: GroundPlane | RowScale, fps: float, p: Motion
     speed = lambda c: (F.lead(c, hv).over(w) - F.lag(c, hv).over(w)) / (2 * hv * dt)
     seen = F.when(F.lead("frame", hv).over(w).isNotNull() & F.lag("frame", hv).over(w).isNotNull(), F.avg(F.col("interpolated").cast("double")).over(w.rowsBetween(-hv, hv)))
     df = df.withColumns({"vx": speed("world_x_m"), "vy": speed("world_y_m"), "interpolated_fraction_in_window": seen, "_i": F.row_number().over(w), "_m": F.count(F.lit(1)).over(part)})
-    held = {f"_{v}": F.coalesce(F.col(v), later_value(v, "track_id", "segment"), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) for v in ("vx", "vy")}
-    df = df.withColumns(held | {"_known": F.count("vx").over(part)})
+    # Over holes velocities are interpolated, and held at the ends, so that the slope below is defined near them.
+    df = df.withColumn("_at", F.when(F.col("vx").isNotNull(), F.struct("_i", "vx", "vy")))
+    df = df.withColumns({"_before": neighbour("_at", "lag", "track_id", "segment"), "_after": neighbour("_at", "lead", "track_id", "segment"), "_known": F.count("vx").over(part)})
+    df = df.withColumns({f"_{v}": bridged(v, "_i", "_at") for v in ("vx", "vy")}).drop("_at", "_before", "_after")
     inner = (F.col("_i") > ha) & (F.col("_i") <= F.col("_m") - ha) & (F.col("_known") >= 2 * ha + 1) & F.col("vx").isNotNull()
     # The slope over equal steps, as weighted differences of the rows around.
     weight = sum(k * k for k in range(-ha, ha + 1)) * dt
@@ -224,7 +232,7 @@ def slope_velocity(df: DataFrame, fps: float, p: MotionParams = MotionParams())
     for c, v in (("world_x_m", "slope_x_mps"), ("world_y_m", "slope_y_mps")):
         inner = sum((F.lead(c, k).over(w) - F.lag(c, k).over(w)) * float(k) for k in range(1, h + 1)) / weight
         out = out.withColumn(v, inner)
-        out = out.withColumn(v, F.coalesce(F.col(v), later_value(v, "track_id", "segment"), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+        out = out.withColumn(v, F.coalesce(F.col(v), neighbour(v, "lead", "track_id", "segment"), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     return out
 
 
@@ -235,7 +243,7 @@ def row_speed(df: DataFrame, fps: float, scale_m: float, smooth_rows: int = 15,
     d = F.hypot(F.lead("cx", k).over(w) - F.lag("cx", k).over(w), F.lead("cy", k).over(w) - F.lag("cy", k).over(w))
     v = d * scale_m / (F.lead("frame", k).over(w) - F.lag("frame", k).over(w)) * fps
     df = df.withColumn("_v", v)
-    held = F.coalesce("_v", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), later_value("_v", "track_id"))
+    held = F.coalesce("_v", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), neighbour("_v", "lead", "track_id"))
     half = smooth_rows // 2
     df = df.withColumn("_v", F.least(F.greatest(held, F.lit(0.0)), F.lit(most)))
     return df.withColumn("row_speed_mps", F.avg("_v").over(w.rowsBetween(-half, half))).drop("_v")

@@ -202,16 +202,25 @@ def r6(*cols: str) -> str:
 
 
 _LOWER = {r: r.lower().replace(" ", "_") for r in REGIONS}
-#: Lanes half a metre wide that are held until three rows lie beyond a tenth of a metre in one other lane: row by row.
-HELD = (
-    "WITH RECURSIVE"
-    + GR[4:]
-    + """, o AS (SELECT track_id, frame, lateral_offset_m AS o, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS i FROM offs),
-      f AS (SELECT track_id, frame, i, floor(o / 5e-1)::INT AS cur, floor(o / 5e-1)::INT AS cand, 0 AS pending, false AS ch FROM o WHERE i = 1
+def held_sql(width: str, margin: str, dwell: int) -> str:
+    """Lanes of a width that are held until `dwell` rows lie beyond the margin in one other lane: row by row."""
+    return (
+        "WITH RECURSIVE"
+        + GR[4:]
+        + f""", o AS (SELECT track_id, frame, lateral_offset_m AS o, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS i FROM offs),
+      f AS (SELECT track_id, frame, i, floor(o / {width})::INT AS cur, floor(o / {width})::INT AS cand, 0 AS pending, false AS ch FROM o WHERE i = 1
         UNION ALL SELECT track_id, frame, i, CASE WHEN chg THEN own ELSE cur END, CASE WHEN inside THEN cur ELSE own END, CASE WHEN inside OR chg THEN 0 ELSE cnt END, chg
-        FROM (SELECT *, NOT inside AND cnt >= 3 AS chg FROM (SELECT o.track_id, o.frame, o.i, f.cur, floor(o.o / 5e-1)::INT AS own, o.o >= f.cur * 5e-1 - 1e-1 AND o.o <= (f.cur + 1) * 5e-1 + 1e-1 AS inside, CASE WHEN floor(o.o / 5e-1)::INT = f.cand THEN f.pending + 1 ELSE 1 END AS cnt FROM f JOIN o ON o.track_id = f.track_id AND o.i = f.i + 1)))
+        FROM (SELECT *, NOT inside AND cnt >= {dwell} AS chg FROM (SELECT o.track_id, o.frame, o.i, f.cur, floor(o.o / {width})::INT AS own,
+          o.o >= f.cur * {width} - {margin} AND o.o <= (f.cur + 1) * {width} + {margin} AS inside, CASE WHEN floor(o.o / {width})::INT = f.cand THEN f.pending + 1 ELSE 1 END AS cnt
+          FROM f JOIN o ON o.track_id = f.track_id AND o.i = f.i + 1)))
 """
-)
+    )
+
+
+CHANGES = """, st AS (SELECT g.track_id, ch, sqrt((world_x_m - lag(world_x_m) OVER w) ** 2 + (world_y_m - lag(world_y_m) OVER w) ** 2) AS d FROM ground g JOIN f USING (track_id, frame) WINDOW w AS (PARTITION BY g.track_id ORDER BY frame)),
+      su AS (SELECT count(DISTINCT track_id) AS n_vehicles, count(*) FILTER (ch) AS lane_changes, coalesce(sum(d), 0) / 1e3 AS vehicle_km FROM st)
+      SELECT n_vehicles, lane_changes, round(vehicle_km, 6) AS vehicle_km, round(lane_changes / greatest(n_vehicles, 1), 6) AS changes_per_vehicle, round(lane_changes / greatest(vehicle_km, 1e-6), 6) AS changes_per_km FROM su"""
+HELD = held_sql("5e-1", "1e-1", 3)
 ORACLES = {
     "i1_movement_counts": MV + f" SELECT interval, origin, destination, turn, mode, count(*) AS count, interval * 6e1 AS interval_start_s, round(count(*) * {_PCE}, 6) AS pce FROM mv GROUP BY interval, origin, destination, turn, mode",
     "i2_approach_volumes": MV + """ SELECT interval, approach, CAST(sum(e) AS BIGINT) AS entering, CAST(sum(l) AS BIGINT) AS leaving, interval * 6e1 AS interval_start_s, interval * 6e1 + 60 > (SELECT max(f1) / 5e0 FROM movements) AS partial,
@@ -231,9 +240,7 @@ ORACLES = {
     "i13_fd_validity": GR + f"SELECT segment, lane, cells, {r6('corr', 'median_speed_kmh', 'p95_density')} FROM (SELECT segment, lane, count(*) AS cells, corr(density_veh_per_km, speed_kmh) AS corr, median(speed_kmh) AS median_speed_kmh, quantile_cont(density_veh_per_km, 0.95) AS p95_density FROM cells WHERE lane BETWEEN -6 AND 6 GROUP BY 1, 2) WHERE cells >= 3 AND corr IS NOT NULL AND NOT isnan(corr)",
     "i14_smoothed_offsets": GR + "SELECT track_id, frame, round(lateral_offset_m, 6) AS lateral_offset_m, CAST(floor(lateral_offset_m / 3.2::DOUBLE) AS INT) AS raw_lane FROM offs",
     "i14_held_lanes": HELD + "SELECT track_id, frame, cur AS lane, ch AS lane_change FROM f",
-    "i15_lane_changes": HELD
-    + """, st AS (SELECT g.track_id, ch, sqrt((world_x_m - lag(world_x_m) OVER w) ** 2 + (world_y_m - lag(world_y_m) OVER w) ** 2) AS d FROM ground g JOIN f USING (track_id, frame) WINDOW w AS (PARTITION BY g.track_id ORDER BY frame)), su AS (SELECT count(DISTINCT track_id) AS n_vehicles, count(*) FILTER (ch) AS lane_changes, coalesce(sum(d), 0) / 1e3 AS vehicle_km FROM st)
-      SELECT n_vehicles, lane_changes, round(vehicle_km, 6) AS vehicle_km, round(lane_changes / greatest(n_vehicles, 1), 6) AS changes_per_vehicle, round(lane_changes / greatest(vehicle_km, 1e-6), 6) AS changes_per_km FROM su""",
+    "i15_lane_changes": HELD + CHANGES,
     "k2_overlay_chunks": GR + "SELECT CAST(floor(frame / 50e0) AS INT) AS chunk, count(*) AS n_rows, count(DISTINCT frame) AS n_frames, count(DISTINCT track_id) AS n_vehicles FROM ground WHERE NOT parked GROUP BY 1",
     "k6_track_detail": GR + "SELECT track_id, arg_min(mode, frame) AS mode, min(frame) AS f0, max(frame) AS f1, round(median(speed_kmh), 6) AS median_kmh, round(max(speed_kmh), 6) AS max_kmh FROM ground GROUP BY 1",
     "k10_od_heat": MV + " SELECT origin, destination, count(*) AS count, round(count(*) / (max(count(*)) OVER ())::DOUBLE, 6) AS heat FROM mv GROUP BY 1, 2",

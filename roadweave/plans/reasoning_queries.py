@@ -66,6 +66,12 @@ def j6_obstructions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.obstruction_census(ground(spark, d), {"main": LINE, "south": LINE2}, FPS, min_dwell_s=5.0))
 
 
+def j6_over_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Parked tracks whose places are unknown in every third frame, the first ones too: dwell counts all frames."""
+    rows = ground(spark, d).withColumn("world_x_m", F.when(F.col("frame") % 3 > 0, F.col("world_x_m")))
+    return rounded(R.obstruction_census(rows, {"main": LINE, "south": LINE2}, FPS, min_dwell_s=5.0))
+
+
 def j8_shock_fronts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.shock_fronts(cells(spark, d), 40.0))
 
@@ -110,7 +116,7 @@ def j13_raff_by_mode(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.raff_critical_gap(_gaps(spark, d, ["mode"])))
 
 
-QUERIES = {f.__name__: f for f in (j1_congestion_regions, j2_stopline, j3_cycles, j3_signals, j4_accepted, j4_rejected, j4_critical_gap, j5_desire_deviation, j6_obstructions, j8_shock_fronts, j8_shockwave, j9_periodicity, j10_complementarity, j11_lane_density, j11_lane_structure, j11_lane_verdict, j12_raff, j13_raff_by_mode)}
+QUERIES = {f.__name__: f for f in (j1_congestion_regions, j2_stopline, j3_cycles, j3_signals, j4_accepted, j4_rejected, j4_critical_gap, j5_desire_deviation, j6_obstructions, j6_over_holes, j8_shock_fronts, j8_shockwave, j9_periodicity, j10_complementarity, j11_lane_density, j11_lane_structure, j11_lane_verdict, j12_raff, j13_raff_by_mode)}
 
 CR = f"WITH cr AS ({duck(CROSSINGS)})"
 CY = CR + """, h AS (SELECT *, t_s - lag(t_s) OVER (PARTITION BY stream ORDER BY t_s, vehicle) AS hw FROM cr), pl AS (SELECT *, CAST(sum(CASE WHEN hw > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY t_s, vehicle) AS BIGINT) AS platoon FROM h),
@@ -133,6 +139,26 @@ def _raff(key: str) -> str:
 _COLL = GR + """, cc AS (SELECT segment, interval, sum(flow_veh_per_h) AS q, sum(density_veh_per_km) AS k, avg(speed_kmh) AS v, min(segment_start_m) AS seg_m, min(interval_start_s) AS t_s FROM cells GROUP BY 1, 2),
 fr AS (SELECT a.segment, a.interval, a.seg_m, a.t_s, a.q AS q_up, b.q AS q_down, a.k AS k_up, b.k AS k_down, (b.q - a.q) / (b.k - a.k) / 3.6::DOUBLE AS u_mps FROM cc a JOIN cc b ON b.interval = a.interval AND b.segment = a.segment + 1 WHERE (a.v < 40) <> (b.v < 40) AND abs(b.k - a.k) >= 1e-6), fronts AS (SELECT * FROM fr WHERE abs(u_mps) <= 30)
 """
+
+
+def stop_sql(at: str) -> str:
+    """track_id, t_s, mode, median_speed_kmh of each vehicle that reaches the place `at` on the corridor."""
+    return GR + f""", l AS (SELECT *, lag(s_m) OVER w AS s0, lag(frame) OVER w AS f0 FROM near WHERE mode <> 'pedestrian' WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
+      hit AS (SELECT * FROM l WHERE s_m >= {at} QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame) = 1)
+      SELECT track_id, (f0 + CASE WHEN s_m = s0 THEN 0 ELSE ({at} - s0) / (s_m - s0) END * (hit.frame - f0)) / 5e0 AS t_s, m.mode, m.med AS median_speed_kmh
+      FROM hit JOIN (SELECT track_id, arg_min(mode, frame) AS mode, median(speed_kmh) AS med FROM l GROUP BY 1) m USING (track_id) WHERE f0 IS NOT NULL"""
+
+
+def census_sql(known: str) -> str:
+    """Parked tracks by their nearest of two corridors, over the places of the rows that are known."""
+    out = ("CASE WHEN {0} THEN abs({1}offset_m) END", "CASE WHEN {0} THEN {1}s_m END")
+    near, far = (", ".join(f"median({x.format(known, p)})" for x in out) for p in ("", "p2."))
+    return GR + f""", pk AS (SELECT track_id, 0 AS k, 'main' AS corridor, {near.replace(", median(CASE", " AS lat, median(CASE")} AS along, min(frame) AS f0, max(frame) AS f1, arg_min(mode, frame) AS mode FROM pr WHERE parked GROUP BY 1
+      UNION ALL SELECT track_id, 1, 'south', {far}, min(frame), max(frame), arg_min(mode, frame) FROM (SELECT *, {projected_sql('world_x_m', 'world_y_m', LINE2)} AS p2 FROM ground WHERE parked) GROUP BY 1)
+      SELECT track_id, mode, corridor, round(along, 6) AS distance_along_m, round(lat, 6) AS lateral_offset_m, round((f1 - f0 + 1) / 5e0, 6) AS dwell_s, round(f0 / 5e0, 6) AS start_s, CASE WHEN lat <= 3.5 THEN 'in-lane' ELSE 'kerbside' END AS obstruction
+      FROM (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY lat, k) = 1) WHERE (f1 - f0 + 1) / 5e0 >= 5 AND lat <= 7"""
+
+
 #: The density's peaks, merged where they are closer than 0.55 of a lane to the last that was kept.
 _KEPT = (
     "WITH RECURSIVE"
@@ -147,8 +173,7 @@ ORACLES = {
     "j11_lane_verdict": _KEPT
     + """SELECT n_lanes, round(spacing, 6) AS spacing_m, round(mi, 6) AS modality_index, coalesce(spacing BETWEEN 2.4::DOUBLE AND 4.2::DOUBLE, false) AS lane_like_spacing, CASE WHEN coalesce(spacing BETWEEN 2.4::DOUBLE AND 4.2::DOUBLE, false) THEN CASE WHEN mi >= 2.2::DOUBLE THEN 'clear' ELSE 'weak' END WHEN mi >= 2.2::DOUBLE THEN 'single undifferentiated stream' ELSE 'absent' END AS lane_structure
       FROM (SELECT len(p)::INT AS n_lanes, list_median([p[k + 1] - p[k] for k in range(1, len(p))]) AS spacing FROM en), (SELECT (max(density) - min(density)) / greatest(avg(density), 1e-9) AS mi FROM de)""",
-    "j2_stopline": GR + """, l AS (SELECT *, lag(s_m) OVER w AS s0, lag(frame) OVER w AS f0 FROM near WHERE mode <> 'pedestrian' WINDOW w AS (PARTITION BY track_id ORDER BY frame)), hit AS (SELECT * FROM l WHERE s_m >= 60 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame) = 1)
-      SELECT track_id, round((f0 + CASE WHEN s_m = s0 THEN 0 ELSE (60 - s0) / (s_m - s0) END * (hit.frame - f0)) / 5e0, 6) AS t_s, m.mode, round(m.med, 6) AS median_speed_kmh FROM hit JOIN (SELECT track_id, arg_min(mode, frame) AS mode, median(speed_kmh) AS med FROM l GROUP BY 1) m USING (track_id) WHERE f0 IS NOT NULL""",
+    "j2_stopline": f"SELECT track_id, round(t_s, 6) AS t_s, mode, round(median_speed_kmh, 6) AS median_speed_kmh FROM ({stop_sql('60')})",
     "j3_cycles": CY + f"SELECT stream, platoon, {r6('start_s', 'end_s')}, vehicles, {r6('green_s', 'red_s', 'cycle_s', 'saturation_flow_veh_h', 'startup_loss_s')} FROM cy",
     "j3_signals": CY + """, s AS (SELECT stream, CAST(sum(vehicles) AS BIGINT) AS crossings, count(*) AS platoons, stddev_pop(cycle_s) / greatest(avg(cycle_s), 1e-6) AS cycle_cov, count(cycle_s) AS nc, sum(green_s) FILTER (red_s IS NOT NULL) / greatest(sum(green_s + red_s), 1e-6) AS green_split, count(*) FILTER (vehicles >= 3) AS n_cycles,
       median(saturation_flow_veh_h) FILTER (vehicles >= 3) AS sat, median(startup_loss_s) FILTER (vehicles >= 3) AS loss, median(red_s) AS red, median(green_s) FILTER (vehicles >= 3) AS green FROM cy GROUP BY 1), v AS (SELECT *, CASE WHEN crossings < 8 THEN NULL WHEN platoons < 3 THEN false ELSE coalesce(nc >= 2 AND cycle_cov <= 0.25 AND green_split <= 0.8, false) END AS signalised FROM s)
@@ -159,9 +184,8 @@ ORACLES = {
       FROM (SELECT count(*) AS n_accepted, median(gap_s) AS median_accepted_gap_s, quantile_cont(gap_s, 0.15) AS p15_accepted_gap_s FROM ac), (SELECT count(*) AS n_rejected, median(gap_s) AS median_rejected_gap_s, quantile_cont(gap_s, 0.85) AS p85_rejected_gap_s FROM re)""",
     "j5_desire_deviation": GR + """SELECT samples, round(med, 6) AS median_offset_m, round(spread, 6) AS offset_spread_m, round(share, 6) AS straddle_share, CASE WHEN share >= 0.375::DOUBLE * 0.95 THEN 'none' WHEN share >= 0.375::DOUBLE * 0.6 THEN 'partial' ELSE 'good' END AS lane_discipline, abs(med) > 0.9 AS systematic_bias
       FROM (SELECT count(*) AS samples, median(offset_m) AS med, quantile_cont(offset_m, 0.85) - quantile_cont(offset_m, 0.15) AS spread, avg((abs(offset_m / 3.2::DOUBLE - round_even(offset_m / 3.2::DOUBLE, 0)) < 6e-1 / 3.2::DOUBLE)::INT) AS share FROM pr WHERE abs(offset_m) <= 14) WHERE samples >= 50""",
-    "j6_obstructions": GR + f""", pk AS (SELECT track_id, 0 AS k, 'main' AS corridor, median(abs(offset_m)) AS lat, median(s_m) AS along, min(frame) AS f0, max(frame) AS f1, arg_min(mode, frame) AS mode FROM pr WHERE parked GROUP BY 1
-      UNION ALL SELECT track_id, 1, 'south', median(abs(p2.offset_m)), median(p2.s_m), min(frame), max(frame), arg_min(mode, frame) FROM (SELECT *, {projected_sql('world_x_m', 'world_y_m', LINE2)} AS p2 FROM ground WHERE parked) GROUP BY 1)
-      SELECT track_id, mode, corridor, round(along, 6) AS distance_along_m, round(lat, 6) AS lateral_offset_m, round((f1 - f0 + 1) / 5e0, 6) AS dwell_s, round(f0 / 5e0, 6) AS start_s, CASE WHEN lat <= 3.5 THEN 'in-lane' ELSE 'kerbside' END AS obstruction FROM (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY lat, k) = 1) WHERE (f1 - f0 + 1) / 5e0 >= 5 AND lat <= 7""",
+    "j6_obstructions": census_sql("TRUE"),
+    "j6_over_holes": census_sql("frame % 3 > 0"),
     "j8_shock_fronts": _COLL + f"SELECT segment, interval, seg_m, t_s, {r6('q_up', 'q_down', 'k_up', 'k_down', 'u_mps')} FROM fronts",
     "j8_shockwave": _COLL + "SELECT n_fronts, round(m, 6) AS median_mps, round(a, 6) AS p25_mps, round(b, 6) AS p75_mps, round(s, 6) AS upstream_share, CASE WHEN m < -0.2 THEN 'upstream' WHEN m > 0.2 THEN 'downstream' ELSE 'stationary' END AS direction FROM (SELECT count(*) AS n_fronts, median(u_mps) AS m, quantile_cont(u_mps, 0.25) AS a, quantile_cont(u_mps, 0.75) AS b, avg((u_mps < 0)::INT) AS s FROM fronts) WHERE n_fronts >= 4",
     "j9_periodicity": CR + """, b AS (SELECT stream, min(t_s) AS t0, floor(max(t_s) - min(t_s))::INT + 1 AS len FROM cr GROUP BY 1 HAVING count(*) >= 20 AND max(t_s) - min(t_s) >= 75), sec AS (SELECT cr.stream, floor(t_s - t0)::INT AS s, count(*) AS c FROM cr JOIN b USING (stream) GROUP BY ALL),

@@ -46,8 +46,11 @@ gnd AS (SELECT *, (cx - 960e0) * (70.472::DOUBLE / a) AS world_x_m, (70.472::DOU
 vel AS (SELECT *, (lead(world_x_m, {HV}) OVER w - lag(world_x_m, {HV}) OVER w) / {2 * HV / FPS!r}::DOUBLE AS vx, (lead(world_y_m, {HV}) OVER w - lag(world_y_m, {HV}) OVER w) / {2 * HV / FPS!r}::DOUBLE AS vy,
   CASE WHEN lead(frame, {HV}) OVER w IS NOT NULL AND lag(frame, {HV}) OVER w IS NOT NULL THEN avg(interpolated::INT) OVER (PARTITION BY track_id, segment ORDER BY frame ROWS BETWEEN {HV} PRECEDING AND {HV} FOLLOWING) END AS part,
   row_number() OVER w AS i, count(*) OVER (PARTITION BY track_id, segment) AS m FROM gnd WINDOW w AS (PARTITION BY track_id, segment ORDER BY frame)),
-held AS (SELECT *, coalesce(vx, first(vx IGNORE NULLS) OVER f, last(vx IGNORE NULLS) OVER b) AS hx, coalesce(vy, first(vy IGNORE NULLS) OVER f, last(vy IGNORE NULLS) OVER b) AS hy, count(vx) OVER (PARTITION BY track_id, segment) AS known FROM vel
+known AS (SELECT *, CASE WHEN vx IS NOT NULL THEN i END AS ki FROM vel),
+ends AS (SELECT *, last(vx IGNORE NULLS) OVER b AS px, first(vx IGNORE NULLS) OVER f AS qx, last(CASE WHEN vx IS NOT NULL THEN vy END IGNORE NULLS) OVER b AS py, first(CASE WHEN vx IS NOT NULL THEN vy END IGNORE NULLS) OVER f AS qy,
+  CAST(i - last(ki IGNORE NULLS) OVER b AS DOUBLE) / (first(ki IGNORE NULLS) OVER f - last(ki IGNORE NULLS) OVER b) AS share, count(vx) OVER (PARTITION BY track_id, segment) AS known FROM known
   WINDOW f AS (PARTITION BY track_id, segment ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b AS (PARTITION BY track_id, segment ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+held AS (SELECT *, CASE WHEN vx IS NOT NULL THEN vx ELSE coalesce(px + (qx - px) * share, qx, px) END AS hx, CASE WHEN vx IS NOT NULL THEN vy ELSE coalesce(py + (qy - py) * share, qy, py) END AS hy FROM ends),
 acc AS (SELECT *, CASE WHEN inner_ THEN ({' + '.join(f'(lead(hx, {k}) OVER w - lag(hx, {k}) OVER w) * {k}' for k in range(1, HA + 1))}) / {sum(k * k for k in range(-HA, HA + 1)) / FPS!r}::DOUBLE END AS ax,
   CASE WHEN inner_ THEN ({' + '.join(f'(lead(hy, {k}) OVER w - lag(hy, {k}) OVER w) * {k}' for k in range(1, HA + 1))}) / {sum(k * k for k in range(-HA, HA + 1)) / FPS!r}::DOUBLE END AS ay
   FROM (SELECT *, i > {HA} AND i <= m - {HA} AND known >= {2 * HA + 1} AND vx IS NOT NULL AS inner_ FROM held) WINDOW w AS (PARTITION BY track_id, segment ORDER BY frame)),
@@ -106,6 +109,12 @@ def f4_acceleration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(kin(spark, sf_dir), "acceleration_mps2", "longitudinal_acceleration_mps2", "lateral_acceleration_mps2")
 
 
+def f4_over_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accelerations of tracks whose places are unknown for some frames of every 31, as beyond the horizon."""
+    rows = smooth(spark, sf_dir).withColumn("cy", F.when(F.col("frame") % 31 >= 4, F.col("cy")))
+    return _r(T.kinematics(rows, CAMERA, FPS), "velocity_x_mps", "acceleration_mps2", "longitudinal_acceleration_mps2", "lateral_acceleration_mps2")
+
+
 def f7_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(kin(spark, sf_dir), "interpolated_fraction_in_window", "kinematics_valid", "kinematics_quality")
 
@@ -154,7 +163,7 @@ def n_motion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("parked").agg(F.count(F.lit(1)).alias("n_tracks"), F.round(F.median("life_s"), 6).alias("median_life_s"), F.round(F.median("p95_speed_mps"), 6).alias("median_p95_speed_mps"), F.round(F.avg("path_m"), 6).alias("mean_path_m"))
 
 
-QUERIES = {f.__name__: f for f in (d1_kept_tracks, d2_filled, d3_segments, d4_smoothed, e2_ground_plane, f1_velocity, f2_slope_velocity, f11_row_speed, f4_acceleration, f7_validity, f9_path_length, f10_window_displacement, f18_track_summary, f20_motion_state, f23_stats_by_mode, f24_report, n_motion_summary)}
+QUERIES = {f.__name__: f for f in (d1_kept_tracks, d2_filled, d3_segments, d4_smoothed, e2_ground_plane, f1_velocity, f2_slope_velocity, f11_row_speed, f4_acceleration, f4_over_holes, f7_validity, f9_path_length, f10_window_displacement, f18_track_summary, f20_motion_state, f23_stats_by_mode, f24_report, n_motion_summary)}
 
 _MODE = "CASE cls_name WHEN 'car' THEN 'car' WHEN 'van' THEN 'LGV' WHEN 'truck' THEN 'truck' WHEN 'motor' THEN 'motorcycle' WHEN 'pedestrian' THEN 'pedestrian' END"
 ORACLES = {
@@ -172,6 +181,8 @@ ORACLES = {
       rh AS (SELECT *, least(greatest(coalesce(v, last(v IGNORE NULLS) OVER b, first(v IGNORE NULLS) OVER f), 0), 60) AS h FROM rv WINDOW f AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
       SELECT track_id, frame, round(avg(h) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) AS row_speed_mps FROM rh""",
     "f4_acceleration": BASE + f"SELECT track_id, frame, {_rs('acceleration_mps2', 'longitudinal_acceleration_mps2', 'lateral_acceleration_mps2')} FROM kin",
+    "f4_over_holes": BASE.replace("(y1 + y2) * 5e-1 AS cy", "CASE WHEN frame % 31 >= 4 THEN (y1 + y2) * 5e-1 END AS cy")
+    + f"SELECT track_id, frame, {_rs('velocity_x_mps', 'acceleration_mps2', 'longitudinal_acceleration_mps2', 'lateral_acceleration_mps2')} FROM kin",
     "f7_validity": BASE + f"SELECT track_id, frame, {_rs('interpolated_fraction_in_window')}, kinematics_valid, {_rs('kinematics_quality')} FROM kin",
     "f9_path_length": BASE + f"SELECT track_id, {_rs('path_m')} FROM paths",
     "f10_window_displacement": BASE + f"SELECT track_id, {_rs('win_m')} FROM wins",

@@ -59,6 +59,92 @@ def test_sections_become_rows(spark):
     assert [json.loads(r["row"])["count"] for r in rows if r["section"] == "od"] == [3] and {r["section"] for r in rows} == {"od", "modes"}
 
 
+def test_bundles_hold_every_section(spark, junction):
+    from roadweave.operators import bundles as B
+    from roadweave.operators import network as N
+
+    net = N.build(junction, min_tracks=5)
+    table = B.A.corridor_table(net.centrelines)
+    assert [(r["n"], r["rank"]) for r in B.ranked_pairs(net, table).orderBy("rank").collect()] == [(14, 1), (8, 2), (6, 3), (5, 4)]
+    found = B.insights(junction, net, 10.0)
+    rows = B.as_rows({k: v for k, v in found.items() if k != "approaches"}).collect()
+    by = {k: [json.loads(r["row"]) for r in rows if r["section"] == k] for k in found}
+    assert sorted(x["count"] for x in by["od"]) == [3, 4, 5, 6, 8, 14] and by["totals"] == [{"tracks_moving": 40, "duration_s": by["totals"][0]["duration_s"], "movements_assigned": 40}]
+    assert len({x["corridor"] for x in by["speed_profiles"]}) == 4 and all(abs(x["mean_speed_kmh"] - 36.0) < 1e-6 for x in by["speed_profiles"])
+    assert len({x["approach"] for x in by["queues"]}) == 3 and all(x["queue_vehicles"] == 0 for x in by["queues"])
+    moved = B.flow(junction, net, 10.0)
+    assert {r["corridor"] for r in moved["time_space"].collect()} == {x["corridor"] for x in by["speed_profiles"]}
+    assert all(abs(r["speed_kmh"] - 36) < 3 for r in moved["cells"].where("n_vehicles > 1").collect()) and sum(r["lane_changes"] for r in moved["lane_changes"].collect()) <= 2
+    why = B.reasoning(junction, net, 10.0)
+    assert why["congestion"].count() == 0 and why["obstructions"].count() == 0
+    assert {r["signalised"] for r in why["signals"].collect()} <= {None, False, True} and why["signals"].count() == 3
+    # The busiest corridor is E to W with 14 vehicles; those from W must find gaps in it, and none of them ever waits.
+    gap = why["gap_acceptance"].first()
+    assert gap["stream"].count("->") == 2 and gap["n_accepted"] > 0 and gap["n_rejected"] == 0
+    assert {r["lane_structure"] for r in why["lane_structure"].collect()} == {"single undifferentiated stream"}
+
+
+def test_two_recordings_in_one_call_are_as_two_calls(spark, junction):
+    from pyspark.sql import functions as F
+
+    from roadweave.operators import bundles as B
+    from roadweave.operators import network as N
+
+    clip = (F.col("track_id") % 2).cast("string")
+    # The same track ids stand in both recordings, in one of them elsewhere.
+    parts = {k: junction.where(clip == k).select((F.col("track_id") / 2).cast("long").alias("track_id"), "frame", (F.col("world_x_m") + 3 * int(k)).alias("world_x_m"), "world_y_m", "speed_kmh", "mode", "parked") for k in "01"}
+    both = parts["0"].withColumn("clip", F.lit("0")).unionByName(parts["1"].withColumn("clip", F.lit("1"))).cache()
+    net = N.build(both, min_tracks=3, least_paths=3, scene="clip")
+    rows = lambda df, *drop: sorted(repr(tuple(r)) for r in df.drop(*drop).select(*(F.round(c, 6) if t == "double" else F.col(c) for c, t in df.drop(*drop).dtypes)).collect())
+    whole = B.insights(both, net, 10.0, keys=("clip",)) | B.flow(both, net, 10.0, keys=("clip",)) | {"movements": net.movements, "lines": net.centrelines}
+    for k in "01":
+        own = N.build(parts[k], min_tracks=3, least_paths=3)
+        alone = B.insights(parts[k], own, 10.0) | B.flow(parts[k], own, 10.0) | {"movements": own.movements, "lines": own.centrelines}
+        for name in ("od", "movement_counts", "approach_volumes", "modal_split", "speed_profiles", "fundamental", "queues", "cells", "lane_changes", "totals", "network", "movements", "lines"):
+            mine = whole[name].where(F.col("clip") == k)
+            assert rows(mine, "clip", "corridor") == rows(alone[name], "corridor"), name
+
+
+def test_plans_do_not_grow_with_corridors(spark, junction):
+    import time
+
+    from roadweave.operators import bundles as B
+    from roadweave.operators.network import Network
+
+    def sized(n):
+        lines = [("g", f"h{k}", j, float(j * 9), float(k)) for k in range(n) for j in range(24)]
+        mv = junction.sparkSession.createDataFrame([(t, "g", f"h{t % n}", "through", "car", 0, 9, 50.0, None) for t in range(40)], "track_id long, origin string, destination string, turn string, mode string, f0 int, f1 int, travel_m double, lane_in int")
+        net = Network(junction.select("mode").distinct(), mv, junction.sparkSession.createDataFrame(lines, "origin string, destination string, node int, x double, y double"))
+        begun = time.time()
+        found = B.insights(junction, net, 10.0)
+        plans = [found[k]._jdf.queryExecution().executedPlan().toString() for k in ("speed_profiles", "fundamental", "queues")]
+        return sum(p.count("\n") for p in plans), time.time() - begun
+
+    few, many = sized(2), sized(30)
+    assert few[0] == many[0] and many[1] < 5
+
+
+def test_acceleration_over_holes_is_as_numpy_has_it(spark):
+    from roadweave.functions.expressions import GroundPlane
+    from roadweave.operators import tracks as T
+    from roadweave.params import MotionParams
+
+    cam, fps, p = GroundPlane(70.0, -60.0, 900.0, 1920, 1080), 29.97, MotionParams()
+    r = random.Random(8)
+    x = [500 + 6 * k + 40 * math.sin(k / 9) + r.random() for k in range(120)]
+    gone = {*range(30, 38), *range(70, 71), *range(100, 120)}
+    rows = [(1, k, 0, 700.0 if k not in gone else None, x[k], False) for k in range(120)]
+    df = spark.createDataFrame([(t, f, s, cx, cy, i) for t, f, s, cy, cx, i in rows], "track_id long, frame int, segment int, cx double, cy double, interpolated boolean")
+    got = T.kinematics(df, cam, fps, MotionParams(max_acceleration=1e9, max_speed=1e9)).orderBy("frame").collect()
+    v = np.array([np.nan if g["velocity_x_mps"] is None else g["velocity_x_mps"] for g in got])
+    ok, pos, h = np.isfinite(v), np.arange(120), p.half_acceleration(fps)
+    full = np.interp(pos, pos[ok], v[ok])
+    k = np.arange(-h, h + 1)
+    want = np.array([np.dot(k, full[i - h : i + h + 1]) / (k @ k) * fps if h <= i < 120 - h and ok[i] else np.nan for i in range(120)])
+    have = np.array([np.nan if g["acceleration_x_mps2"] is None else g["acceleration_x_mps2"] for g in got])
+    assert np.isfinite(want).sum() > 20 and (np.isnan(want) == np.isnan(have)).all() and np.allclose(want, have, equal_nan=True, atol=1e-9)
+
+
 def test_average_linkage_against_brute_force():
     from roadweave.operators.network import average_linkage
 
