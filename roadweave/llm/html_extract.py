@@ -29,6 +29,9 @@ HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtex
 BORNE = frozenset("template noscript title object iframe canvas audio video".split())
 # What an element of the key's kind closes when it is open above it.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+# Open elements of these kinds that a start tag of a block may close, and those that it does not look beyond.
+CLOSED = frozenset("p tr td th li dt dd option".split())
+BARRIER = UNSEEN | BLOCK - CLOSED
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -71,6 +74,8 @@ class _Blocks(HTMLParser):
         """shown: the places of start tags, counted over the unseen kinds, that hide nothing."""
         super().__init__(convert_charrefs=True)
         self.stack: list[Path] = []
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each kind in the stack
+        self.barriers: list[int] = []
         self.shown, self.opened, self.ignored = shown, 0, False
         self.hidden: list[tuple[int, int]] = []  # depth in the stack and place of each open unseen element
         self.unclosed: dict[str, list[int]] = {}
@@ -82,7 +87,14 @@ class _Blocks(HTMLParser):
         if not self.ignored:
             super().set_cdata_mode(*args, **options)
 
+    def depth(self, *tags: str) -> int:
+        """The depth of the innermost open element of these kinds, -1 for none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
     def push(self, tag: str, names: tuple[str, ...] = ()) -> None:
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        if tag in BARRIER:
+            self.barriers.append(len(self.stack))
         self.stack.append(Path(tag, names, self.stack[-1] if self.stack else None))
 
     def parse_comment(self, i: int, report: bool = True) -> int:
@@ -90,18 +102,39 @@ class _Blocks(HTMLParser):
         end = super().parse_comment(i, report)
         return end if end >= 0 else self.rawdata.find(">", i) + 1 or len(self.rawdata)
 
+    # All of a page is at hand, so markup without an end is ended by the page's: nothing is searched for again and again.
+
+    def parse_html_declaration(self, i: int) -> int:
+        """The place after what begins with <! and is no comment: a doctype, or a bogus comment up to the next >."""
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        end = super().parse_endtag(i) if self.rawdata.find(">", i) >= 0 else -1
+        return end if end > i else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        """A start tag that the page cuts off is dropped with what stands in it."""
+        return super().parse_starttag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
     def cut(self, k: int, own: bool = False, noted: bool = True) -> None:
         """Ends the elements from depth k on; own: by the end tag of the one at k; noted: those without one are kept in mind."""
         while self.hidden and self.hidden[-1][0] >= k:
             depth, place = self.hidden.pop()
             if noted and not (own and depth == k) and self.stack[depth].tag in BORNE:
                 self.unclosed.setdefault(self.stack[depth].tag, []).append(place)
+        for e in self.stack[k:]:
+            self.depths[e.tag].pop()
+        while self.barriers and self.barriers[-1] >= k:
+            self.barriers.pop()
         del self.stack[k:]
 
     def end_foreign(self) -> None:
         while self.hidden:
             k = self.hidden[-1][0]
-            if self.stack[k].tag not in ("svg", "math") or any(e.tag in HOLDS_HTML for e in self.stack[k + 1 :]):
+            if self.stack[k].tag not in ("svg", "math") or self.depth(*HOLDS_HTML) > k:
                 break
             self.cut(k)
 
@@ -120,7 +153,7 @@ class _Blocks(HTMLParser):
         if tag not in HEADED and self.in_head():
             self.cut(self.hidden[-1][0])
         if tag in UNSEEN:
-            self.ignored = self.opened in self.shown or (tag == "head" and any(e.tag != "html" for e in self.stack))
+            self.ignored = self.opened in self.shown or (tag == "head" and len(self.stack) > len(self.depths.get("html", ())))
             if not self.ignored:
                 self.hidden.append((len(self.stack), self.opened))
                 self.push(tag)
@@ -128,14 +161,9 @@ class _Blocks(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
-            kinds = CLOSES.get(tag, "").split()
-            for k in range(len(self.stack) - 1, -1, -1):
-                t = self.stack[k].tag
-                if t == "p" or t in kinds:
-                    self.cut(k)
-                    break
-                if t in UNSEEN or t in BLOCK and t not in ("tr", "td", "th", "li", "dt", "dd", "option"):
-                    break
+            k = self.depth("p", *CLOSES.get(tag, "").split())
+            if k > (self.barriers[-1] if self.barriers else -1):
+                self.cut(k)
         elif tag == "br":
             self.text.append(" ")
         if tag not in VOID:
@@ -145,13 +173,11 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                self.cut(k, own=True, noted=tag != "head")
-                break
-        else:
-            if self.unclosed.get(tag):
-                self.unclosed[tag].pop()
+        k = self.depth(tag)
+        if k >= 0:
+            self.cut(k, own=True, noted=tag != "head")
+        elif self.unclosed.get(tag):
+            self.unclosed[tag].pop()
 
     def in_head(self) -> bool:
         return bool(self.hidden) and self.stack[self.hidden[-1][0]].tag == "head"
@@ -227,13 +253,15 @@ class Field:
         starts = np.flatnonzero(first)
         lengths = np.diff(np.append(starts, n))
         steps = int(lengths.max())
+        # Sums by block and by feature: every block has features, and blocks come in order.
+        own, order = np.searchsorted(rows, np.arange(n)), np.argsort(cols, kind="stable")
+        kinds, ranges = np.unique(cols[order], return_index=True)
         w, t = np.zeros((len(index), 2)), np.zeros((2, 2))
         state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
         truth_t = np.zeros((2, 2))
         np.add.at(truth_t, (y[:-1][~first[1:]], y[1:][~first[1:]]), 1)
         for k in range(1, rounds + 1):
-            e = np.zeros((n, 2))
-            np.add.at(e, rows, w[cols])
+            e = np.add.reduceat(w[cols], own)
             a, b = np.zeros((n, 2)), np.zeros((n, 2))
             for s in range(steps):
                 at = starts[lengths > s] + s
@@ -245,7 +273,7 @@ class Field:
             p = np.exp(a + b - z[:, None])
             p[np.arange(n), y] -= 1
             gw = penalty / len(starts) * w
-            np.add.at(gw, cols, p[rows] / len(starts))
+            gw[kinds] += np.add.reduceat(p[rows[order]] / len(starts), ranges)
             at = np.flatnonzero(~first) - 1
             pair = np.exp(a[at][:, :, None] + t + (e[at + 1] + b[at + 1])[:, None, :] - z[at][:, None, None])
             gt = (pair.sum(0) - truth_t) / len(starts) + penalty / len(starts) * t

@@ -321,3 +321,75 @@ def test_warc_of_few_pages_and_a_long_payload(spark, n):
     write_warc(marked(pages), at).collect()
     got = read_warc(spark, at).where("status = 'ok'").collect()
     assert len(got) == n and all(g["payload_length"] == 2_000_003 for g in got)
+
+
+@pytest.mark.parametrize("setting", ["4", "64", "80", "500"])
+def test_mixture_does_not_depend_on_the_session(spark, setting):
+    from roadweave.llm.mixing import op3_mix
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", setting)
+    try:
+        got = sorted(map(tuple, op3_mix(spark, "/root/testdata/sf0.001").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == MIXED.setdefault("rows", got) and len(got) == 200
+
+
+MIXED: dict[str, list] = {}
+
+
+def test_markup_of_any_kind_is_borne():
+    import time
+
+    from roadweave.llm.html_extract import blocks
+
+    for page in ("<p>a<![foo]>b", "<p>a<![ y", "<p>a<![]>b", "<p>a<![1]>b", "<p>a<![-- x -->b", "<p>a<![&amp;", "<p>a<!x>b", "<p>a<?x>b"):
+        assert " ".join(b.text for b in blocks(page)) in ("ab", "a"), page
+    r = random.Random(6)
+    parts = "<p> </p> <div> </div> <a> </a> <li> <ul> </ul> <td> <tr> <table> <br> <script> </script> <svg> </svg> <math> <head> </head> <body> <!-- --> <! <![ ]]> > < </ <a b=' \" = & &amp; &# x <template> <title> <desc>".split(" ")
+    for _ in range(20_000):
+        blocks("".join(r.choice(parts) for _ in range(r.randrange(25))))
+    for unit in ("<a href=x>t<p>", "<div class=a>x</p>", "<a ", "</a ", "<!x ", "<svg><b>x"):
+        begun = time.time()
+        blocks(unit * 64_000)
+        assert time.time() - begun < 20, unit
+
+
+def test_field_against_enumeration():
+    import itertools
+
+    from roadweave.llm.html_extract import Block, Field, blocks, features
+
+    r = np.random.default_rng(2)
+    pages = ["<ul><li>home<li><a href=x>news</a></ul><article><p>One two three.<p>Four five six seven.</article><footer>© a</footer>", "<div>a b</div><p>c d e.<p>f <a>g</a>", "<p>only"]
+    found = [blocks(p) for p in pages]
+    names = sorted({f for page in found for b in page for f in features(b)})
+    field = Field({f: k for k, f in enumerate(names)}, r.normal(size=(len(names), 2)), r.normal(size=(2, 2)))
+
+    def score(page: list[Block], labels: tuple[int, ...], w, t) -> float:
+        return sum(w[field.index[f], y] for b, y in zip(page, labels) for f in features(b)) + sum(t[a, b] for a, b in zip(labels, labels[1:]))
+
+    for page in found:
+        best = max(itertools.product((0, 1), repeat=len(page)), key=lambda y: score(page, y, field.weights, field.moves))
+        assert field.decode(page) == list(best)
+    # The fit's likelihood, by enumeration, is at its maximum: no small step along any weight raises it.
+    truth = [[0, 0, 1, 1, 0][: len(found[0])], [0, 1, 1], [1]]
+    truth = [y[: len(p)] + [0] * (len(p) - len(y)) for y, p in zip(truth, found)]
+    fitted = Field.fit(list(zip(pages, truth)), rounds=3000, penalty=0.5, rate=0.02)
+    field = Field(fitted.index, fitted.weights, fitted.moves)
+
+    def objective(w, t) -> float:
+        total = 0.0
+        for page, y in zip(found, truth):
+            every = [score(page, z, w, t) for z in itertools.product((0, 1), repeat=len(page))]
+            total += score(page, tuple(y), w, t) - np.logaddexp.reduce(every)
+        return total / len(found) - 0.5 * 0.5 / len(found) * ((w**2).sum() + (t**2).sum())
+
+    base, h = objective(field.weights, field.moves), 1e-4
+    for table in (field.weights, field.moves):
+        for at in np.ndindex(table.shape):
+            for sign in (h, -h):
+                table[at] += sign
+                assert objective(field.weights, field.moves) <= base + 1e-6, at
+                table[at] -= sign
