@@ -15,6 +15,7 @@ from roadweave.llm.common import WORD, partitions, slices, small_table, stored,
 
 BLOCK = 64  # words in a block
 SHARD = 4096  # slots in an output shard
+PARTS = 4096  # of a source's rows, each of which one task numbers
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -103,15 +104,15 @@ class Mixture:
 
     A null text counts as empty, a null source is a source, the last by order. Words are runs of other
     than ASCII white space. Rows are packed in the order of a hash of their id and then id and size, so a hot
-    source is numbered by many tasks; rows that repeat an id are packed one by one. Only one row per
+    source is numbered by many tasks; rows that repeat an id are packed one by one. The order is that of `parts` fixed parts of the hashes, so the mixture
+    depends on the rows and these parameters alone, not on the session's partitions. Only one row per
     source (its name, words and documents) comes to the driver: sources are what weights are configured
     for, so their number is bounded by that configuration.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = BLOCK, slots: int = SHARD, seed: int = 17) -> None:
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = BLOCK, slots: int = SHARD, seed: int = 17, parts: int = PARTS) -> None:
         self.block, self.slots, self.seed, self.docs = block, slots, seed, docs
         spark = docs.sparkSession
-        parts = max(64, partitions(spark))
         sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("text_hash"))
         self.sized = stored(sized.withColumn("part", F.pmod(F.col("text_hash"), F.lit(parts)).cast("int")), "sizes")
         sums = self.sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
