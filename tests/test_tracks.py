@@ -1,7 +1,9 @@
 """Closed loops: ground truth is projected to the image, and what comes back is compared."""
 
+import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from roadweave.operators import detections as D
 from roadweave.operators import network as N
 from roadweave.operators import reasoning as R
 from roadweave.operators import tracks as T
-from roadweave.operators.tracker import Tracker, assignment, tracked
+from roadweave.operators.tracker import Track, Tracker, assignment, motion_quality, tracked
 from roadweave.sources import tables as S
 
 FPS = 29.97
@@ -196,16 +198,62 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, spark.table("counts").collect()))
 
 
-def test_tracking_stream_agrees_with_batch(spark, tmp_path):
+def test_tracking_stream_agrees_with_batch_and_forgets(spark, tmp_path):
     from roadweave.streaming.tracking import tracked_stream
 
-    rows = [("v", f, 100.0 + 4 * f, 100.0, 140.0 + 4 * f, 130.0, 0.9, "car") for f in range(30)]
-    df = spark.createDataFrame(rows, "video_id string, frame int, x1 double, y1 double, x2 double, y2 double, conf double, mode string")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = tracked_stream(stream).writeStream.outputMode("append").format("memory").queryName("trk").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("trk").collect())) == sorted(map(tuple, tracked(df).collect()))
+    schema = "video_id string, frame int, x1 double, y1 double, x2 double, y2 double, conf double, mode string, event_time timestamp"
+    box = lambda v, f, k, at: (v, f, 100.0 + 4 * f, 100.0 + 90 * k, 140.0 + 4 * f, 130.0 + 90 * k, 0.9, "car", at)
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    first = [box("v", f, k, at(f / 10)) for f in range(30) for k in range(3) if not (k == 1 and 12 <= f < 20)]
+    batches = [[r for r in first if r[1] < 14], [r for r in first if 9 <= r[1]], [box("w", f, 0, at(500 + f / 10)) for f in range(9)], [box("w", f, 0, at(500 + f / 10)) for f in range(9, 12)], [r for r in first if r[1] < 5]]
+    run = lambda: tracked_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("event_time", "5 seconds"), keep_s=30.0).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    left = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = run()
+        q.awaitTermination()
+        state = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "video").load()
+        left.append(sorted(r[0] for r in state.selectExpr("key.video_id").collect()))
+    # A video is forgotten once another's frames have moved the watermark past its timer; its frames that come again then are late.
+    assert left[0] == left[1] == ["v"] and left[-1] == ["w"] and left[3] == ["w"]
+    want = tracked(spark.createDataFrame(first + batches[2] + batches[3], schema)).collect()
+    assert sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(repr, want)) and len({r["track_id"] for r in want if r["video_id"] == "v"}) == 3
+
+
+def test_camera_motion_keeps_ids(spark):
+    schema = "video_id string, frame int, x1 double, y1 double, x2 double, y2 double, conf double, mode string"
+    pan = lambda f: 0.0 if f < 8 else 70.0 * (f - 7)  # the camera turns: all that stands moves by 70 pixels a frame
+    places = [(300.0, 200.0), (420.0, 500.0), (900.0, 350.0)]
+    df = spark.createDataFrame([("v", f, x - pan(f), y, x - pan(f) + 40, y + 30, 0.9, "car") for f in range(16) for x, y in places], schema)
+    moves = spark.createDataFrame([("v", f, 1.0, 0.0, pan(f - 1) - pan(f), 0.0, 1.0, 0.0, 300 if f < 12 else 60, 110 if f < 12 else 9) for f in range(1, 16) if f != 15], "video_id string, frame int, a double, b double, tx double, c double, d double, ty double, points int, inliers int")
+    moves = moves.withColumn("quality", motion_quality(F.col("inliers"), F.col("points")))
+    ids = lambda out: {f: sorted(r["track_id"] for r in out if r["frame"] == f) for f in range(16)}
+    with_, without = ids(tracked(df, moves).collect()), ids(tracked(df).collect())
+    assert all(with_[f] == [1, 2, 3] for f in range(1, 15)) and with_[15] == [] and without[12] != [1, 2, 3]
+    quality = {r["frame"]: r["camera_motion_quality"] for r in tracked(df, moves).collect()}
+    assert abs(quality[5] - 110 / 120 * min(110 / 300 / 0.6, 1)) < 1e-12 and quality[13] == 0.0 and {r["camera_motion_quality"] for r in tracked(df).collect()} == {1.0}
+    turned = Track.begin(np.array([10.0, 20.0, 30.0, 60.0]), None)
+    turned.mean[4:6], cov = (3.0, 1.0), turned.cov.copy()
+    turned.moved(np.array([[0.0, -2.0, 5.0], [2.0, 0.0, 7.0]]))
+    assert np.allclose(turned.mean, [-2 * 40 + 5, 2 * 20 + 7, 0.5, 80, -2, 6, 0, 0]) and np.allclose(turned.cov[0, 0], 4 * cov[1, 1])
+
+
+def test_gallery_forgets_what_left_the_image():
+    box, none = np.array([[1500.0, 500, 1540, 530]]), (np.zeros((0, 4)), np.zeros(0), [], [])
+    for size, kept in (((1600, 900), 0), (None, 1)):
+        tracker = Tracker(keep_lost=3, size=size)
+        for f in range(20):
+            tracker.step(f, box + [[18.0 * f, 0, 18.0 * f, 0]], np.array([0.9]), ["car"], [None])
+        for f in range(20, 60):
+            tracker.step(f, *none)
+        # It goes on unseen at 18 pixels a frame, by which it is more than a quarter of the width outside.
+        assert len(tracker.gallery) == kept and not tracker.live
+
+
+def test_new_tracks_need_sure_boxes_and_a_second_sight():
+    tracker, box = Tracker(), np.array([[100.0, 100, 140, 130]])
+    seen = [len(tracker.step(f, box, np.array([c]), ["car"], [None])) for f, c in enumerate((0.5, 0.5, 0.9, 0.5, 0.3, 0.1, 0.5))]
+    assert seen == [0, 0, 0, 1, 1, 0, 1] and tracker.ids == 1
 
 
 def test_tracked_query_tracks_every_box(spark, tmp_path):
@@ -221,7 +269,7 @@ def test_tracked_query_tracks_every_box(spark, tmp_path):
     want = {}
     for v in range(3):
         tracker, of = Tracker(), boxes[boxes["track_id"] % 3 == v].sort_values(["x1", "y1"])
-        for f in sorted(set(of["frame"])):
+        for f in range(of["frame"].min(), of["frame"].max() + 1):
             d = of[of["frame"] == f]
             for i, _, _, mode in tracker.step(f, d[["x1", "y1", "x2", "y2"]].to_numpy(), d["conf"].to_numpy(), [modes[c] for c in d["cls_name"]], [None] * len(d)):
                 want.setdefault((f"v{v}", mode), []).append(i)
