@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.expressions import Line, projected, segments_of
 from roadweave.operators.aggregates import beside, length_of, on_corridor
+from roadweave.operators.scan import scanned
 
 
 def stopline_crossings(df: DataFrame, line: Line | None, fps: float, at_m: float | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -28,23 +29,32 @@ def stopline_crossings(df: DataFrame, line: Line | None, fps: float, at_m: float
     return g.select(*keys, ((F.col("h.f0") + share * (F.col("h.frame") - F.col("h.f0"))) / fps).alias("t_s"), "mode", "median_speed_kmh")
 
 
-def platoons(crossings: DataFrame, red_gap_s: float = 12.0) -> DataFrame:
-    """Crossings with the headway before each and the number of the platoon it is in; a longer gap than red_gap_s begins a new one."""
-    w = Window.partitionBy("stream").orderBy("t_s", "vehicle")
-    rows = crossings.withColumn("headway_s", F.col("t_s") - F.lag("t_s").over(w))
-    rows = rows.withColumn("platoon", F.sum(F.coalesce((F.col("headway_s") > red_gap_s).cast("int"), F.lit(0))).over(w))
-    inside = Window.partitionBy("stream", "platoon").orderBy("t_s", "vehicle")
-    return rows.withColumn("place", F.row_number().over(inside))
+def platoons(crossings: DataFrame, red_gap_s: float = 12.0, bucket_s: float = 600.0) -> DataFrame:
+    """Crossings with the headway before each, the number of the platoon it is in and its place there; a longer gap than red_gap_s begins a new one.
+
+    A stream of any length is dealt out by buckets of bucket_s seconds.
+    """
+    rows = scanned(crossings, ["stream"], "t_s", bucket_s, ["vehicle"], before={"_t": F.col("t_s")}, totals={"_n": F.lit(1)})
+    rows = rows.withColumn("headway_s", F.col("t_s") - F.col("_t"))
+    new = F.coalesce(F.col("headway_s") > red_gap_s, F.lit(False))
+    begins = F.when(new | F.col("_t").isNull(), F.col("_n"))
+    rows = scanned(rows, ["stream"], "t_s", bucket_s, ["vehicle"], upto={"_from": begins}, totals={"platoon": new.cast("int")})
+    return rows.withColumn("place", (F.col("_n") - F.col("_from") + 1).cast("int")).drop("_t", "_n", "_from")
 
 
-def discharge_cycles(crossings: DataFrame, red_gap_s: float = 12.0) -> DataFrame:
+def discharge_cycles(crossings: DataFrame, red_gap_s: float = 12.0, bucket_s: float = 600.0) -> DataFrame:
     """Per platoon its span, vehicles, and saturation flow from the headways after the first two (of all, where there are three or fewer)."""
-    rows = platoons(crossings, red_gap_s)
-    inner = F.col("place") > 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("stream", "platoon"))
-    rows = rows.withColumn("_n", n)
-    steady = F.when(inner & ((F.col("_n") <= 4) | (F.col("place") > 3)), F.col("headway_s"))
-    g = rows.groupBy("stream", "platoon").agg(F.min("t_s").alias("start_s"), F.max("t_s").alias("end_s"), F.count(F.lit(1)).alias("vehicles"), F.avg(steady).alias("steady_headway_s"), F.median(F.when(F.col("_n") > 4, steady)).alias("_median"), F.max(F.when(F.col("place") == 2, F.col("headway_s"))).alias("first_headway_s"))
+    rows = platoons(crossings, red_gap_s, bucket_s)
+    inner, late = F.when(F.col("place") > 1, F.col("headway_s")), F.when(F.col("place") > 3, F.col("headway_s"))
+    n = F.count(F.lit(1))
+    g = rows.groupBy("stream", "platoon").agg(
+        F.min("t_s").alias("start_s"),
+        F.max("t_s").alias("end_s"),
+        n.alias("vehicles"),
+        F.when(n <= 4, F.avg(inner)).otherwise(F.avg(late)).alias("steady_headway_s"),
+        F.when(n > 4, F.median(late)).alias("_median"),
+        F.max(F.when(F.col("place") == 2, F.col("headway_s"))).alias("first_headway_s"),
+    )
     w = Window.partitionBy("stream").orderBy("platoon")
     return g.select(
         "stream",
@@ -83,18 +93,15 @@ def signal_performance(crossings: DataFrame, red_gap_s: float = 12.0, min_cycles
     return g.withColumns({k: F.when(F.col("signalised"), F.col(k)) for k in ("n_cycles", "median_saturation_flow_veh_h", "median_startup_loss_s", "median_red_s", "median_green_s")})
 
 
-def accepted_gaps(minor: DataFrame, major: DataFrame) -> DataFrame:
-    """The major stream's gap around each minor crossing: an as-of join as one ordered pass over the union by stream.
+def accepted_gaps(minor: DataFrame, major: DataFrame, bucket_s: float = 600.0) -> DataFrame:
+    """The major stream's gap around each minor crossing: an as-of join both ways, as one ordered pass over the union by stream, dealt out by buckets of time.
 
     Both tables have stream, vehicle, t_s; a minor crossing before the first or after the last major one has no row.
     """
     rows = minor.select("stream", "vehicle", "t_s", F.lit(1).alias("_minor")).unionByName(major.select("stream", "vehicle", "t_s", F.lit(0).alias("_minor")))
     # At equal times the minor crossing comes first, so the gap ends with the major one at or after it.
-    w = Window.partitionBy("stream").orderBy("t_s", F.desc("_minor"), "vehicle")
-    # What comes after is found in the reversed order, since a frame to the end of the stream costs the square of its rows.
-    back = Window.partitionBy("stream").orderBy(F.desc("t_s"), "_minor", F.desc("vehicle"))
     t = F.when(F.col("_minor") == 0, F.col("t_s"))
-    rows = rows.withColumns({"before": F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.last(t, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = scanned(rows, ["stream"], "t_s", bucket_s, [F.desc("_minor"), "vehicle"], before={"before": t}, after={"after": t})
     return rows.where("_minor = 1 AND before IS NOT NULL AND after IS NOT NULL").select("stream", "vehicle", "t_s", (F.col("after") - F.col("before")).alias("gap_s"))
 
 
@@ -104,8 +111,8 @@ def rejected_gaps(waits: DataFrame, major: DataFrame, bucket_s: float = 60.0) ->
     A wait is dealt to every bucket that it touches and a gap to the bucket that it begins in, so rows meet by equality and
     the range condition is checked on those alone.
     """
-    w = Window.partitionBy("stream").orderBy("t_s", "vehicle")
-    gaps = major.select("stream", F.col("t_s").alias("g0"), F.lead("t_s").over(w).alias("g1")).where("g1 IS NOT NULL").withColumn("b", F.floor(F.col("g0") / bucket_s))
+    ends = scanned(major.select("stream", "vehicle", "t_s"), ["stream"], "t_s", 10 * bucket_s, ["vehicle"], after={"g1": F.col("t_s")})
+    gaps = ends.where("g1 IS NOT NULL").select("stream", F.col("t_s").alias("g0"), "g1", F.floor(F.col("t_s") / bucket_s).alias("b"))
     spans = waits.where("wait_s < t_s").withColumn("b", F.explode(F.sequence(F.floor(F.col("wait_s") / bucket_s), F.floor(F.col("t_s") / bucket_s))))
     return spans.join(gaps, ["stream", "b"]).where("g0 >= wait_s AND g1 <= t_s").select("stream", "vehicle", (F.col("g1") - F.col("g0")).alias("gap_s"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.expressions import GroundPlane, RowScale
+from roadweave.operators.scan import ranked
 from roadweave.params import MotionParams, TrackParams
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -164,24 +165,12 @@ def track_summary(df: DataFrame, fps: float, p: MotionParams = MotionParams()) -
 def motion_states(df: DataFrame, summary: DataFrame, p: MotionParams = MotionParams()) -> DataFrame:
     """Adds parked, motion_state and display_id. A display id ranks the tracks that are not parked by first frame, then id."""
     live = summary.where(~F.col("parked")).select("track_id", "f0")
-    ids = ranked_globally(live, ["f0", "track_id"], "display_id")
+    ids = ranked(live, ["f0", "track_id"], "display_id")
     df = df.join(summary.select("track_id", "parked"), "track_id", "left").join(ids.select("track_id", "display_id"), "track_id", "left")
     state = F.when(F.col("parked"), "parked").when(F.col("kinematics_valid") & (F.col("speed_mps") > p.moving_speed), "moving").when(F.col("kinematics_valid") & F.col("speed_mps").isNotNull(), "temporarily_stopped")
     return df.withColumn("motion_state", state.otherwise("unknown"))
 
 
-def ranked_globally(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """row_number over the whole table without one task for all rows: ranks within ranges of the first column, and the counts of the ranges before."""
-    first = order[0]
-    low, high = df.agg(F.min(first), F.max(first)).first()
-    span = max(1, ((high or 0) - (low or 0)) // 256 + 1)
-    part = F.floor((F.col(first) - F.lit(low or 0)) / F.lit(span)).cast("int")
-    df = df.withColumn("_part", part)
-    sizes = df.groupBy("_part").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    w = Window.partitionBy("_part").orderBy(*order)
-    return df.join(F.broadcast(sizes), "_part").withColumn(name, (F.row_number().over(w) + F.col("_base")).cast("long")).drop("_part", "_base")
-
-
 def stats_by_mode(df: DataFrame, summary: DataFrame) -> DataFrame:
     """Medians over moving tracks of their speeds, and their strong accelerations, by mode; modes without tracks have no row."""
     modes = df.groupBy("track_id").agg(F.min("mode").alias("mode"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.expressions import GeoReference, known, metres_per_degree
+from roadweave.operators.scan import scanned
 
 #: The columns of the table of analysed tracks, in order.
 TRACK_COLUMNS = ("frame", "timestamp_s", "track_id", "display_id", "mode", "motion_state", "conf", "x1", "y1", "x2", "y2", "cx", "cy", "world_x_m", "world_y_m", "velocity_x_mps", "velocity_y_mps", "speed_mps", "speed_kmh", "acceleration_x_mps2", "acceleration_y_mps2", "acceleration_mps2", "longitudinal_acceleration_mps2", "lateral_acceleration_mps2", "heading_deg", "kinematics_valid", "kinematics_quality", "interpolated", "interpolated_fraction_in_window", "parked")
@@ -46,21 +47,23 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     return telemetry_of(spark.read.option("lineSep", "\n\n").text(path))
 
 
-def aligned(telemetry: DataFrame, n_frames: int) -> DataFrame:
-    """One row per frame 0..n-1; a frame without telemetry takes the last before it."""
-    w = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+def aligned(telemetry: DataFrame, n_frames: int, bucket: int = 10_000) -> DataFrame:
+    """One row per frame 0..n-1; a frame without telemetry takes the last known values before it. Dealt out by buckets of frames."""
     cols = [c for c in telemetry.columns if c != "frame"]
     all_ = telemetry.sparkSession.range(n_frames).select(F.col("id").cast("int").alias("frame")).join(telemetry, "frame", "left")
-    return all_.select("frame", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in cols))
+    rows = all_.select("frame", *(F.col(c).alias(f"_{c}") for c in cols))
+    return scanned(rows, [], "frame", bucket, upto={c: F.col(f"_{c}") for c in cols}).select("frame", *cols)
 
 
-def georeference(telemetry: DataFrame, yaw_offset_deg: float = 0.0) -> GeoReference | None:
-    """The frame's origin and bearing from telemetry medians, one row; None without any usable entry."""
+def georeference(telemetry: DataFrame, yaw_offset_deg: float = 0.0, bucket: int = 10_000) -> GeoReference | None:
+    """The frame's origin and bearing from telemetry medians, one row; None without any usable entry. The yaw is unwound in order of frames, dealt out by buckets."""
     t = telemetry.where("lat IS NOT NULL AND lon IS NOT NULL AND gb_yaw IS NOT NULL")
-    w = Window.orderBy("frame")
-    turn = F.coalesce(F.pmod(F.col("gb_yaw") - F.lag("gb_yaw").over(w) + 180.0, F.lit(360.0)) - 180.0, F.lit(0.0))
-    t = t.withColumn("_u", F.sum(turn).over(w))
-    r = t.agg(F.count(F.lit(1)).alias("n"), F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.degrees(F.atan2(F.median(F.sin(F.radians("gb_yaw"))), F.median(F.cos(F.radians("gb_yaw"))))).alias("yaw"), F.median(F.coalesce("rel_alt", F.lit(0.0))).alias("alt"), (F.max("_u") - F.min("_u")).alias("spread"), (F.max("lat") - F.min("lat")).alias("dlat"), (F.max("lon") - F.min("lon")).alias("dlon")).first()
+    t = scanned(t, [], "frame", bucket, before={"_yaw": F.col("gb_yaw")})
+    turn = F.coalesce(F.pmod(F.col("gb_yaw") - F.col("_yaw") + 180.0, F.lit(360.0)) - 180.0, F.lit(0.0))
+    t = scanned(t, [], "frame", bucket, totals={"_u": turn})
+    yaw = F.degrees(F.atan2(F.median(F.sin(F.radians("gb_yaw"))), F.median(F.cos(F.radians("gb_yaw")))))
+    reach = lambda c: F.max(c) - F.min(c)
+    r = t.agg(F.count(F.lit(1)).alias("n"), F.median("lat").alias("lat"), F.median("lon").alias("lon"), yaw.alias("yaw"), F.median(F.coalesce("rel_alt", F.lit(0.0))).alias("alt"), reach("_u").alias("spread"), reach("lat").alias("dlat"), reach("lon").alias("dlon")).first()
     if not r["n"]:
         return None
     a, b = metres_per_degree(r["lat"])
