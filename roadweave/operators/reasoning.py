@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.expressions import Line, projected, segments_of
 from roadweave.operators.aggregates import beside, length_of, on_corridor
+from roadweave.operators.graph import components
 from roadweave.operators.scan import scanned
+from roadweave.storage import cut
 
 
 def stopline_crossings(df: DataFrame, line: Line | None, fps: float, at_m: float | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -195,44 +195,46 @@ def shockwave(fronts: DataFrame, least: int = 4, by: Sequence[str] = ()) -> Data
     return g.where(F.col("n_fronts") >= least).withColumn("direction", F.when(F.col("median_mps") < -0.2, "upstream").when(F.col("median_mps") > 0.2, "downstream").otherwise("stationary"))
 
 
-REGION = "place string, cells long, origin_distance_m double, origin_time_s double, origin_speed_kmh double, start_s double, end_s double, extent_m double, min_speed_kmh double, peak_density_veh_km double, shockwave_mps double, stopping_wave_mps double, starting_wave_mps double, predates boolean"
-
-
 def congestion_regions(cells: DataFrame, place: str | None = None, congested_kmh: float = 15.0, min_cells: int = 4) -> DataFrame:
-    """Connected congested regions of the space-time grid, their origins and edge speeds.
+    """Connected congested regions of each place's space-time grid, their origins and edge speeds. place: a column that names corridor and recording.
 
-    A group is the grid of one place (a column that names corridor and recording): its cells number the corridor's segments
-    times the recording's intervals, whatever the traffic.
+    Neighbouring slow segments of an interval are one run, runs of following intervals that share a segment are joined, and components of runs are
+    regions, so a grid of any size is spread over tasks. The edge is the least slow distance at each time; its slopes are of the whole life, up to its first least
+    place, and from there on, each of three times or more. A wave's verdict needs no more than these.
     """
     c = cells.withColumn("place", F.col(place).cast("string") if place else F.lit("all"))
     c = c.groupBy("place", "segment", "interval").agg(F.avg("speed_kmh").alias("v"), F.avg("density_veh_per_km").alias("k"), F.min("segment_start_m").alias("seg_m"), F.min("interval_start_s").alias("t_s"))
-
-    def regions(g: pd.DataFrame) -> pd.DataFrame:
-        clip, slow = g["t_s"].min(), g[g["v"] < congested_kmh].sort_values(["interval", "segment"])
-        left = {(s, i): r for s, i, r in zip(slow["segment"], slow["interval"], slow.itertuples())}
-        out = []
-        while left:
-            stack, comp = [next(iter(left))], []
-            comp.append(left.pop(stack[0]))
-            while stack:
-                s, i = stack.pop()
-                for k in ((s + 1, i), (s - 1, i), (s, i + 1), (s, i - 1)):
-                    if k in left:
-                        comp.append(left.pop(k))
-                        stack.append(k)
-            if len(comp) < min_cells:
-                continue
-            t0 = min(r.t_s for r in comp)
-            first = min((r for r in comp if r.t_s == t0), key=lambda r: (r.v, r.seg_m))
-            ts = sorted({r.t_s for r in comp})
-            edge = [min(r.seg_m for r in comp if r.t_s == t) for t in ts]
-            k = int(np.argmin(edge))
-            slope = lambda a, b, need: float(np.polyfit(ts[a:b], edge[a:b], 1)[0]) if b - a >= need else None
-            whole = len(ts) >= 3
-            out.append((g["place"].iloc[0], len(comp), first.seg_m, first.t_s, first.v, t0, ts[-1], max(r.seg_m for r in comp) - min(r.seg_m for r in comp), min(r.v for r in comp), max(r.k for r in comp), slope(0, len(ts), 3), slope(0, k + 1, 3) if whole else None, slope(k, len(ts), 3) if whole else None, abs(t0 - clip) < 1e-6))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in REGION.split(", ")])
-
-    return c.groupBy("place").applyInPandas(regions, REGION)
+    clip = c.groupBy("place").agg(F.min("t_s").alias("clip"))
+    row = Window.partitionBy("place", "interval").orderBy("segment")
+    slow = c.where(F.col("v") < congested_kmh)
+    slow = slow.withColumn("_new", F.coalesce((F.col("segment") - F.lag("segment").over(row) > 1).cast("int"), F.lit(1)))
+    slow = cut(slow.withColumn("run", F.struct("place", "interval", F.sum("_new").over(row).alias("n"))).drop("_new"))
+    later = slow.select("place", "segment", (F.col("interval") - 1).alias("interval"), F.col("run").alias("b"))
+    found = components(slow.join(later, ["place", "segment", "interval"]).select(F.col("run").alias("a"), "b").distinct())
+    own = slow.join(found.select(F.col("node").alias("run"), "component"), "run", "left").withColumn("region", F.coalesce("component", "run"))
+    own = own.select("region", "place", "seg_m", "t_s", "v", "k")
+    whole = own.groupBy("region", "place").agg(F.count(F.lit(1)).alias("cells"), F.min(F.struct("t_s", "v", "seg_m")).alias("o"), F.max("t_s").alias("end_s"), (F.max("seg_m") - F.min("seg_m")).alias("extent_m"), F.min("v").alias("min_speed_kmh"), F.max("k").alias("peak_density_veh_km")).where(F.col("cells") >= min_cells)
+    edge = own.groupBy("region", "t_s").agg(F.min("seg_m").alias("e"))
+    edge = edge.join(edge.groupBy("region").agg(F.min(F.struct("e", "t_s"))["t_s"].alias("turn"), F.count(F.lit(1)).alias("m")), "region")
+    slope = lambda on: F.when((F.count_if(on) >= 3) & (F.first("m") >= 3), F.regr_slope(F.when(on, F.col("e")), F.when(on, F.col("t_s"))))
+    edge = edge.groupBy("region").agg(slope(F.lit(True)).alias("shockwave_mps"), slope(F.col("t_s") <= F.col("turn")).alias("stopping_wave_mps"), slope(F.col("t_s") >= F.col("turn")).alias("starting_wave_mps"))
+    out = whole.join(edge, "region").join(clip, "place")
+    return out.select(
+        "place",
+        "cells",
+        F.col("o.seg_m").alias("origin_distance_m"),
+        F.col("o.t_s").alias("origin_time_s"),
+        F.col("o.v").alias("origin_speed_kmh"),
+        F.col("o.t_s").alias("start_s"),
+        "end_s",
+        "extent_m",
+        "min_speed_kmh",
+        "peak_density_veh_km",
+        "shockwave_mps",
+        "stopping_wave_mps",
+        "starting_wave_mps",
+        (F.abs(F.col("o.t_s") - F.col("clip")) < 1e-6).alias("predates"),
+    )
 
 
 def periodicity(crossings: DataFrame, low_s: int = 25, high_s: int = 180, least: int = 20, span_s: float = 75.0) -> DataFrame:

@@ -11,9 +11,10 @@ from roadweave.operators import classify as K
 from roadweave.operators import detections as D
 from roadweave.operators import network as N
 from roadweave.operators import tracker as TR
+from roadweave.operators.classify import BUS_MIN_M, LADDER
 from roadweave.plans.adapters import CAMERA, TRACKS, duck, ground, tracks
 from roadweave.plans.aggregate_queries import GR, rounded
-from roadweave.plans.track_queries import BASE, smooth
+from roadweave.plans.track_queries import _C, _S, BASE, smooth
 from roadweave.sources import tables as S
 from roadweave.streaming import counts as SC
 
@@ -123,7 +124,50 @@ QUERIES = {f.__name__: f for f in (b3_owned, b5_suppressed, b6_exclusion, b7_mod
 
 _DET = f"WITH tracks AS ({duck(TRACKS)})"
 _M = "CASE cls_name WHEN 'car' THEN 'car' WHEN 'van' THEN 'LGV' WHEN 'truck' THEN 'truck' WHEN 'motor' THEN 'motorcycle' WHEN 'pedestrian' THEN 'pedestrian' END"
+#: Boxes of a frame from the best on: one stays if none of those that stay overlaps it by more than a half.
+_IOU = "greatest(least(b.x2, k.x2) - greatest(b.x1, k.x1), 0) * greatest(least(b.y2, k.y2) - greatest(b.y1, k.y1), 0)"
+_KEPT = f"""WITH RECURSIVE tracks AS ({duck(TRACKS)}), b AS (SELECT frame, track_id, x1, y1, x2, y2, conf, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, x1, y1, x2, y2, track_id) AS i FROM tracks),
+      f AS (SELECT frame, i, true AS ok, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM b WHERE i = 1
+        UNION ALL SELECT frame, i, ok, CASE WHEN ok THEN list_append(kept, box) ELSE kept END FROM (
+          SELECT b.frame, b.i, f.kept, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}} AS box, len(list_filter(f.kept, lambda k: {_IOU} / greatest((b.x2 - b.x1) * (b.y2 - b.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - {_IOU}, 1e-6) > 0.5)) = 0 AS ok
+          FROM f JOIN b ON b.frame = f.frame AND b.i = f.i + 1))
+"""
+
+
+def _ladder_sql() -> str:
+    """final_mode, mode_confidence and classification_source by appearance, length and its uncertainty."""
+    final, conf, source = "", "", ""
+    for mode, steps in LADDER.items():
+        own, open_, to, doubt = f"measured AND am = '{mode}'", "true", f"'{mode}'", "false"
+        for border, name in steps:
+            over = f"({open_} AND l > {border!r}::DOUBLE + unc)"
+            doubt += f" OR ({open_} AND NOT l > {border!r}::DOUBLE + unc AND l > {border!r}::DOUBLE - unc)"
+            to, open_ = f"CASE WHEN {over} THEN '{name}' ELSE {to} END", over
+        changed = f"{own} AND NOT ({doubt}) AND ({to}) <> '{mode}'"
+        final += f" WHEN {changed} THEN {to}"
+        source += f" WHEN {changed} THEN 'length_override' WHEN {own} THEN 'appearance_and_length'"
+        conf += f" WHEN {own} AND ({doubt}) THEN p1 * 0.7::DOUBLE WHEN {changed} THEN least(1, p1 * 0.9::DOUBLE + 0.1::DOUBLE) WHEN {own} THEN least(1, p1 * 1.05::DOUBLE)"
+    bus, low, high = "measured AND am = 'bus'", f"l < {BUS_MIN_M!r}::DOUBLE - unc", f"l < {BUS_MIN_M!r}::DOUBLE + unc"
+    final = f"CASE WHEN am IS NULL THEN 'car' WHEN {bus} AND {low} THEN 'LGV'{final} ELSE am END"
+    source = f"CASE WHEN am IS NULL THEN 'appearance_fallback_no_calibration' WHEN {bus} AND {low} THEN 'length_override' WHEN {bus} AND {high} THEN 'appearance_and_length'{source} ELSE 'appearance' END"
+    conf = f"CASE WHEN am IS NULL THEN 0 WHEN {bus} AND {low} THEN p1 * 0.75::DOUBLE WHEN {bus} AND {high} THEN p1 * 0.8::DOUBLE{conf} ELSE p1 END"
+    return f"{final} AS final_mode, round({conf}, 6) AS mode_confidence, {source} AS classification_source"
+
+
+_CLASSED = BASE + f""", vo AS (SELECT track_id, arg_min(m, r) AS am, max(p) FILTER (r = 1) AS p1, max(p) FILTER (r = 1) - coalesce(max(p) FILTER (r = 2), 0) AS vote_margin, sum(-p * ln(greatest(p, 1e-12))) AS vote_entropy
+      FROM (SELECT *, w / sum(w) OVER (PARTITION BY track_id) AS p, row_number() OVER (PARTITION BY track_id ORDER BY w DESC, f) AS r FROM (SELECT track_id, {_M} AS m, sum(conf) AS w, min(frame) AS f FROM smooth WHERE NOT interpolated AND {_M} IS NOT NULL GROUP BY 1, 2)) GROUP BY 1),
+      l0 AS (SELECT track_id, frame, conf, size * sqrt(70.472::DOUBLE / a * (70.472::DOUBLE * 924.5::DOUBLE / (a * a))) AS l FROM (SELECT *, greatest(x2 - x1, y2 - y1) AS size, ((y1 + y2) / 2 - 540e0) * {_C!r}::DOUBLE + {924.5 * _S!r}::DOUBLE AS a FROM smooth)
+        WHERE NOT interpolated AND x1 > 3 AND y1 > 3 AND x2 < 1916 AND y2 < 1076 AND conf >= 0.35::DOUBLE AND size >= 14 AND a > 1e-6),
+      l1 AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, median(l) OVER w AS med FROM l0 WHERE l > 0 WINDOW w AS (PARTITION BY track_id)) WHERE n < 3 OR (l > 0.35::DOUBLE * med AND l < 2.5::DOUBLE * med)),
+      l2 AS (SELECT *, sum(conf) OVER (PARTITION BY track_id ORDER BY l, frame ROWS UNBOUNDED PRECEDING) AS c, sum(conf) OVER (PARTITION BY track_id) AS total FROM l1),
+      l3 AS (SELECT *, min(CASE WHEN c >= 0.5::DOUBLE * total THEN l END) OVER (PARTITION BY track_id) AS wm FROM l2),
+      le AS (SELECT track_id, count(*) AS n, any_value(wm) AS l, greatest(1.253::DOUBLE * 1.4826::DOUBLE * median(abs(l - wm)) / sqrt(count(*)), 0.35::DOUBLE) AS unc FROM l3 GROUP BY 1 HAVING count(*) >= 5),
+      al AS (SELECT *, l IS NOT NULL AND coalesce(am IN ('car', 'LGV', 'truck', 'bus'), false) AS measured FROM (SELECT DISTINCT track_id FROM smooth) LEFT JOIN vo USING (track_id) LEFT JOIN le USING (track_id))
+      SELECT track_id, coalesce(am, 'car') AS appearance_mode, {_ladder_sql()}, round(CASE WHEN measured THEN l END, 6) AS estimated_length_m, CASE WHEN measured THEN n END AS length_measurement_count, round(CASE WHEN measured THEN unc END, 6) AS length_uncertainty_m,
+      round(coalesce(vote_margin, 0), 6) AS vote_margin, round(vote_entropy, 6) AS vote_entropy FROM al"""
 ORACLES = {
+    "b5_suppressed": _KEPT + "SELECT frame, track_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("x1", "y1", "x2", "y2", "conf")) + " FROM b JOIN f USING (frame, i) WHERE ok",
+    "f15_classified": _CLASSED,
     "b3_owned": _DET + " SELECT event_id, " + ", ".join(f"round(least(greatest({c}, 0), {n}), 6) AS {c}" for c, n in (("x1", 1920), ("y1", 1080), ("x2", 1920), ("y2", 1080))) + " FROM tracks WHERE (x1 + x2) / 2 < 1920 AND (y1 + y2) / 2 < 1080 AND (x1 + x2) / 2 >= 0 AND (y1 + y2) / 2 >= 0",
     "b6_exclusion": _DET + " SELECT track_id, count(*) AS n FROM (SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM tracks) WHERE NOT (x >= 0 AND x < 300 AND y >= 0 AND y < 500) AND NOT (x >= 600 AND x < 900 AND y >= 400 AND y < 1000) GROUP BY 1",
     "b7_modes": _DET + f" SELECT {_M} AS mode, CASE WHEN conf >= 0.45 THEN 'high' WHEN conf >= 0.15 THEN 'low' END AS band, count(*) AS n FROM tracks WHERE {_M} IS NOT NULL AND conf >= 0.15 GROUP BY 1, 2",

@@ -168,7 +168,24 @@ _KEPT = (
       ke AS (SELECT i, x, [x] AS p FROM pk WHERE i = 1 UNION ALL SELECT pk.i, pk.x, CASE WHEN pk.x - list_last(p) >= 55e-2 * 32e-1 THEN list_append(p, pk.x) ELSE p END FROM ke JOIN pk ON pk.i = ke.i + 1), en AS (SELECT p FROM ke ORDER BY i DESC LIMIT 1)
 """
 )
+#: Slow cells that reach each other by steps of one, with the least of them as their region.
+_REGIONS = (
+    "WITH RECURSIVE"
+    + GR[4:]
+    + """, cc AS (SELECT segment, interval, avg(speed_kmh) AS v, avg(density_veh_per_km) AS k, min(segment_start_m) AS seg_m, min(interval_start_s) AS t_s FROM cells GROUP BY 1, 2), sl AS (SELECT * FROM cc WHERE v < 40),
+      re AS (SELECT interval * 100000 + segment AS region, segment, interval FROM sl UNION SELECT region, b.segment, b.interval FROM re JOIN sl b ON abs(b.segment - re.segment) + abs(b.interval - re.interval) = 1),
+      own AS (SELECT sl.*, region FROM sl JOIN (SELECT segment, interval, min(region) AS region FROM re GROUP BY 1, 2) USING (segment, interval)),
+      w AS (SELECT region, count(*) AS cells, min(t_s) AS start_s, max(t_s) AS end_s, max(seg_m) - min(seg_m) AS extent_m, min(v) AS min_v, max(k) AS max_k FROM own GROUP BY 1 HAVING count(*) >= 2),
+      o AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY region ORDER BY t_s, v, seg_m) = 1),
+      ed AS (SELECT *, count(*) OVER (PARTITION BY region) AS m, first(t_s) OVER (PARTITION BY region ORDER BY e, t_s) AS turn FROM (SELECT region, t_s, min(seg_m) AS e FROM own GROUP BY 1, 2)),
+      sp AS (SELECT region, CASE WHEN count(*) >= 3 THEN regr_slope(e, t_s) END AS whole, CASE WHEN min(m) >= 3 AND count(*) FILTER (t_s <= turn) >= 3 THEN regr_slope(e, t_s) FILTER (t_s <= turn) END AS stopping,
+        CASE WHEN min(m) >= 3 AND count(*) FILTER (t_s >= turn) >= 3 THEN regr_slope(e, t_s) FILTER (t_s >= turn) END AS starting FROM ed GROUP BY 1)
+"""
+)
 ORACLES = {
+    "j1_congestion_regions": _REGIONS
+    + """SELECT 'all' AS place, cells, round(seg_m, 6) AS origin_distance_m, round(t_s, 6) AS origin_time_s, round(v, 6) AS origin_speed_kmh, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(extent_m, 6) AS extent_m, round(min_v, 6) AS min_speed_kmh,
+      round(max_k, 6) AS peak_density_veh_km, round(whole, 6) AS shockwave_mps, round(stopping, 6) AS stopping_wave_mps, round(starting, 6) AS starting_wave_mps, abs(t_s - (SELECT min(t_s) FROM cc)) < 1e-6 AS predates FROM w JOIN o USING (region) JOIN sp USING (region)""",
     "j11_lane_structure": _KEPT + "SELECT len(p)::INT AS n_lanes, round(p[1], 6) AS first_m, round(p[-1], 6) AS last_m FROM en",
     "j11_lane_verdict": _KEPT
     + """SELECT n_lanes, round(spacing, 6) AS spacing_m, round(mi, 6) AS modality_index, coalesce(spacing BETWEEN 2.4::DOUBLE AND 4.2::DOUBLE, false) AS lane_like_spacing, CASE WHEN coalesce(spacing BETWEEN 2.4::DOUBLE AND 4.2::DOUBLE, false) THEN CASE WHEN mi >= 2.2::DOUBLE THEN 'clear' ELSE 'weak' END WHEN mi >= 2.2::DOUBLE THEN 'single undifferentiated stream' ELSE 'absent' END AS lane_structure

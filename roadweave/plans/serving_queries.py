@@ -10,11 +10,13 @@ from roadweave.operators import aggregates as A
 from roadweave.operators import network as N
 from roadweave.operators import serving as V
 from roadweave.operators import tracks as T
-from roadweave.plans.adapters import FPS, LINE, MOVEMENTS, duck, ground, movements
+from roadweave.plans.adapters import FPS, LINE, MOVEMENTS, duck, ground, movements, projected_sql
 from roadweave.plans.aggregate_queries import GR, rounded
+from roadweave.plans.aggregate_queries import ORACLES as ONE
 from roadweave.plans.more_queries import _COS, _LAT, _LON, _SIN, GEO
 from roadweave.plans.track_queries import BASE, kin
 
+SOUTH = [(40.0, -8.0), (360.0, -8.0)]
 #: Gates at given places, one per region.
 GATES = [("AFRICA", 10.0, 5.0), ("AMERICA", 200.0, 80.0), ("ASIA", -60.0, 40.0), ("EUROPE", 90.0, -75.0)]
 
@@ -40,7 +42,7 @@ def k6_track_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def k16_peak_of_approaches(spark: SparkSession, d: str) -> DataFrame:
     """The longest queue over the approaches of two corridors."""
-    parts = [A.queue_lengths(ground(spark, d), line, FPS, stop_kmh=9.0).select(F.lit(name).alias("approach"), (F.col("frame") / FPS).alias("t_s"), "queue_vehicles", "queue_length_m") for name, line in (("main", LINE), ("south", [(40.0, -8.0), (360.0, -8.0)]))]
+    parts = [A.queue_lengths(ground(spark, d), line, FPS, stop_kmh=9.0).select(F.lit(name).alias("approach"), (F.col("frame") / FPS).alias("t_s"), "queue_vehicles", "queue_length_m") for name, line in (("main", LINE), ("south", SOUTH))]
     return rounded(V.peak_queues(parts[0].unionByName(parts[1])))
 
 
@@ -105,6 +107,8 @@ NODES = """, st0 AS (SELECT track_id, frame, world_x_m AS x, world_y_m AS y, coa
       nd AS (SELECT DISTINCT ON (track_id, node) track_id, node, x + greatest(0, least(1, (node * total / 23 - s) / (s2 - s))) * (x2 - x) AS px, y + greatest(0, least(1, (node * total / 23 - s) / (s2 - s))) * (y2 - y) AS py
         FROM st2, (SELECT unnest(range(24))::INT AS node) WHERE total > 0 AND s2 > s AND node >= ceil(s / (total / 23) - 1e-9) AND node <= CASE WHEN s2 >= total THEN 23 ELSE ceil(s2 / (total / 23) - 1e-9) - 1 END)"""
 ORACLES = {
+    "k16_peak_of_approaches": f"""SELECT approach, t_s, queue_vehicles, queue_length_m FROM (SELECT 'main' AS approach, * FROM ({ONE["i9_queue_lengths"]}) UNION ALL SELECT 'south', * FROM ({ONE["i9_queue_lengths"].replace(projected_sql("world_x_m", "world_y_m", LINE), projected_sql("world_x_m", "world_y_m", SOUTH))}))
+      ORDER BY queue_vehicles DESC, queue_length_m DESC, t_s, approach DESC LIMIT 1""",
     "k2_overlay_boxes": ST + f""" SELECT CAST(floor(frame / 5e0 / 10) AS INT) AS chunk, frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY display_id) - 1 AS INT) AS place, display_id, CASE mode WHEN 'pedestrian' THEN 0 WHEN 'motorcycle' THEN 1 WHEN 'car' THEN 2 WHEN 'LGV' THEN 3 WHEN 'truck' THEN 4 ELSE 2 END AS mode,
       {', '.join(f'round_even(st.{c}, 0)::INT AS {c}' for c in ('x1', 'y1', 'x2', 'y2'))}, round_even(speed_mps * 3.6::DOUBLE, 1) AS speed_kmh, CASE motion_state WHEN 'moving' THEN 0 WHEN 'temporarily_stopped' THEN 1 ELSE 3 END AS state, round_even(longitudinal_acceleration_mps2, 1) AS acceleration FROM st WHERE NOT parked""",
     "k6_track_paths": GR
