@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from roadweave.operators.scan import scanned
 #: The columns of the table of analysed tracks, in order.
 TRACK_COLUMNS = ("frame", "timestamp_s", "track_id", "display_id", "mode", "motion_state", "conf", "x1", "y1", "x2", "y2", "cx", "cy", "world_x_m", "world_y_m", "velocity_x_mps", "velocity_y_mps", "speed_mps", "speed_kmh", "acceleration_x_mps2", "acceleration_y_mps2", "acceleration_mps2", "longitudinal_acceleration_mps2", "lateral_acceleration_mps2", "heading_deg", "kinematics_valid", "kinematics_quality", "interpolated", "interpolated_fraction_in_window", "parked")
 
+#: The columns of the earlier table, in order.
+LEGACY_COLUMNS = ("frame", "track_id", "display_id", "mode", "cls_name", "conf", "x1", "y1", "x2", "y2", "cx", "cy", "speed_kmh", "length_m", "parked", "interpolated")
+
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet, or CSV with a header where the path ends in .csv; NaN in any double column becomes NULL."""
@@ -19,12 +25,15 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return df.withColumns({c: known(F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
 
 
-def write_tracks(df: DataFrame, path: str, csv: bool = False) -> None:
-    """The known columns that df has, with conf renamed; parquet sorted within tasks by frame, or CSV with four decimals and blank unknowns."""
-    out = df.select(*(c for c in TRACK_COLUMNS if c in df.columns)).withColumnRenamed("conf", "detection_confidence")
+def write_tracks(df: DataFrame, path: str, csv: bool = False, legacy: bool = False) -> None:
+    """The known columns that df has, with conf renamed; parquet sorted within tasks by frame, or CSV with four decimals and blank unknowns.
+
+    legacy: the sixteen columns of the earlier table, all of which df has to have, under their own names, with three decimals in CSV.
+    """
+    out = df.select(*LEGACY_COLUMNS) if legacy else df.select(*(c for c in TRACK_COLUMNS if c in df.columns)).withColumnRenamed("conf", "detection_confidence")
     order = [c for c in ("frame", "display_id") if c in out.columns]
     if csv:
-        out = out.select(*(F.format_string("%.4f", c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+        out = out.select(*(F.when(F.col(c).isNotNull(), F.format_string("%.3f" if legacy else "%.4f", c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
         out.orderBy(*order).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
     else:
         out.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
@@ -74,23 +83,38 @@ def feature(geometry: Column, properties: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"})
 
 
-def simplified(points: Column, least_m: float = 1.0) -> Column:
-    """Keeps of an array of structs with x and y each point at least that far from the last kept one, and the first."""
-    far = lambda a, p: F.hypot(p["x"] - F.try_element_at(a, F.lit(-1))["x"], p["y"] - F.try_element_at(a, F.lit(-1))["y"]) >= least_m
-    return F.aggregate(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1), lambda a, p: F.when(far(a, p), F.concat(a, F.array(p))).otherwise(a))
-
-
-def trajectories(df: DataFrame, geo: GeoReference, least_m: float = 1.0) -> DataFrame:
-    """track_id, points and a GeoJSON feature (JSON text) of every track's simplified path of two or more points."""
-    rows = df.where("world_x_m IS NOT NULL AND world_y_m IS NOT NULL").groupBy("track_id").agg(F.min_by("mode", "frame").alias("mode"), F.sort_array(F.collect_list(F.struct("frame", F.col("world_x_m").alias("x"), F.col("world_y_m").alias("y")))).alias("p"))
-    rows = rows.withColumn("p", simplified(F.col("p"), least_m)).where(F.size("p") >= 2)
-
-    def lonlat(p: Column) -> Column:
-        lat, lon = geo.to_wgs84(p["x"], p["y"])
-        return F.array(F.round(lon, 8), F.round(lat, 8))
-
-    line = F.struct(F.lit("LineString").alias("type"), F.transform("p", lonlat).alias("coordinates"))
-    return rows.select("track_id", F.size("p").alias("points"), feature(line, F.struct("track_id", "mode")).alias("feature"))
+def kept_points(df: DataFrame, least_m: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of each track's simplified path: its first known place, and each that is at least least_m from the last kept one.
+
+    One pass over rows in order, in Arrow batches; only the last kept place is held between them, so a track of any length takes linear time.
+    """
+    track, least = [*keys, "track_id"], least_m * least_m
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, px, py = None, 0.0, 0.0
+        for batch in batches:
+            keep = []
+            for *t, x, y in zip(*(batch.column(k).to_pylist() for k in (*track, "world_x_m", "world_y_m"))):
+                far = t != last or (x - px) ** 2 + (y - py) ** 2 >= least
+                if far:
+                    last, px, py = t, x, y
+                keep.append(far)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = df.where("world_x_m IS NOT NULL AND world_y_m IS NOT NULL").repartition(*track).sortWithinPartitions(*track, "frame")
+    return rows.mapInArrow(fold, rows.schema)
+
+
+def trajectories(df: DataFrame, geo: GeoReference, least_m: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, track_id, points and a GeoJSON feature (JSON text) of every track's simplified path of two or more points; with speeds, their median over these."""
+    has = "speed_kmh" in df.columns
+    rows = df.select(*keys, "track_id", "frame", "mode", "world_x_m", "world_y_m", *["speed_kmh"] * has)
+    lat, lon = geo.to_wgs84(F.col("world_x_m"), F.col("world_y_m"))
+    kept = kept_points(rows, least_m, keys).withColumn("_p", F.struct("frame", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat")))
+    speed = [F.round(F.median("speed_kmh"), 1).alias("median_speed_kmh")] if has else []
+    g = kept.groupBy(*keys, "track_id").agg(F.min_by("mode", "frame").alias("mode"), F.count(F.lit(1)).cast("int").alias("points"), F.sort_array(F.collect_list("_p")).alias("p"), *speed).where("points >= 2")
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
+    return g.select(*keys, "track_id", "points", feature(line, F.struct("track_id", "mode", *["median_speed_kmh"] * has, "points")).alias("feature"))
 
 
 def write_features(features: DataFrame, path: str) -> None:
