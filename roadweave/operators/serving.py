@@ -5,10 +5,13 @@ Every table keys its rows by recording where it is given such a column, and a gr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.expressions import GeoReference
+from roadweave.operators import aggregates as A
 from roadweave.params import MODES
 from roadweave.sources.tables import feature
 
@@ -72,10 +75,71 @@ def track_details(df: DataFrame, movements: DataFrame, every: int = 10) -> DataF
     return g.withColumn("path", path).drop("p").join(movements.select("track_id", "origin", "destination", "turn"), "track_id", "left")
 
 
+def od_heat(movements: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Real movements by origin and destination, and as a share of the recording's largest cell."""
+    g = A.counted(movements).groupBy(*by, "origin", "destination").agg(F.count(F.lit(1)).alias("count"))
+    return g.withColumn("heat", F.col("count") / F.max("count").over(Window.partitionBy(*by)))
+
+
+def top_movements(movements: DataFrame, top: int = 8) -> DataFrame:
+    """The `top` most frequent pairs and turns, ties by name."""
+    return A.od_summary(movements).orderBy(F.desc("count"), "origin", "destination", "turn").limit(top)
+
+
+def pce_shares(movements: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each mode's share of the vehicles and of their passenger-car equivalents, in percent."""
+    m = A.modal_split(movements, by)
+    return m.select(*by, "mode", "share_pct", (100.0 * F.col("pce_total") / F.sum("pce_total").over(Window.partitionBy(*by))).alias("pce_share_pct"))
+
+
+def approach_pivot(movements: DataFrame, fps: float, names: Sequence[str], interval_s: float = 60.0, by: Sequence[str] = ()) -> DataFrame:
+    """Entering vehicles of each whole interval by approach, whose names are given, and their total."""
+    p = A.approach_volumes(movements, fps, interval_s, by).where("NOT partial").groupBy(*by, "interval").pivot("approach", list(names)).agg(F.sum("entering")).fillna(0)
+    return p.withColumn("total", sum((F.col(f"`{n}`") for n in names), F.lit(0).cast("long")))
+
+
+def lane_pivot(movements: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Vehicles by entry lane, a column for each mode."""
+    return A.lane_volumes(movements, by).groupBy(*by, "origin", "lane_in").pivot("mode", list(MODES)).agg(F.sum("count")).fillna(0)
+
+
+def slowest_bin(profile: DataFrame) -> DataFrame:
+    """The slowest bin of a corridor's speed profile without its end bins, the first of equal ones."""
+    ends = profile.agg(F.min("bin").alias("low"), F.max("bin").alias("high"))  # one row
+    return profile.crossJoin(F.broadcast(ends)).where("bin > low AND bin < high").orderBy("mean_speed_kmh", "bin").limit(1).drop("low", "high")
+
+
+def overlay_filter(df: DataFrame, min_kmh: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Live vehicles by frame and mode of at least a speed; an unknown speed counts as 0."""
+    return df.where(F.coalesce("speed_kmh", F.lit(0.0)) >= min_kmh).groupBy(*keys, "frame", "mode").agg(F.count(F.lit(1)).alias("live"))
+
+
+def overlapping(df: DataFrame, start_s: float, end_s: float, fps: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Tracks, with their first and last frames, whose time on screen overlaps a window."""
+    g = df.groupBy(*keys, "track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
+    return g.where((F.col("f0") <= end_s * fps) & (F.col("f1") >= start_s * fps))
+
+
+def draw_order(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, frame, track_id, place: boxes of each frame from the largest to the smallest."""
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return df.select(*keys, "frame", "track_id", F.row_number().over(Window.partitionBy(*keys, "frame").orderBy(area.desc(), "track_id")).alias("place"))
+
+
+def waiting(df: DataFrame, slow_kmh: float = 6.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Of each frame the vehicles shown and those of them that are slow."""
+    return df.groupBy(*keys, "frame").agg(F.count_if((F.col("speed_kmh") < slow_kmh) & ~F.col("parked")).alias("waiting"), F.count_if(~F.col("parked")).alias("shown"))
+
+
+def cumulative_modes(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct tracks of each mode that have been seen up to each frame with a first sight."""
+    first = df.groupBy(*keys, "track_id").agg(F.min("frame").alias("frame"), F.min("mode").alias("mode"))
+    per = first.groupBy(*keys, "mode", "frame").agg(F.count(F.lit(1)).alias("new"))
+    return per.withColumn("seen", F.sum("new").over(Window.partitionBy(*keys, "mode").orderBy("frame")))
+
+
 def trails(df: DataFrame, length: int = 24) -> DataFrame:
     """frame, track_id, trail: of each moving row the places of the track's last `length` moving rows, itself the last."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("track_id").orderBy("frame").rowsBetween(-(length - 1), 0)
     moving = df.where("motion_state = 'moving' AND cx IS NOT NULL AND cy IS NOT NULL")
     return moving.select("frame", "track_id", F.collect_list(F.struct("cx", "cy")).over(w).alias("trail"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.expressions import line_length
 from roadweave.operators import aggregates as A
+from roadweave.operators import serving as V
 from roadweave.params import MODES, PCE
-from roadweave.plans.adapters import FPS, GROUND, LINE, MOVEMENTS, TRACKS, duck, ground, movements, projected_sql
+from roadweave.plans.adapters import FPS, GROUND, LINE, MOVEMENTS, TRACKS, duck, ground, movements, projected_sql, tracks
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
@@ -87,40 +88,27 @@ def i15_lane_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k10_od_heat(spark: SparkSession, d: str) -> DataFrame:
-    """Movements by origin and destination as a share of the largest cell."""
-    from pyspark.sql import Window
-
-    g = A.counted(movements(spark, d)).groupBy("origin", "destination").agg(F.count(F.lit(1)).alias("count"))
-    return rounded(g.withColumn("heat", F.col("count") / F.max("count").over(Window.partitionBy())))
+    return rounded(V.od_heat(movements(spark, d)))
 
 
 def k11_top_movements(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.od_summary(movements(spark, d)).orderBy(F.desc("count"), "origin", "destination", "turn").limit(8))
+    return rounded(V.top_movements(movements(spark, d)))
 
 
 def k12_pce_share(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    m = A.modal_split(movements(spark, d))
-    return rounded(m.select("mode", "share_pct", (100.0 * F.col("pce_total") / F.sum("pce_total").over(Window.partitionBy())).alias("pce_share_pct")))
+    return rounded(V.pce_shares(movements(spark, d)))
 
 
 def k13_approach_pivot(spark: SparkSession, d: str) -> DataFrame:
-    v = A.approach_volumes(movements(spark, d), FPS).where("NOT partial")
-    p = v.groupBy("interval").pivot("approach", REGIONS).agg(F.sum("entering")).fillna(0)
-    return p.select("interval", *(F.col(f"`{r}`").alias(r.lower().replace(" ", "_")) for r in REGIONS), sum((F.col(f"`{r}`") for r in REGIONS), F.lit(0).cast("long")).alias("total"))
+    return V.approach_pivot(movements(spark, d), FPS, REGIONS).withColumnsRenamed({r: r.lower().replace(" ", "_") for r in REGIONS})
 
 
 def k14_lane_pivot(spark: SparkSession, d: str) -> DataFrame:
-    v = A.lane_volumes(movements(spark, d))
-    return v.groupBy("origin", "lane_in").pivot("mode", list(MODES)).agg(F.sum("count")).fillna(0).withColumnsRenamed({m: m.lower() for m in MODES})
+    return V.lane_pivot(movements(spark, d)).withColumnsRenamed({m: m.lower() for m in MODES})
 
 
 def k15_slowest_bin(spark: SparkSession, d: str) -> DataFrame:
-    """The slowest bin of the profile without its end bins."""
-    p = A.speed_profile(ground(spark, d), LINE)
-    ends = p.agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
-    return rounded(p.crossJoin(F.broadcast(ends)).where("bin > low AND bin < high").orderBy("mean_speed_kmh", "bin").limit(1).select("bin", "mean_speed_kmh", "n_samples"))
+    return rounded(V.slowest_bin(A.speed_profile(ground(spark, d), LINE)).select("bin", "mean_speed_kmh", "n_samples"))
 
 
 def k16_peak_queue(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +117,7 @@ def k16_peak_queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k18_overlay_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Live vehicles by frame and mode of at least a speed; an unknown speed counts as 0."""
-    return ground(spark, d).where(F.coalesce("speed_kmh", F.lit(0.0)) >= 10).groupBy("frame", "mode").agg(F.count(F.lit(1)).alias("live"))
+    return V.overlay_filter(ground(spark, d), 10.0)
 
 
 def k2_overlay_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +132,7 @@ def k6_track_detail(spark: SparkSession, d: str) -> DataFrame:
 
 def k17_overlapping(spark: SparkSession, d: str) -> DataFrame:
     """Vehicles whose time on screen overlaps the window from 20 s to 30 s."""
-    g = ground(spark, d).groupBy("track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
-    return g.where((F.col("f0") <= 30 * FPS) & (F.col("f1") >= 20 * FPS))
+    return V.overlapping(ground(spark, d), 20, 30, FPS)
 
 
 def k19_trails(spark: SparkSession, d: str) -> DataFrame:
@@ -158,26 +144,15 @@ def k19_trails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r3_draw_order(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of each frame from the largest to the smallest."""
-    from pyspark.sql import Window
-
-    from roadweave.plans.adapters import tracks
-
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return tracks(spark, d).select("frame", "track_id", F.row_number().over(Window.partitionBy("frame").orderBy(area.desc(), "track_id")).alias("place"))
+    return V.draw_order(tracks(spark, d))
 
 
 def r5_waiting(spark: SparkSession, d: str) -> DataFrame:
-    return ground(spark, d).groupBy("frame").agg(F.count_if((F.col("speed_kmh") < 6) & ~F.col("parked")).alias("waiting"), F.count_if(~F.col("parked")).alias("shown"))
+    return V.waiting(ground(spark, d))
 
 
 def r2_cumulative_modes(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct vehicles of each mode that have been seen up to each frame with a first sight."""
-    from pyspark.sql import Window
-
-    first = ground(spark, d).groupBy("track_id").agg(F.min("frame").alias("frame"), F.min("mode").alias("mode"))
-    per = first.groupBy("mode", "frame").agg(F.count(F.lit(1)).alias("new"))
-    return per.withColumn("seen", F.sum("new").over(Window.partitionBy("mode").orderBy("frame")))
+    return V.cumulative_modes(ground(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (i1_movement_counts, i2_approach_volumes, i3_od_summary, i5_projection, i6_speed_profile, i7_lane_volumes, i8_modal_split, h8_od_matrix, i9_queue_lengths, i10_fundamental_diagram, i11_time_space, i12_edie_cells, i13_fd_validity, i14_smoothed_offsets, i14_held_lanes, i15_lane_changes, k2_overlay_chunks, k6_track_detail, k10_od_heat, k11_top_movements, k12_pce_share, k13_approach_pivot, k14_lane_pivot, k15_slowest_bin, k16_peak_queue, k17_overlapping, k18_overlay_filter, k19_trails, r2_cumulative_modes, r3_draw_order, r5_waiting)}
