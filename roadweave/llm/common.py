@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 PREFIX = "__rw_"
+FILE_ROWS = 1 << 17  # rows of a file of a table of which a bound of rows is known
 ROW_GROUP = 16 << 20  # bytes of a row group of intermediate tables, which every task that writes holds in memory
 
 
@@ -81,9 +82,11 @@ class Scratch:
         self.spark = spark
         self.places: dict[int, tuple[DataFrame, str, str | None]] = {}
 
-    def stored(self, df: DataFrame, label: str) -> DataFrame:
-        """df, written to the shared folder and read again."""
+    def stored(self, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+        """df, written to the shared folder and read again. rows: as many as it may have, where that is known, so that a small table is not many small files."""
         path = shared_path(self.spark, label)
+        if rows is not None:
+            df = df.coalesce(files_for(rows))
         with self._settings():
             df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         return self._kept(self.spark.read.schema(df.schema).parquet(path), path)
@@ -111,6 +114,10 @@ class Scratch:
         return df
 
 
+def files_for(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder or file by the file system that Spark has for its path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

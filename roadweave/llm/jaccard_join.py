@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import Scratch, grouped, lookup_join, partitions, slices, table
+from roadweave.llm.common import Scratch, files_for, grouped, lookup_join, partitions, slices, table
 from roadweave.llm.components import components
 from roadweave.llm.shingles import mixed, shingle_sets
 from roadweave.llm.signature_tree import SignatureTree
@@ -115,16 +115,16 @@ def common(held: np.ndarray, v: bytes, n: int) -> int:
 
 
 def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, jaccard: float, folds: bool = False) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity; with folds, whose folded sets may reach it.
+    """Of stored pairs (a, b) those whose shingle sets reach the similarity; with folds, those whose folded sets may reach it.
 
     sets is bucketed by doc_id. A set b travels once for each of its pairs, to the part of a's family that it is dealt to; a's
     own set once for each part of FAMILY members, so a family of any size is dealt out. Each part is one pass over its
     rows that holds a's set alone.
     """
-    pairs = scratch.stored(pairs, "pairs")
+    n = pairs.count()
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    dealt = lookup_join(pairs, sizes, ["a"], "m", pairs.count(), ["b"])
-    dealt = scratch.stored(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / FAMILY)).cast("int").alias("part")), "dealt")
+    dealt = lookup_join(pairs, sizes, ["a"], "m", n, ["b"])
+    dealt = scratch.stored(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / FAMILY)).cast("int").alias("part")), "dealt", n)
     sets = sets.select("doc_id", "n", F.col("folded" if folds else "shingles").alias("v"))
     own = dealt.select("a", "part").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "n", "v")
     others = dealt.join(sets, F.col("b") == F.col("doc_id")).select("a", "part", "b", "n", "v")
@@ -155,8 +155,8 @@ def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, jaccard: float
 
     rows = own.unionByName(others).repartition(partitions(scratch.spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     # A few files of pairs instead of one per task.
-    out = scratch.stored(rows.mapInArrow(run, "a long, b long").hint("rebalance"), "links")
-    scratch.drop(pairs, dealt)
+    out = scratch.stored(rows.mapInArrow(run, "a long, b long").repartition(files_for(n)), "links")
+    scratch.drop(dealt)
     return out
 
 
@@ -173,17 +173,18 @@ def _bits(whole: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(whole.column("bits").to_pylist()), np.uint64).reshape(whole.num_rows, -1)
 
 
-def near_hubs(scratch: Scratch, met: DataFrame, leaves: DataFrame, jaccard: float) -> DataFrame:
+def near_hubs(scratch: Scratch, met: DataFrame, leaves: DataFrame, jaccard: float, total: int) -> DataFrame:
     """Of each document, the pair with the hub that it shares most keys with, if their trees leave it. A key's hub is its smallest id.
 
     A hub's followers form trees of up to about CHUNK documents; each is traversed with the hub as the other tree's only leaf.
     """
     shares = met.where("doc_id <> first").groupBy("doc_id", "first", "level").agg(F.count(F.lit(1)).alias("c"), F.max("of").alias("of")).where("c * 8 >= of")
     best = shares.groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("first")).alias("f"), "level")).alias("best"))
-    best = scratch.stored(best.select("doc_id", (-F.col("best.f")).alias("hub"), "best.level"), "best")
+    best = scratch.stored(best.select("doc_id", (-F.col("best.f")).alias("hub"), "best.level"), "best", total)
+    n = best.count()
     sizes = best.groupBy("hub", "level").agg(F.count(F.lit(1)).alias("m"))
-    dealt = lookup_join(best, sizes, ["hub", "level"], "m", best.count(), ["doc_id"])
-    dealt = scratch.stored(dealt.select("doc_id", "hub", "level", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / CHUNK)).cast("int").alias("part")), "dealt")
+    dealt = lookup_join(best, sizes, ["hub", "level"], "m", n, ["doc_id"])
+    dealt = scratch.stored(dealt.select("doc_id", "hub", "level", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / CHUNK)).cast("int").alias("part")), "dealt", n)
     leaves = leaves.select("doc_id", F.col("level").alias("at"), "nf", "bits")
     others = dealt.join(leaves, "doc_id").where("level = at").select(F.xxhash64("hub", "level", "part").alias("group"), "hub", "level", "doc_id", "nf", "bits")
     hubs = dealt.select("hub", "level", "part").distinct().join(leaves.withColumnRenamed("doc_id", "hub"), "hub").where("level = at")
@@ -203,7 +204,7 @@ def near_hubs(scratch: Scratch, met: DataFrame, leaves: DataFrame, jaccard: floa
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"]) if found else None
 
     rows = grouped(others.unionByName(hubs), ["group"], search, "a long, b long")
-    out = scratch.stored(rows.distinct(), "hubs")
+    out = scratch.stored(rows.distinct(), "hubs", n)
     scratch.drop(best, dealt)
     return out
 
@@ -224,9 +225,12 @@ def open_keys(scratch: Scratch, met: DataFrame, known: DataFrame, leaves: DataFr
     return out.join(leaves.select("doc_id", F.col("level").alias("at"), "nf", "bits", *columns), "doc_id").where("level = at").drop("at"), out
 
 
-def nearest_of_keys(scratch: Scratch, met: DataFrame, known: DataFrame, leaves: DataFrame, jaccard: float) -> DataFrame:
-    """Of each document under an open key, the pair with that document of another component whose bitmap is most like its own, of those that the keys' trees leave. As many pairs as documents at most."""
+def nearest_of_keys(scratch: Scratch, met: DataFrame, known: DataFrame, leaves: DataFrame, jaccard: float, total: int) -> DataFrame | None:
+    """Of each document under an open key, the pair with that document of another component whose bitmap is most like its own, of those that the keys' trees leave. As many pairs as documents at most. None if no key is open."""
     rows, open_ = open_keys(scratch, met, known, leaves, [])
+    if not open_.take(1):
+        scratch.drop(open_)
+        return None
 
     def search(whole: pa.Table) -> pa.RecordBatch | None:
         bits, ids, level, comp, nf = _bits(whole), *(whole.column(c).to_numpy() for c in ("doc_id", "level", "comp", "nf"))
@@ -246,7 +250,7 @@ def nearest_of_keys(scratch: Scratch, met: DataFrame, known: DataFrame, leaves:
 
     near = grouped(rows, ["group"], search, "doc_id long, other long, like double", order=["doc_id"])
     best = near.groupBy("doc_id").agg(F.max(F.struct("like", "other"))["other"].alias("other"))
-    out = scratch.stored(best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "nearest")
+    out = scratch.stored(best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "nearest", total)
     scratch.drop(open_)
     return out
 
@@ -285,16 +289,20 @@ def rest_of_keys(scratch: Scratch, met: DataFrame, known: DataFrame, leaves: Dat
     return out
 
 
-def merged(scratch: Scratch, known: DataFrame, links: DataFrame) -> DataFrame:
-    """node, component of known joined by more links; known and links go."""
+def merged(scratch: Scratch, known: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """node, component of known, for `total` nodes at most, joined by more links; known and links go."""
+    n = links.count()
+    if not n:
+        scratch.drop(links)
+        return known
     of = known.select(F.col("node").alias("id"), "component")
     more = links.join(of.withColumnRenamed("component", "ca"), F.col("a") == F.col("id"), "left").drop("id").join(of.withColumnRenamed("component", "cb"), F.col("b") == F.col("id"), "left")
-    joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch=scratch)
+    joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch=scratch, rows=n)
     sizes = known.groupBy(F.col("component").alias("mid")).agg(F.count(F.lit(1)).alias("m"))
     step = joined.select(F.col("node").alias("mid"), F.col("component").alias("to")).join(sizes, "mid")
     moved = lookup_join(known.withColumnRenamed("component", "mid"), step, ["mid"], "m", known.count(), ["node"])
     fresh = joined.join(known.select("node"), "node", "left_anti").select("node", "component")
-    out = scratch.stored(moved.select("node", F.coalesce("to", "mid").alias("component")).unionByName(fresh), "known")
+    out = scratch.stored(moved.select("node", F.coalesce("to", "mid").alias("component")).unionByName(fresh), "known", total)
     scratch.drop(known, links, joined)
     return out
 
@@ -325,7 +333,7 @@ def similar_groups(docs: DataFrame, jaccard: float = 0.75, size: int = 5, doc_id
     marks = scratch.stored(sketches(docs, jaccard, size), "sketches")
     own = scratch.stored(marks.where("own").select("doc_id", "n", "h1", "h2"), "own")
     total = own.count()
-    sets = scratch.stored(own.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    sets = scratch.stored(own.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets", total)
     reps = marks.join(sets.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     leaves = scratch.bucketed(reps.select("doc_id", "level", "nf", "bits", "keys").repartition(count, "doc_id"), "leaves", "doc_id")
     scratch.drop(marks)
@@ -347,22 +355,25 @@ def similar_groups(docs: DataFrame, jaccard: float = 0.75, size: int = 5, doc_id
     wanted = docs.join(met.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").repartition(count, "doc_id")
     found = scratch.bucketed(wanted.mapInArrow(shingled, "doc_id long, n long, folded binary, shingles binary"), "shingles", "doc_id")
 
-    pairs = near_hubs(scratch, met, leaves, jaccard)
+    pairs = near_hubs(scratch, met, leaves, jaccard, total)
     links = verified(scratch, pairs, found, jaccard)
-    known = components(links, scratch=scratch)
+    known = components(links, scratch=scratch, rows=links.count())
     scratch.drop(pairs, links)
     for _ in range(NEAREST):
-        near = nearest_of_keys(scratch, met, known, leaves, jaccard)
-        known = merged(scratch, known, verified(scratch, near, found, jaccard))
+        near = nearest_of_keys(scratch, met, known, leaves, jaccard, total)
+        if near is None:
+            break
+        known = merged(scratch, known, verified(scratch, near, found, jaccard), total)
         scratch.drop(near)
-    rest = rest_of_keys(scratch, met, known, leaves, jaccard)
-    scratch.drop(met, leaves)
-    likely = verified(scratch, rest, found, jaccard, folds=True)
-    known = merged(scratch, known, verified(scratch, likely, found, jaccard))
-    scratch.drop(rest, likely, found)
+    else:
+        rest = rest_of_keys(scratch, met, known, leaves, jaccard)
+        likely = verified(scratch, rest, found, jaccard, folds=True)
+        known = merged(scratch, known, verified(scratch, likely, found, jaccard), total)
+        scratch.drop(rest, likely)
+    scratch.drop(met, leaves, found)
 
     named = sets.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    result = scratch.stored(named.select("h1", "h2", "n", "copies", F.coalesce("component", "rep").alias("component_id")), "named")
+    result = scratch.stored(named.select("h1", "h2", "n", "copies", F.coalesce("component", "rep").alias("component_id")), "named", total)
     scratch.drop(known, sets)
     out = lookup_join(own, result, ["h1", "h2", "n"], "copies", total, ["doc_id"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
