@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import shared_path, stored, table
+from roadweave.llm.common import Scratch, shared_path, stored, table
 from roadweave.llm.exact_dedup import DigestIndex
 from roadweave.llm.jaccard_join import similar_groups
 from roadweave.llm.mixing import Mixture
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        docs = scratch.stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
