@@ -209,6 +209,19 @@ class GeoReference:
     def uncertainty_m(self, range_m: Column) -> Column:
         return range_m * math.radians(self.yaw_spread_deg)
 
+    def described(self) -> dict[str, float | int]:
+        """Rounded for people: where the frame lies, how it is turned, and how sure that is."""
+        return {
+            "origin_lat": round(self.lat0, 8),
+            "origin_lon": round(self.lon0, 8),
+            "plus_y_compass_bearing_deg": round(self.yaw_deg, 2),
+            "camera_altitude_m": round(self.alt_m, 2),
+            "gimbal_yaw_spread_deg": round(self.yaw_spread_deg, 3),
+            "position_drift_m": round(self.drift_m, 3),
+            "position_uncertainty_at_100m_m": round(100 * math.radians(self.yaw_spread_deg), 2),
+            "telemetry_samples": self.samples,
+        }
+
 
 Line = list[tuple[float, float]]
 

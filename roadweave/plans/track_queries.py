@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions import expressions as X
+from roadweave.operators import legacy as L
 from roadweave.operators import tracks as T
 from roadweave.params import MotionParams
 from roadweave.plans.adapters import CAMERA, FPS, TRACKS, duck, tracks
@@ -163,10 +164,43 @@ def n_motion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("parked").agg(F.count(F.lit(1)).alias("n_tracks"), F.round(F.median("life_s"), 6).alias("median_life_s"), F.round(F.median("p95_speed_mps"), 6).alias("median_p95_speed_mps"), F.round(F.avg("path_m"), 6).alias("mean_path_m"))
 
 
-QUERIES = {f.__name__: f for f in (d1_kept_tracks, d2_filled, d3_segments, d4_smoothed, e2_ground_plane, f1_velocity, f2_slope_velocity, f11_row_speed, f4_acceleration, f4_over_holes, f7_validity, f9_path_length, f10_window_displacement, f18_track_summary, f20_motion_state, f23_stats_by_mode, f24_report, n_motion_summary)}
+def f25_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier post-processing of all tracks: class by vote and size, parked verdict, display id and what they rest on."""
+    _, t, _ = L.processed(tracks(spark, sf_dir), FPS)
+    return _r(t, "mode", "median_length_m", "moving_frac", "net_m", "path_m", "win_m", "parked", "display_id", keys=("track_id",))
+
+
+def f25_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, t, _ = L.processed(tracks(spark, sf_dir), FPS)
+    return _r(L.report(tracks(spark, sf_dir), rows, t), "value", keys=("metric",))
+
+
+QUERIES = {f.__name__: f for f in (d1_kept_tracks, d2_filled, d3_segments, d4_smoothed, e2_ground_plane, f1_velocity, f2_slope_velocity, f11_row_speed, f4_acceleration, f4_over_holes, f7_validity, f9_path_length, f10_window_displacement, f18_track_summary, f20_motion_state, f23_stats_by_mode, f24_report, f25_legacy, f25_report, n_motion_summary)}
 
 _MODE = "CASE cls_name WHEN 'car' THEN 'car' WHEN 'van' THEN 'LGV' WHEN 'truck' THEN 'truck' WHEN 'motor' THEN 'motorcycle' WHEN 'pedestrian' THEN 'pedestrian' END"
+LEGACY = BASE + f""", sam AS (SELECT (y1 + y2) / 2 AS y, greatest(x2 - x1, y2 - y1) AS px FROM smooth WHERE NOT interpolated AND (cls_name = 'car' OR (SELECT count(*) FROM smooth WHERE NOT interpolated AND cls_name = 'car') < 200)),
+  ext AS (SELECT min(y) AS lo, max(y) AS hi, count(*) AS n, median(px) AS med FROM sam WHERE px > 4),
+  bins AS (SELECT lo + (b + 5e-1) * (hi - lo) / 12 AS y, c, m FROM (SELECT least(floor((y - lo) / ((hi - lo) / 12)), 11) AS b, count(*) AS c, median(px) AS m, any_value(lo) AS lo, any_value(hi) AS hi FROM sam, ext WHERE px > 4 GROUP BY 1) WHERE c >= 25),
+  li AS (SELECT *, (sm - slope * sy) / sw AS base FROM (SELECT *, (sw * sym - sy * sm) / (sw * syy - sy * sy) AS slope FROM (SELECT count(*) AS k, sum(c) AS sw, sum(c * y) AS sy, sum(c * m) AS sm, sum(c * y * y) AS syy, sum(c * y * m) AS sym FROM bins))),
+  sc AS (SELECT CASE WHEN fine THEN slope ELSE 0 END AS slope, CASE WHEN fine THEN base WHEN n > 0 THEN med ELSE 44 END AS base FROM (SELECT *, coalesce(n >= 200 AND k >= 3 AND least(slope * lo + base, slope * hi + base) > 5, false) AS fine FROM li, ext)),
+  lr AS (SELECT smooth.*, 4.3::DOUBLE / least(greatest(slope * cy + base, 8), 400) AS mpp, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS i FROM smooth, sc),
+  lv AS (SELECT *, sqrt((lead(cx, 2) OVER w - lag(cx, 2) OVER w) ** 2 + (lead(cy, 2) OVER w - lag(cy, 2) OVER w) ** 2) / (lead(frame, 2) OVER w - lag(frame, 2) OVER w) * mpp * 5 AS v FROM lr WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
+  lh AS (SELECT *, coalesce(v, last(v IGNORE NULLS) OVER b, first(v IGNORE NULLS) OVER f, 0) AS h FROM lv WINDOW f AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  ls AS (SELECT *, avg(h) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS s FROM lh),
+  lw AS (SELECT track_id, coalesce(sum(step), 0) AS path_m, coalesce(max(CASE WHEN n > 25 THEN far WHEN r = n AND n > 1 THEN whole END), 0) AS win_m FROM (
+    SELECT track_id, count(*) OVER (PARTITION BY track_id) AS n, row_number() OVER w AS r, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2) * lag(mpp) OVER w AS step, sqrt((cx - lag(cx, 25) OVER w) ** 2 + (cy - lag(cy, 25) OVER w) ** 2) * lag(mpp, 25) OVER w AS far,
+      sqrt((cx - first(cx) OVER w) ** 2 + (cy - first(cy) OVER w) ** 2) * first(mpp) OVER w AS whole FROM ls WHERE i % 2 = 0 WINDOW w AS (PARTITION BY track_id ORDER BY frame)) GROUP BY 1),
+  la AS (SELECT track_id, min(frame) AS f0, max(frame) AS f1, avg((s > 0.7::DOUBLE)::INT) AS moving_frac, sqrt((arg_max(cx, frame) - arg_min(cx, frame)) ** 2 + (arg_max(cy, frame) - arg_min(cy, frame)) ** 2) * median(mpp) AS net_m, median(greatest(x2 - x1, y2 - y1) * mpp) AS len FROM ls GROUP BY 1),
+  lc AS (SELECT track_id, m AS coarse FROM (SELECT track_id, {_MODE} AS m, sum(conf) AS v, min(frame) AS f FROM smooth WHERE NOT interpolated AND {_MODE} IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY v DESC, f) = 1),
+  lt AS (SELECT *, (f1 - f0 + 1) / 5e0 >= 3 AND moving_frac < 0.05::DOUBLE AND net_m < 2.5::DOUBLE AND win_m < 3 AS parked, (f1 - f0 + 1) / 5e0 AS life_s, CASE coalesce(coarse, 'car') WHEN 'car' THEN CASE WHEN len > 6.2::DOUBLE THEN 'LGV' ELSE 'car' END WHEN 'LGV' THEN CASE WHEN len > 9.5::DOUBLE THEN 'HGV' WHEN len > 7.5::DOUBLE THEN 'truck' ELSE 'LGV' END
+    WHEN 'truck' THEN CASE WHEN len > 9.5::DOUBLE THEN 'HGV' ELSE 'truck' END ELSE coarse END AS mode FROM la JOIN lw USING (track_id) LEFT JOIN lc USING (track_id))
+"""
 ORACLES = {
+    "f25_legacy": LEGACY + f"SELECT track_id, mode, round(len, 6) AS median_length_m, {_rs('moving_frac', 'net_m', 'path_m', 'win_m')}, parked, CASE WHEN NOT parked THEN row_number() OVER (PARTITION BY parked ORDER BY f0, track_id) END AS display_id FROM lt",
+    "f25_report": LEGACY
+    + """SELECT metric, round(value, 6) AS value FROM (SELECT 'tracks_total' AS metric, count(*)::DOUBLE AS value FROM lt UNION ALL SELECT 'tracks_moving', count(*) FILTER (NOT parked)::DOUBLE FROM lt UNION ALL SELECT 'tracks_parked', count(*) FILTER (parked)::DOUBLE FROM lt UNION ALL SELECT 'median_track_seconds', median(life_s) FROM lt
+      UNION ALL SELECT 'p90_track_seconds', quantile_cont(life_s, 0.9) FROM lt UNION ALL SELECT 'rows', count(*)::DOUBLE FROM ls UNION ALL SELECT 'rows_interpolated', count(*) FILTER (interpolated)::DOUBLE FROM ls UNION ALL SELECT 'frames', (max(frame) + 1)::DOUBLE FROM ls
+      UNION ALL SELECT 'tracks_dropped_short', ((SELECT count(DISTINCT track_id) FROM tracks) - (SELECT count(*) FROM lt))::DOUBLE UNION ALL SELECT 'moving_' || m, (SELECT count(*) FROM lt WHERE mode = m AND NOT parked)::DOUBLE FROM (SELECT unnest(['pedestrian', 'motorcycle', 'car', 'LGV', 'truck', 'HGV', 'bus']) AS m))""",
     "d1_kept_tracks": BASE + "SELECT track_id, count(*) AS n_rows, max(frame) AS last_frame FROM kept GROUP BY 1",
     "d2_filled": BASE + f"SELECT track_id, frame, {_rs(*_BOX, 'conf')}, interpolated, cls_name FROM filled",
     "d3_segments": BASE + "SELECT track_id, segment, count(*) AS n_rows, min(frame) AS f0, max(frame) AS f1 FROM seg GROUP BY 1, 2",
