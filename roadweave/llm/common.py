@@ -223,13 +223,12 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBa
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
 
 
-def make_folder(uri: str) -> str:
-    """Makes a folder, so that a table without rows is an empty folder of files and not a missing one."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-    system.create_dir(path, recursive=True)
-    return uri
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Makes a folder, so that a table without rows is an empty folder of files and not a missing one; returns its path with the file system that Spark has for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    return system.makeQualified(at).toString()
 
 
 def write_file(uri: str, parts: Iterable[bytes]) -> int:

@@ -33,7 +33,7 @@ class DigestIndex:
 
     def append(self, groups: DataFrame) -> None:
         """Adds the digests that the index lacks; run again after a failure, it adds only what is still missing."""
-        fresh = groups.join(self.entries().select("digest"), "digest", "left_anti")
+        fresh = groups.join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").select("digest", "keep_id").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 

@@ -9,6 +9,7 @@ may hold fewer), each in the minimum bits for the vocabulary, least significant
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from roadweave.llm.common import make_folder, shared_path, slices, stored, table, text_of, write_file
 
@@ -122,8 +124,26 @@ _SMALL = re.compile("[a-zß-öø-ÿ]+")
 _SIGNS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
+#: The rules of a file under which runs between white space can be encoded apart, in lower case and without the signs at their ends.
+NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_runs(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer has just these rules, and only special tokens that are named in <| and |>."""
+    rules = json.loads(tokenizer.to_str())
+    added = all(t["content"].startswith("<|") for t in rules["added_tokens"])
+    return added and rules["normalizer"] == NORMALISED and rules["pre_tokenizer"] == SPLIT and not rules["truncation"] and not rules["padding"]
+
+
 class Encoder:
-    """Encodes with a tokenizers file, each distinct run between ASCII white space once.
+    """Encodes with a tokenizers file, each distinct run between ASCII white space once; with whole texts, where the file has other rules than these.
 
     The file's normaliser and pre-tokeniser treat such runs separately (none of their rules reaches over
     white space), so joining the runs' ids gives the ids of the whole text. They also fold case, and cut
@@ -132,10 +152,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, most: int = 150_000) -> None:
-        from tokenizers import Tokenizer
-
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model = self.tokenizer.model
+        self.model, self.runs = self.tokenizer.model, by_runs(self.tokenizer)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # Runs of the two generations, by their rows in the arrays: where a row's ids start in the pool, and how many they are.
         self.new: dict[str, int] = {}
@@ -144,6 +162,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.runs:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         column = pa.array(texts, pa.string())
         named = pc.fill_null(pc.match_substring(column, "<|"), False)
         column = pc.if_else(named, column, pc.ascii_lower(column)) if pc.any(named).as_py() else pc.ascii_lower(column)
@@ -270,7 +290,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         columns = list(zip(*done)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _FILES.split(", ")])
 
-    make_folder(path)
+    path = make_folder(docs.sparkSession, path)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, _FILES)
 

@@ -68,7 +68,7 @@ def marked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compress: bool = True, most: int = 64 << 20) -> DataFrame:
     """Writes (page_id, url, payload, refers_to) rows; returns file, records, bytes. Each task writes files of about `most` bytes.
 
-    Every record is a gzip member of its own, so a reader can start at any of them.
+    Every record is a gzip member of its own, so a reader can start at any of them. A task writes its records in order of page.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +95,10 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
         if files:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files]), pa.array([f[1] for f in files], pa.int64()), pa.array([f[2] for f in files], pa.int64())], names=["file", "records", "bytes"])
 
-    make_folder(path)
-    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "file string, records long, bytes long")
+    path = make_folder(records.sparkSession, path)
+    # In one order, so that a retried task writes the same files again, and none of the first try is left.
+    rows = records.select("page_id", "url", "payload", "refers_to").sortWithinPartitions("page_id", "url", F.xxhash64("payload"), "refers_to")
+    return rows.mapInArrow(write, "file string, records long, bytes long")
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:

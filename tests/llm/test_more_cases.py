@@ -393,3 +393,32 @@ def test_field_against_enumeration():
                 table[at] += sign
                 assert objective(field.weights, field.moves) <= base + 1e-6, at
                 table[at] -= sign
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    from roadweave.llm.token_files import Encoder
+
+    texts = ["Hello  World, it's\tFINE.", None, "", "á Ünï 12 <|endoftext|> x"]
+    known = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    other.normalizer = normalizers.NFC()  # no folding of case
+    other.save(str(tmp_path / "t.json"))
+    own = Encoder(str(tmp_path / "t.json"))
+    assert known.runs and not own.runs and not Encoder(public_tokenizers.path("byte_bpe_50k.json")).runs
+    for encoder, tokenizer in ((known, Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))), (own, other)):
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
+
+
+def test_digest_index_is_joined_by_merging(spark, tmp_path):
+    from roadweave.llm.exact_dedup import DigestIndex
+
+    index = DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    index.deduplicate(docs).count()
+    fresh = docs.selectExpr("unhex(sha2(cast(text as binary), 256)) AS digest").join(index.entries().select("digest").hint("merge"), "digest", "left_anti")
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and fresh.count() == 0
