@@ -62,7 +62,8 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 def e5_calibration(spark: SparkSession, d: str) -> DataFrame:
     g, r = C.fit_ground_plane(_samples(spark, d), 70.472, -63.1, 1920, 1080), C.fit_row_scale(_samples(spark, d), 1920, 1080)
-    return spark.createDataFrame([("ground_plane", g.f_px if g else None, g.confidence if g else None), ("row_scale", r.base, r.confidence)], "method string, value double, confidence double")
+    found = spark.createDataFrame([("ground_plane", g.f_px if g else None, g.confidence if g else None), ("row_scale", r.base, r.confidence)], "method string, value double, confidence double")
+    return rounded(found).withColumn("value", F.round("value", 3))  # the search ends where the misfit is flat in doubles
 
 
 def f14_votes(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +166,31 @@ _CLASSED = BASE + f""", vo AS (SELECT track_id, arg_min(m, r) AS am, max(p) FILT
       al AS (SELECT *, l IS NOT NULL AND coalesce(am IN ('car', 'LGV', 'truck', 'bus'), false) AS measured FROM (SELECT DISTINCT track_id FROM smooth) LEFT JOIN vo USING (track_id) LEFT JOIN le USING (track_id))
       SELECT track_id, coalesce(am, 'car') AS appearance_mode, {_ladder_sql()}, round(CASE WHEN measured THEN l END, 6) AS estimated_length_m, CASE WHEN measured THEN n END AS length_measurement_count, round(CASE WHEN measured THEN unc END, 6) AS length_uncertainty_m,
       round(coalesce(vote_margin, 0), 6) AS vote_margin, round(vote_entropy, 6) AS vote_entropy FROM al"""
+def _bins_sql(bins: int) -> str:
+    """The row, median size and count of each range of rows with 25 samples or more."""
+    return f"""(SELECT lo + (b + 5e-1) * (hi - lo) / {bins} AS y, m, c FROM (SELECT least(floor((y - lo) / ((hi - lo) / {bins})), {bins - 1}) AS b, count(*) AS c, median(px) AS m, any_value(lo) AS lo, any_value(hi) AS hi FROM sam, ext GROUP BY 1) WHERE c >= 25)"""
+
+
+def _misfit(at: str) -> str:
+    """How far the sizes that a focal length predicts are from the medians, by logarithms."""
+    depth = f"((r.y - 540) * {_C!r}::DOUBLE + exp({at}) * {_S!r}::DOUBLE)"
+    size = f"4.3::DOUBLE / sqrt(70.472::DOUBLE / {depth} * 70.472::DOUBLE * exp({at}) / ({depth} * {depth}))"
+    return f"list_sum(list_transform(rows, lambda r: sqrt(r.c) * (ln({size}) - ln(r.m)) ** 2))"
+
+
+_GOLD = "0.6180339887::DOUBLE"
+_FIT = f"""WITH RECURSIVE tracks AS ({duck(TRACKS)}), sam AS (SELECT (y1 + y2) / 2 AS y, greatest(x2 - x1, y2 - y1) AS px FROM tracks WHERE cls_name = 'car' AND greatest(x2 - x1, y2 - y1) > 4), ext AS (SELECT min(y) AS lo, max(y) AS hi, count(*) AS n, median(px) AS med FROM sam),
+      b14 AS (SELECT list({{'y': y, 'm': m, 'c': c}} ORDER BY y) AS rows, count(*) AS k FROM {_bins_sql(14)}),
+      go AS (SELECT 0 AS i, ln(200e0) AS low, ln(12000e0) AS high UNION ALL SELECT i + 1, CASE WHEN left_ THEN low ELSE a END, CASE WHEN left_ THEN b ELSE high END
+        FROM (SELECT *, {_misfit('a')} < {_misfit('b')} AS left_ FROM (SELECT *, high - (high - low) * {_GOLD} AS a, low + (high - low) * {_GOLD} AS b FROM go WHERE i < 80), b14)),
+      f AS (SELECT exp((low + high) / 2) AS f FROM go WHERE i = 80), er AS (SELECT median(abs(4.3::DOUBLE / sqrt(70.472::DOUBLE / d * 70.472::DOUBLE * f / (d * d)) - m) / m) AS e, count(*) AS k FROM (SELECT *, (y - 540) * {_C!r}::DOUBLE + f * {_S!r}::DOUBLE AS d FROM {_bins_sql(14)}, f)),
+      b12 AS (SELECT *, sw * syy - sy * sy AS det FROM (SELECT count(*) AS k, sum(c) AS sw, sum(c * y) AS sy, sum(c * m) AS sm, sum(c * y * y) AS syy, sum(c * y * m) AS sym FROM {_bins_sql(12)})),
+      l0 AS (SELECT *, (sw * sym - sy * sm) / det AS slope, (sm - (sw * sym - sy * sm) / det * sy) / sw AS base FROM b12), l1 AS (SELECT k, CASE WHEN ok THEN slope ELSE 0 END AS slope, CASE WHEN ok THEN base ELSE (SELECT med FROM ext) END AS base FROM (SELECT *, (SELECT min(slope * y + base) FROM {_bins_sql(12)}) > 5 AS ok FROM l0)),
+      l2 AS (SELECT any_value(base) AS base, median(abs(slope * y + base - m) / m) AS e FROM l1, {_bins_sql(12)})
+SELECT 'ground_plane' AS method, round(CASE WHEN n >= 100 AND k >= 4 THEN f END, 3) AS value, round(CASE WHEN n >= 100 AND k >= 4 THEN least(greatest(1 - e / 0.25::DOUBLE, 0), 1) * least(greatest(k / 10e0, 0.3::DOUBLE), 1) END, 6) AS confidence FROM f, er, ext
+UNION ALL SELECT 'row_scale', round(CASE WHEN n < 100 THEN 44 WHEN k < 3 THEN med ELSE l2.base END, 3), round(CASE WHEN n < 100 THEN 0.15::DOUBLE WHEN k < 3 THEN 0.2::DOUBLE ELSE least(greatest(0.6::DOUBLE - e, 0.1::DOUBLE), 0.6::DOUBLE) END, 6) FROM l1, l2, ext"""
 ORACLES = {
+    "e5_calibration": _FIT,
     "b5_suppressed": _KEPT + "SELECT frame, track_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("x1", "y1", "x2", "y2", "conf")) + " FROM b JOIN f USING (frame, i) WHERE ok",
     "f15_classified": _CLASSED,
     "b3_owned": _DET + " SELECT event_id, " + ", ".join(f"round(least(greatest({c}, 0), {n}), 6) AS {c}" for c, n in (("x1", 1920), ("y1", 1080), ("x2", 1920), ("y2", 1080))) + " FROM tracks WHERE (x1 + x2) / 2 < 1920 AND (y1 + y2) / 2 < 1080 AND (x1 + x2) / 2 >= 0 AND (y1 + y2) / 2 >= 0",
