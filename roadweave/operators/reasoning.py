@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,23 +239,44 @@ def congestion_regions(cells: DataFrame, place: str | None = None, congested_kmh
     )
 
 
+def lagged_products(sec: DataFrame, low_s: int, high_s: int, block_s: int = 16_384) -> DataFrame:
+    """stream, lag, p: of counts c by second (stream, s, c) the sums of products c(s) c(s + lag), for lags in [low_s, high_s).
+
+    A stream is dealt out by blocks of seconds. A block also gets the first high_s seconds of the next one, so each task multiplies
+    its own counts with all that follow them, and only a sum per block and lag leaves it.
+    """
+    block = F.floor(F.col("s") / block_s).cast("int")
+    copies = F.when(F.col("s") - block * block_s < high_s, F.array(block, block - 1)).otherwise(F.array(block))
+    dealt = sec.select("stream", "s", "c", F.explode(copies).alias("block"))
+
+    def multiplied(g: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros(block_s + high_s, np.int64)
+        c[g["s"].to_numpy() - int(g["block"].iloc[0]) * block_s] = g["c"].to_numpy()
+        sums = [int(c[:block_s] @ c[lag : lag + block_s]) for lag in range(low_s, high_s)]
+        return pd.DataFrame({"stream": g["stream"].iloc[0], "lag": range(low_s, high_s), "p": sums})
+
+    sums = dealt.groupBy("stream", "block").applyInPandas(multiplied, f"stream {dict(sec.dtypes)['stream']}, lag int, p long")
+    return sums.where("p > 0").groupBy("stream", "lag").agg(F.sum("p").alias("p"))
+
+
 def periodicity(crossings: DataFrame, low_s: int = 25, high_s: int = 180, least: int = 20, span_s: float = 75.0) -> DataFrame:
     """Per stream the lag in [low_s, high_s) with the largest autocorrelation of counts by second, and how it stands out.
 
     Only seconds with crossings are paired: with counts c and mean m over n seconds, the sum of (c - m)(c' - m) at a lag is the
     sum of c c' less the mean's share of the sums over the leading and trailing seconds, so the work follows the crossings.
     """
-    b = crossings.groupBy("stream").agg(F.min("t_s").alias("t0"), F.max("t_s").alias("t1"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.col("t1") - F.col("t0") >= span_s))
+    b = crossings.groupBy("stream").agg(F.min("t_s").alias("t0"), F.max("t_s").alias("t1"), F.count(F.lit(1)).alias("n"), F.count("t_s").alias("k")).where((F.col("n") >= least) & (F.col("t1") - F.col("t0") >= span_s))
     sec = crossings.join(b.select("stream", "t0"), "stream").groupBy("stream", F.floor(F.col("t_s") - F.col("t0")).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    size = b.select("stream", (F.floor(F.col("t1") - F.col("t0")) + 1).cast("int").alias("len"), "n")
+    size = b.select("stream", (F.floor(F.col("t1") - F.col("t0")) + 1).cast("int").alias("len"), "n", "k")
     total = sec.join(size, "stream").withColumn("m", F.col("n") / F.col("len"))
     var = total.groupBy("stream", "len", "m").agg((F.sum(F.col("c") * F.col("c")) - F.first("n") * F.first("m")).alias("var"))
     lags = var.withColumn("lag", F.explode(F.sequence(F.lit(low_s), F.least(F.lit(high_s - 1), F.col("len") - 1))))
-    other = sec.select("stream", (F.col("s") - F.lit(0)).alias("s2"), F.col("c").alias("c2"))
-    pairs = sec.withColumn("lag", F.explode(F.sequence(F.lit(low_s), F.lit(high_s - 1)))).withColumn("s2", F.col("s") + F.col("lag")).join(other, ["stream", "s2"])
-    prod = pairs.groupBy("stream", "lag").agg(F.sum(F.col("c") * F.col("c2")).alias("p"))
-    edges = sec.join(size, "stream").withColumn("lag", F.explode(F.sequence(F.lit(low_s), F.least(F.lit(high_s - 1), F.col("len") - 1))))
-    ends = edges.groupBy("stream", "lag").agg(F.sum(F.when(F.col("s") < F.col("len") - F.col("lag"), F.col("c")).otherwise(0)).alias("lead"), F.sum(F.when(F.col("s") >= F.col("lag"), F.col("c")).otherwise(0)).alias("trail"))
+    prod = lagged_products(sec, low_s, high_s)
+    # All but the last, or the first, `lag` seconds: the whole sum less what the few seconds at that end hold.
+    near = sec.join(size, "stream").where((F.col("s") < high_s) | (F.col("s") >= F.col("len") - high_s))
+    edges = near.withColumn("lag", F.explode(F.sequence(F.lit(low_s), F.least(F.lit(high_s - 1), F.col("len") - 1))))
+    left = lambda out: F.first("k") - F.sum(F.when(out, F.col("c")).otherwise(0))
+    ends = edges.groupBy("stream", "lag").agg(left(F.col("s") >= F.col("len") - F.col("lag")).alias("lead"), left(F.col("s") < F.col("lag")).alias("trail"))
     ac = lags.join(prod, ["stream", "lag"], "left").join(ends, ["stream", "lag"], "left")
     value = F.coalesce("p", F.lit(0)) - F.col("m") * (F.coalesce("lead", F.lit(0)) + F.coalesce("trail", F.lit(0))) + F.col("m") * F.col("m") * (F.col("len") - F.col("lag"))
     ac = ac.withColumn("ac", F.try_divide(value, F.col("var")))
