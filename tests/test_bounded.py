@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from roadweave.operators import reasoning as R
+from roadweave.operators import tracker as T
 from roadweave.plans import adapters as A
 
 
@@ -24,3 +25,21 @@ def test_lagged_products_over_blocks(spark):
     assert got == {lag: int(c[:-lag] @ c[lag:]) for lag in range(5, 40)}
     plan = R.periodicity(spark.range(2000).select(F.lit("a").alias("stream"), F.col("id").alias("vehicle"), F.lit("car").alias("mode"), (F.col("id") * 0.7).alias("t_s")))._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" in plan
+
+
+def test_videos_have_tasks_of_their_own(spark):
+    """Small videos are not merged into one task, and pairing asks for a track's mode once, not once a box."""
+    rows = spark.range(12).selectExpr("concat('v', id % 3) AS video_id", "cast(id / 3 AS int) AS frame", "10D AS x1", "10D AS y1", "50D AS x2", "40D AS y2", "0.9D AS conf", "'car' AS mode")
+    assert T.tracked(rows).select(F.spark_partition_id()).distinct().count() > 1
+
+    class Asked(T.Track):
+        n = 0
+
+        @property
+        def mode(self):
+            Asked.n += 1
+            return "car"
+
+    box = np.array([10.0, 10.0, 50.0, 40.0])
+    cost = T.Tracker().fused([Asked.begin(box + k, None) for k in range(5)], np.array([box] * 7), [None] * 7, ["car"] * 6 + ["bus"])
+    assert Asked.n == 5 and np.allclose(cost[:, 6] - cost[:, 5], 0.1)
