@@ -40,15 +40,15 @@ def endpoints(df: DataFrame, min_travel_m: float = 25.0, frame: tuple[int, int]
 def average_linkage(points: np.ndarray, weights: np.ndarray, cut: float) -> np.ndarray:
     """Labels of weighted points: the two clusters of least mean distance merge while it is at most cut. Labels order by first member.
 
-    Clusters only merge if some of their points lie within cut, so each connected neighbourhood is worked on its own, by
-    chains of nearest neighbours: the square of its points in time and memory.
+    Clusters only merge if some of their points lie within cut, so each connected neighbourhood is worked on its own: by chains of
+    nearest neighbours where a matrix of its points is small, and else by `merged_near` first. Memory is bounded by the points; time is their square.
     """
     n = len(points)
     if n == 0:
         return np.zeros(0, int)
     label = np.arange(n)
     for part in neighbourhoods(points, cut):
-        for i, j, height in chained(points[part], weights[part].astype(float)):
+        for i, j, height in merges(points[part], weights[part].astype(float), cut):
             if height <= cut:
                 a, b = sorted((label[part[i]], label[part[j]]))
                 label[part[label[part] == b]] = a
@@ -83,21 +83,108 @@ def neighbourhoods(points: np.ndarray, reach: float) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
 
 
+def merges(points: np.ndarray, weights: np.ndarray, cut: float, matrix: int = 4096) -> list[tuple[int, int, float]]:
+    """All merges up to a mean distance of cut, and maybe further ones. Clusters are merged by rounds until a matrix of them has at most `matrix` rows."""
+    if len(points) <= matrix:
+        return chained(points, weights)
+    out, clusters = merged_near(points, weights, cut, matrix)
+    if len(clusters) < 2:
+        return out
+    size = np.array([weights[c].sum() for c in clusters])
+    d = mean_distances(points, weights, clusters) / (size[:, None] * size[None])
+    return out + [(int(clusters[i][0]), int(clusters[j][0]), h) for i, j, h in chain(d, size)]
+
+
+def mean_distances(points: np.ndarray, weights: np.ndarray, clusters: list[np.ndarray]) -> np.ndarray:
+    """The weighted sums of distances between the points of every two clusters, computed for a few rows at a time."""
+    order, starts = np.concatenate(clusters), np.cumsum([0, *(len(c) for c in clusters[:-1])])
+    p, w, of = points[order], weights[order], np.repeat(np.arange(len(clusters)), [len(c) for c in clusters])
+    out = np.zeros((len(clusters), len(clusters)))
+    step = max(1, 4_000_000 // len(p))
+    for at in range(0, len(p), step):
+        d = np.hypot(p[at : at + step, :1] - p[None, :, 0], p[at : at + step, 1:] - p[None, :, 1]) * w
+        np.add.at(out, of[at : at + step], np.add.reduceat(d, starts, axis=1) * w[at : at + step, None])
+    return out
+
+
+def merged_near(points: np.ndarray, weights: np.ndarray, cut: float, most: int) -> tuple[list[tuple[int, int, float]], list[np.ndarray]]:
+    """(merges, clusters): rounds in which clusters that are each other's nearest, by mean distance, merge, until at most `most` may merge further.
+
+    In average linkage such pairs merge sooner or later, whatever else does. The mean distance of two clusters lies between that of their centres, c, and the root of
+    c * c and both variances, so only few pairs are measured. Clusters whose nearest is beyond cut are done.
+    """
+    out: list[tuple[int, int, float]] = []
+    clusters = [np.array([k]) for k in range(len(points))]
+    size, centre, spread = weights.copy(), points.astype(float), np.zeros(len(points))
+
+    def mean(a: int, b: int) -> float:
+        p, q, total = clusters[a], clusters[b], 0.0
+        step = max(1, 4_000_000 // len(q))
+        for at in range(0, len(p), step):
+            r = p[at : at + step]
+            total += float(weights[r] @ np.hypot(points[r, :1] - points[None, q, 0], points[r, 1:] - points[None, q, 1]) @ weights[q])
+        return total / (size[a] * size[b])
+
+    while len(clusters) > most:
+        step = max(1, 1_000_000 // len(clusters))
+        found: list[tuple[float, int, int] | None] = []
+        known: dict[tuple[int, int], float] = {}
+        for at in range(0, len(clusters), step):
+            c2 = (centre[at : at + step, :1] - centre[None, :, 0]) ** 2 + (centre[at : at + step, 1:] - centre[None, :, 1]) ** 2
+            rows = np.arange(len(c2))
+            c2[rows, at + rows] = np.inf
+            top = np.minimum((c2 + spread[at : at + step, None] + spread).min(1), cut * cut)
+            ii, jj = np.nonzero(c2 <= top[:, None] * (1 + 1e-9))
+            order = np.lexsort((c2[ii, jj], ii))
+            best: list[tuple[float, int, int] | None] = [None] * len(c2)
+            for i, j, low in zip(ii[order].tolist(), jj[order].tolist(), np.sqrt(c2[ii[order], jj[order]]).tolist()):
+                if best[i] is not None and low > best[i][0] * (1 + 1e-9):
+                    continue
+                pair = (min(at + i, j), max(at + i, j))
+                d = known.get(pair)
+                if d is None:
+                    d = known[pair] = low if len(clusters[pair[0]]) == len(clusters[pair[1]]) == 1 else mean(*pair)
+                if d <= cut and (best[i] is None or (d, *pair) < best[i]):
+                    best[i] = (d, *pair)
+            found += best
+        pairs = [f for k, f in enumerate(found) if f is not None and f[1] == k and found[f[2]] == f]
+        if not pairs:
+            break
+        gone = set()
+        for d, a, b in pairs:
+            out.append((int(clusters[a][0]), int(clusters[b][0]), d))
+            both = size[a] + size[b]
+            apart = ((centre[a] - centre[b]) ** 2).sum()
+            spread[a] = (size[a] * spread[a] + size[b] * spread[b]) / both + size[a] * size[b] / (both * both) * apart
+            centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / both
+            size[a], clusters[a] = both, np.concatenate([clusters[a], clusters[b]])
+            gone.add(b)
+        # What is beyond cut of all others stays so: a merged cluster is no nearer than its parts were.
+        live = [k for k in range(len(clusters)) if k not in gone and found[k] is not None]
+        clusters, size, centre, spread = [clusters[k] for k in live], size[live], centre[live], spread[live]
+    return out, clusters
+
+
 def chained(points: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float]]:
     """All merges (i, j, mean distance) of average linkage, i and j being members of the clusters: a chain follows nearest neighbours until two are each other's."""
-    n = len(points)
     d = np.hypot(points[:, None, 0] - points[None, :, 0], points[:, None, 1] - points[None, :, 1])
+    return chain(d, size)
+
+
+def chain(d: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float]]:
+    """The same from a matrix of mean distances, which is overwritten."""
+    n = len(d)
     np.fill_diagonal(d, np.inf)
-    size, chain, out, live = size.copy(), [], [], np.ones(n, bool)
+    size, path, out, live = size.copy(), [], [], np.ones(n, bool)
     while len(out) < n - 1:
-        if not chain:
-            chain = [int(np.flatnonzero(live)[0])]
-        i = chain[-1]
+        if not path:
+            path = [int(np.flatnonzero(live)[0])]
+        i = path[-1]
         j = int(d[i].argmin())
         # A tie with the one before it in the chain ends the chain.
-        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
-            j = chain[-2]
-            del chain[-2:]
+        if len(path) > 1 and d[i, path[-2]] <= d[i, j]:
+            j = path[-2]
+            del path[-2:]
             a, b = min(i, j), max(i, j)
             out.append((a, b, float(d[a, b])))
             new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
@@ -108,7 +195,7 @@ def chained(points: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float]
             size[a] += size[b]
             live[b] = False
         else:
-            chain.append(j)
+            path.append(j)
     return out
 
 

@@ -1,8 +1,11 @@
 """Steps whose tasks must stay small however large the tables are."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from roadweave.operators import network as N
 from roadweave.operators import reasoning as R
 from roadweave.operators import tracker as T
 from roadweave.plans import adapters as A
@@ -43,3 +46,26 @@ def test_videos_have_tasks_of_their_own(spark):
     box = np.array([10.0, 10.0, 50.0, 40.0])
     cost = T.Tracker().fused([Asked.begin(box + k, None) for k in range(5)], np.array([box] * 7), [None] * 7, ["car"] * 6 + ["bus"])
     assert Asked.n == 5 and np.allclose(cost[:, 6] - cost[:, 5], 0.1)
+
+
+def test_clusters_by_rounds_are_those_of_a_matrix():
+    r = np.random.default_rng(3)
+    for n, cut in ((40, 5.0), (150, 15.0), (250, 40.0)):
+        p, w = r.random((n, 2)) * [300, 40], r.integers(1, 9, n).astype(float)
+        tight = {k: [h for *_, h in N.merges(p, w, cut, matrix=m) if h <= cut] for k, m in (("rounds", 6), ("matrix", 1000))}
+        assert np.allclose(sorted(tight["rounds"]), sorted(tight["matrix"]))
+        whole = N.average_linkage(p, w, cut)
+        few, N.merges = N.merges, lambda p, w, c: few(p, w, c, matrix=6)
+        try:
+            assert np.array_equal(N.average_linkage(p, w, cut), whole)
+        finally:
+            N.merges = few
+
+
+def test_clustering_needs_no_matrix_of_all_points():
+    p = np.random.default_rng(4).random((7000, 2)) * [2000, 40]
+    tracemalloc.start()
+    labels = N.average_linkage(p, np.ones(len(p)), 20.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 7000 and peak < 8 * 7000 * 7000
