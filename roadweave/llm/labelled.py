@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents for fitting classifiers."""
+"""The labelled documents that classifiers learn from."""
 
 from __future__ import annotations
 
@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 from roadweave.llm.common import held_out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, text, lang, label of at most `most` training documents of each class, and the rows of each class.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, text, lang, label of all training documents, whole: those with a label whose crc32(doc_id) mod 5 is not 0.
 
-    Training documents are those whose crc32(doc_id) mod 5 is not 0. Those with the least hashes of
-    their ids are taken, so reruns agree. Only their ids (2 * most rows, a fixed bound) are broadcast.
-    Rows with a null label or id are left out; a class without rows gets none.
+    Rows with a null label or id are left out; of an id's labels the least counts. The join always
+    shuffles the texts, so that its disk grows as the input does, also where labels of small inputs could be broadcast.
     """
-    rows = labels.where(~held_out() & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    counts = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
-    parts = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
-    ids = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__rw_id"), F.col("label").alias("__rw_label"))
-    chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__rw_id"))
+    known = labels.where(~held_out() & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__rw_id")).agg(F.min(label).cast("int").alias("__rw_label"))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    return chosen.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"), F.col("__rw_label").alias("label")), counts
+    texts = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    return texts.join(known.hint("merge"), F.col("doc_id") == F.col("__rw_id")).select("doc_id", "text", "lang", F.col("__rw_label").alias("label"))
