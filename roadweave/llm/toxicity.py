@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
-from functools import lru_cache, reduce
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,28 +21,106 @@ VISITS = 16_384  # texts to learn from in all rounds together, below which there
 PART = 4096  # training texts that one task learns from in a round, while there are at most PARTS such parts
 PARTS = 256
 BLOCK = 512  # rows of the embedding table that are averaged together
+TOGETHER = 16_384  # words that are scored together
+PIECE = 1 << 18  # bytes of texts whose words are hashed together
+NO_WORD = -1  # the key of an empty word
 GRID = 4096  # steps of scores between which thresholds are sought
 BUCKETS = 1 << 14  # rows of the embedding table
 DIM = 12
 WIDTHS = (1, 2, 3)  # words that a filter spans
 FILTERS = 10  # of each width
 _STRIP = b".,;:?!'\"()[]{}|*#%&$-_"
-
-
-@lru_cache(1 << 16)
-def prefix_row(mark: bytes, start: bytes) -> int:
-    return xxhash.xxh32_intdigest(mark + start) % BUCKETS
+_SPACE, _TRIMMED = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", _STRIP))
+_FIRST = np.tri(15, 14, -1, np.uint8)  # ones at the first k of 14 places
+_END = object()
 
 
 def word_rows(word: bytes) -> list[int]:
     """Rows of the embedding table for a word: itself, and its first three, four and five bytes as marked prefixes."""
-    return [xxhash.xxh32_intdigest(b"w" + word) % BUCKETS, prefix_row(b"p3", word[:3]), prefix_row(b"p4", word[:4]), prefix_row(b"p5", word[:5])]
+    return [xxhash.xxh32_intdigest(x) % BUCKETS for x in (b"w" + word, b"p3" + word[:3], b"p4" + word[:4], b"p5" + word[:5])]
 
 
 def words_of(text: str | None) -> list[bytes]:
+    """The words of a text: lower-cased, between white space, without marks at their ends."""
     return [w.strip(_STRIP) for w in (text or "").lower().encode("utf-8", "replace").split()]
 
 
+def short_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """xxh32 of each row's first bytes, fewer than 16; the rows are padded with zeros to 4, 8 or 16 bytes."""
+    turned = lambda h, k: (h << np.uint32(k)) | (h >> np.uint32(32 - k))
+    p1, p2, p3, p4, p5 = map(np.uint32, (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    h = p5 + lengths.astype(np.uint32)
+    for k, lane in enumerate(np.ascontiguousarray(data).view("<u4").T):
+        h = np.where(lengths >= 4 * k + 4, turned(h + lane * p3, 17) * p4, h)
+    last = lengths // 4 * 4
+    for k in range(3):
+        more = np.flatnonzero(lengths - last > k)
+        h[more] = turned(h[more] + data[more, last[more] + k].astype(np.uint32) * p5, 11) * p1
+    h = (h ^ (h >> np.uint32(15))) * p2
+    h = (h ^ (h >> np.uint32(13))) * p3
+    return h ^ (h >> np.uint32(16))
+
+
+def word_keys(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the keys of its words, which words_of gives. A key is a word's four rows of the embedding table in one number, which is all that a network sees of it, or NO_WORD.
+
+    The texts are worked together, in pieces of about PIECE bytes that end at white space; words of over 14 bytes are hashed one by one.
+    """
+    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    joined = b"\n".join(raw)
+    data, keys, places, at = np.frombuffer(joined, np.uint8), [], [], 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            ahead = _SPACE[data[end : end + 4096]]
+            end += int(ahead.argmax()) if ahead.any() else len(ahead)
+        b = data[at:end]
+        edge = np.diff(_SPACE[b].astype(np.int8), prepend=1, append=1)
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        inner = ~(_SPACE | _TRIMMED)[b]
+        kept, before = np.flatnonzero(inner), np.append(0, np.cumsum(inner))
+        i, j = before[starts], before[ends]
+        found = np.flatnonzero(j > i)
+        first = kept[i[found]]
+        n = kept[j[found] - 1] + 1 - first
+        own = np.lib.stride_tricks.sliding_window_view(np.append(b, np.zeros(14, np.uint8)), 14)[first] * _FIRST[np.minimum(n, 14)]
+        key = np.zeros(len(found), np.int64)
+        for mark, most in ((b"w", 14), (b"p3", 3), (b"p4", 4), (b"p5", 5)):
+            rows = np.zeros((len(found), 16 if most > 5 else 8), np.uint8)
+            rows[:, : len(mark)] = np.frombuffer(mark, np.uint8)
+            rows[:, len(mark) : len(mark) + most] = own[:, :most]
+            key = key * BUCKETS + (short_hashes(rows, np.minimum(n, most) + len(mark)) % np.uint32(BUCKETS)).astype(np.int64)
+        for k in np.flatnonzero(n > 14).tolist():
+            key[k] = key[k] % BUCKETS**3 + word_rows(joined[at + first[k] : at + first[k] + n[k]])[0] * BUCKETS**3
+        out = np.full(len(starts), NO_WORD)
+        out[found] = key
+        keys.append(out)
+        places.append(starts + at)
+        at = end
+    every, where = (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.split(every, np.searchsorted(where, np.cumsum([len(r) + 1 for r in raw])[:-1]))[: len(raw)]
+
+
+def rows_of(keys: np.ndarray) -> np.ndarray:
+    """The four rows of each key."""
+    rows = (keys[:, None] // BUCKETS ** np.arange(3, -1, -1)) % BUCKETS
+    rows[keys == NO_WORD] = word_rows(b"")
+    return rows
+
+
+def window_sums(products: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Filters by places: the value of each filter over the words of ids that begin at a place. Each look-up reads one short row, that of a filter's position."""
+    columns = np.ascontiguousarray(products.T)
+    out, at = np.empty((len(WIDTHS) * FILTERS, len(ids)), np.float32), 0
+    for k, width in enumerate(WIDTHS):
+        total = out[k * FILTERS : (k + 1) * FILTERS]
+        total[:] = columns[at * FILTERS : (at + 1) * FILTERS].take(ids, axis=1)
+        for j in range(1, width):
+            total[:, :-j] += columns[(at + j) * FILTERS : (at + j + 1) * FILTERS].take(ids[j:], axis=1)
+        at += width
+    return out
+
+
 @dataclass
 class TextNetwork:
     """Filters of several widths over word vectors, rectified and max-pooled over the whole text, then one logistic unit.
@@ -80,51 +159,17 @@ class TextNetwork:
 
     def pooled(self, products: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the pooled filter values and the word at which each had its maximum; ids hold two empty words after each text."""
-        ends = np.cumsum(lengths + 2)
-        starts = ends - lengths - 2
-        values, places = np.empty((len(lengths), len(WIDTHS) * FILTERS), np.float32), np.empty((len(lengths), len(WIDTHS) * FILTERS), np.int64)
-        at = 0
-        for k, width in enumerate(WIDTHS):
-            total = products[ids, at * FILTERS : (at + 1) * FILTERS]
-            for j in range(1, width):
-                total[:-j] += products[ids[j:], (at + j) * FILTERS : (at + j + 1) * FILTERS]
-            at += width
-            part = slice(k * FILTERS, (k + 1) * FILTERS)
-            for d in range(len(lengths)):
-                places[d, part] = starts[d] + total[starts[d] : ends[d]].argmax(0)
-            values[:, part] = total[places[:, part], np.arange(FILTERS)]
-        return values, places
-
-    def scorer(self, most: int = 200_000) -> _Scorer:
+        totals = window_sums(products, ids)
+        places, start = np.empty((len(lengths), len(totals)), np.int64), 0
+        for d, end in enumerate(np.cumsum(lengths + 2).tolist()):
+            places[d] = totals[:, start:end].argmax(1) + start
+            start = end
+        return totals[np.arange(len(totals)), places], places
+
+    def scorer(self, most: int = TOGETHER) -> _Scorer:
         return _Scorer(self, most)
 
 
-class Words:
-    """Numbers words as they come, and keeps their rows of the embedding table; number 0 is the empty word."""
-
-    def __init__(self, most: int = 200_000) -> None:
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[bytes, int] = {b"": 0}
-        self.rows = np.zeros((1024, 4), np.int64)
-        self.rows[0] = word_rows(b"")
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        """The words' numbers and two empty words."""
-        fresh = list(dict.fromkeys(w for w in words if w not in self.ids))
-        base, need = len(self.ids), len(self.ids) + len(fresh)
-        if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), 4), np.int64)])
-        if fresh:
-            self.rows[base:need] = [word_rows(w) for w in fresh]
-            self.ids.update(zip(fresh, range(base, need)))
-        out = np.zeros(len(words) + 2, np.int64)
-        out[:-2] = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        return out
-
-
 class Learner:
     """Adam on the logistic loss, over texts as they come; a filter's gradient goes to the words at its maximum alone. No text is cut.
 
@@ -139,14 +184,14 @@ class Learner:
         self.steps = self.texts = self.held = 0
         self.pending: list[tuple[np.ndarray, int]] = []
 
-    def add(self, ids: np.ndarray, label: int, words: Words) -> None:
-        self.pending.append((ids, label))
-        self.held += len(ids)
+    def add(self, keys: np.ndarray, label: int) -> None:
+        self.pending.append((np.append(keys, [NO_WORD, NO_WORD]), label))
+        self.held += len(keys) + 2
         if len(self.pending) >= self.batch or self.held >= self.most:
-            self.step(words)
+            self.step()
 
-    def step(self, words: Words) -> None:
-        """Learns from the texts that wait; the numbers of their words are no longer needed then."""
+    def step(self) -> None:
+        """Learns from the texts that wait."""
         if not self.pending:
             return
         self.steps += 1
@@ -155,7 +200,7 @@ class Learner:
         lengths = np.array([len(t) - 2 for t, _ in self.pending])
         used, local = np.unique(np.concatenate([t for t, _ in self.pending]), return_inverse=True)
         self.pending, self.held = [], 0
-        rows, empty = words.rows[used], used == 0
+        rows, empty = rows_of(used), used == NO_WORD
         vectors = self.net.table[rows].sum(1)
         vectors[empty] = 0
         products = vectors @ self.net.filters
@@ -170,23 +215,27 @@ class Learner:
             part = slice(k * FILTERS, (k + 1) * FILTERS)
             for j in range(width):
                 word = local[np.minimum(places[:, part] + j, len(local) - 1)]
-                np.add.at(gp, (word, (start + j) * FILTERS + np.arange(FILTERS)), gh[:, part])
+                np.add.at(gp.reshape(-1), (word * gp.shape[1] + (start + j) * FILTERS + np.arange(FILTERS)).reshape(-1), gh[:, part].reshape(-1))
             start += width
         gv = gp @ self.net.filters.T
         gv[empty] = 0
         hit = np.flatnonzero(gp.any(1))  # the words at some maximum
         touched, where = np.unique(rows[hit], return_inverse=True)
         ge = np.zeros((len(touched), DIM), np.float32)
-        np.add.at(ge, where.reshape(-1), np.repeat(gv[hit], rows.shape[1], axis=0))
+        # By single numbers, since NumPy adds whole rows at places many times slower.
+        np.add.at(ge.reshape(-1), (where.reshape(-1, 1) * DIM + np.arange(DIM)).reshape(-1), np.repeat(gv[hit], rows.shape[1], axis=0).reshape(-1))
         grads = [ge, vectors.T @ gp + 1e-5 * self.net.filters, gh.sum(0), h.T @ g + 1e-4 * self.net.out]
         self.net.offset -= self.rate * float(g.sum())
         self.seen[touched] += 1
         for k, (v, gr, (m, s)) in enumerate(zip(self.params, grads, self.moment)):
             sel = touched if k == 0 else slice(None)
             n = self.seen[touched][:, None] if k == 0 else self.steps
-            m[sel] += 0.1 * (gr - m[sel])
-            s[sel] += 0.01 * (gr * gr - s[sel])
-            v[sel] -= self.rate * (m[sel] / (1 - 0.9**n)) / (np.sqrt(s[sel] / (1 - 0.99**n)) + 1e-7)
+            mean, square = m[sel], s[sel]
+            mean += 0.1 * (gr - mean)
+            square += 0.01 * (gr * gr - square)
+            v[sel] -= self.rate * (mean / (1 - 0.9**n)) / (np.sqrt(square / (1 - 0.99**n)) + 1e-7)
+            if k == 0:
+                m[sel], s[sel] = mean, square
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """The parameters by block, with the weight of each row in an average: the steps that changed it, or the texts for what all of them change."""
@@ -197,50 +246,56 @@ class Learner:
 
 
 class _Scorer:
-    """Scores texts; keeps the filter products of up to `most` distinct words."""
+    """Scores texts, about `most` words at a time."""
 
     def __init__(self, net: TextNetwork, most: int) -> None:
         self.net, self.most = net, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[bytes, int] = {b"": 0}
-        self.products = np.zeros((1024, self.net.filters.shape[1]), np.float32)
 
-    def add(self, fresh: list[bytes]) -> None:
-        base = len(self.ids)
-        need = base + len(fresh)
-        if need > len(self.products):
-            self.products = np.concatenate([self.products, np.zeros((max(need, 2 * len(self.products)) - len(self.products), self.products.shape[1]), np.float32)])
-        rows = np.array([word_rows(w) for w in fresh], np.int64)
-        self.products[base:need] = self.net.table[rows].sum(1) @ self.net.filters
-        self.ids.update(zip(fresh, range(base, need)))
+    def maxima(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Of each part (its words' keys, and NO_WORD twice) the maximum of each filter over all places."""
+        used, local = np.unique(np.concatenate(parts), return_inverse=True)
+        vectors = self.net.table[rows_of(used)].sum(1)
+        vectors[used == NO_WORD] = 0
+        ends = np.cumsum([len(p) for p in parts])
+        totals = window_sums(vectors @ self.net.filters, local)
+        totals[:, ends - 1] = totals[:, ends - 2] = 0  # what begins at an empty word does not reach into the next part
+        return np.maximum.reduceat(totals, np.append(0, ends[:-1]), axis=1).T
+
+    def parts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """The words of each text's parts with the text's number; parts of long texts overlap by the widest filter. Texts of about PIECE characters are taken together."""
+        held: list[str | None] = []
+        size = done = 0
+        for t in chain(texts, (_END,)):
+            if t is not _END:
+                held.append(t)
+                size += len(t or "")
+            if size >= PIECE or t is _END:
+                for d, keys in enumerate(word_keys(held) if held else (), done):
+                    for at in range(0, max(1, len(keys)), self.most):
+                        yield d, np.append(keys[at : at + self.most + max(WIDTHS) - 1], [NO_WORD, NO_WORD])
+                done, held, size = done + len(held), [], 0
 
     def raw(self, texts: Iterable[str | None]) -> np.ndarray:
-        """The logistic unit's input for each whole text, long ones in parts that overlap by the widest filter; one text is held as words at a time."""
+        """The logistic unit's input for each whole text."""
         rows: list[np.ndarray] = []
-        step, lap = 50_000, max(WIDTHS) - 1
-        for words in map(words_of, texts):
-            best = None
-            for at in range(0, max(1, len(words)), step):
-                part = words[at : at + step + lap]
-                fresh = list(set(part).difference(self.ids))
-                if len(self.ids) + len(fresh) > self.most:
-                    self.clear()
-                    fresh = list(set(part).difference(self.ids))
-                if fresh:
-                    self.add(fresh)
-                ids = np.fromiter(map(self.ids.__getitem__, part), np.int64, len(part))
-                ids = np.append(ids, [0, 0])
-                value, first = np.empty(len(self.net.out), np.float32), 0
-                for w, width in enumerate(WIDTHS):
-                    total = self.products[ids, first * FILTERS : (first + 1) * FILTERS]
-                    for j in range(1, width):
-                        total[:-j] += self.products[ids[j:], (first + j) * FILTERS : (first + j + 1) * FILTERS]
-                    value[w * FILTERS : (w + 1) * FILTERS] = total.max(0)
-                    first += width
-                best = value if best is None else np.maximum(best, value)
-            rows.append(best)
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def work() -> None:
+            for (d, _), value in zip(held, self.maxima([p for _, p in held]) if held else ()):
+                if d == len(rows):
+                    rows.append(value)
+                else:
+                    rows[d] = np.maximum(rows[d], value)
+            held.clear()
+
+        for part in self.parts(texts):
+            held.append(part)
+            size += len(part[1])
+            if size >= self.most:
+                work()
+                size = 0
+        work()
         out = np.array(rows, np.float32).reshape(-1, len(self.net.out))
         return np.maximum(out + self.net.bias, 0) @ self.net.out + self.net.offset
 
@@ -263,26 +318,21 @@ def learnt(rows: DataFrame, nets: list[TextNetwork], parts: int, seed: int) -> l
         return pa.RecordBatch.from_arrays([pa.array(net, pa.int32()), pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(list(weight), pa.list_(pa.float64())), pa.array([v.ravel() for v in value], pa.list_(pa.float32()))], names=["net", "block", "part", "weight", "value"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, learners, now = Words(), [], None
+        learners, now = [], None
 
         def ended() -> Iterator[pa.RecordBatch]:
             for k, learner in enumerate(learners):
-                learner.step(words)
+                learner.step()
                 yield batch_of([(k, block, now, weight, value.astype(np.float32)) for block, weight, value in learner.blocks()])
 
-        for batch in slices(batches, "text"):
-            for part, fold, label, text in zip(*(batch.column(c).to_pylist() for c in ("part", "fold", "label", "text"))):
+        for batch in slices(batches, "text", 1 << 20):
+            for part, fold, label, keys in zip(*(batch.column(c).to_pylist() for c in ("part", "fold", "label")), word_keys(batch.column("text").to_pylist())):
                 if part != now:
                     yield from ended()
                     learners, now = [Learner(n.copy()) for n in sent.value], part
-                if len(words.ids) > words.most:
-                    for learner in learners:
-                        learner.step(words)
-                    words.clear()
-                ids = words.numbered(words_of(text))
                 for k, learner in enumerate(learners):
                     if fold != k - 1:
-                        learner.add(ids, label, words)
+                        learner.add(keys, label)
         yield from ended()
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
