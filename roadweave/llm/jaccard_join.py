@@ -76,7 +76,7 @@ def sketches(docs: DataFrame, jaccard: float, size: int = 5) -> DataFrame:
     """A row per document and level: its set's size and 128-bit hash, and its keys and bitmap at the level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             rows = []
             for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text").to_pylist(), size)):
                 n = len(s)
@@ -140,7 +140,7 @@ def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, jaccard: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held = None, []
-        for part in slices(batches, "v"):
+        for part in slices(batches, "v", 1 << 20):
             keep = []
             for a, k, b, n, v in zip(*(part.column(c).to_pylist() for c in ("a", "part", "b", "n", "v"))):
                 if (a, k) != family:
@@ -347,7 +347,7 @@ def similar_groups(docs: DataFrame, jaccard: float = 0.75, size: int = 5, doc_id
     scratch.drop(shared)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             found = shingle_sets(part.column("text").to_pylist(), size)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([folded(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "n", "folded", "shingles"])
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import Scratch, held_out, slices, table
+from roadweave.llm.common import Scratch, held_out, slices, small_table, table
 from roadweave.llm.labelled import labelled_rows
 
 SHRINK = 0.10  # weight of the pooled covariance in a class's own
@@ -157,7 +157,7 @@ def measured(rows: DataFrame) -> DataFrame:
     """label and statistics of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([statistics(t) for t in part.column("text").to_pylist()], pa.list_(pa.float64()))], names=["label", "x"])
 
     return rows.select("label", "text").mapInArrow(run, "label int, x array<double>")
@@ -197,11 +197,22 @@ def moments(rows: DataFrame) -> list[Moments]:
     return out
 
 
+def summed_curve(raw: DataFrame, at: DataFrame) -> DataFrame:
+    """curve_sums over raw's rows (label, raw), each of weight 1, for the slope and offset of at's only row.
+
+    The sums are decimals, which add up to the same in any order. As columns, slope and offset leave the code that Spark generates
+    the same for all of Newton's steps; as literals, each step's code would be compiled, and kept, by every executor.
+    """
+    rows = raw.crossJoin(F.broadcast(at))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("slope") * F.col("raw") + F.col("offset")))))
+    r, w, e = F.col("raw"), p * (1 - p), p - F.col("label")
+    return rows.select(*(F.sum(t.cast("decimal(28,15)")) for t in (e * r, e, w * r * r, w * r, w)))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
     """Fits on the statistics of all training documents, whole; executors add them up, so that the driver gets sums alone.
 
-    The statistics, 18 numbers a document, are kept in the shared folder for the time of the fit. The curve's sums are decimals, which add up to the same
-    in any order, so reruns agree.
+    The statistics, 18 numbers a document, are kept in the shared folder for the time of the fit. Reruns agree.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.stored(measured(labelled_rows(docs, labels, label)), "statistics")
@@ -219,9 +230,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> D
         raw = scratch.stored(rows.mapInArrow(run, "label int, raw double"), "differences")
 
         def sums(a: float, b: float) -> tuple[float, ...]:
-            p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.col("raw") + b))))
-            r, w, e = F.col("raw"), p * (1 - p), p - F.col("label")
-            return tuple(float(v or 0) for v in raw.select(*(F.sum(t.cast("decimal(28,15)")) for t in (e * r, e, w * r * r, w * r, w))).first())
+            return tuple(float(v or 0) for v in summed_curve(raw, small_table(scratch.spark, [[a], [b]], "slope double, offset double")).first())
 
         model.calibrate(sums, counts)
         scratch.drop(raw)

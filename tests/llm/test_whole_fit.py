@@ -114,3 +114,27 @@ def test_toxicity_scoring_time():
 
     plain, own = (min(seconds(f) for _ in range(3)) for f in (lambda: [words_of(t) for t in texts], lambda: scorer.score(texts)))
     assert own <= 15 * plain
+
+
+def test_curve_sums_share_their_code(spark):
+    """Each of Newton's steps had its numbers in code of its own, which every executor compiled and kept."""
+    from roadweave.llm.common import small_table
+    from roadweave.llm.quality import curve_sums, summed_curve
+
+    r = random.Random(9)
+    rows = [(k % 2, r.gauss(k % 2, 1.0)) for k in range(500)]
+    raw = spark.createDataFrame(rows, "label int, raw double").repartition(3).localCheckpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        codes = set()
+        for a, b in ((0.1, -1.25), (0.6, 0.375)):
+            got = summed_curve(raw, small_table(spark, [[a], [b]], "slope double, offset double"))
+            y, x = np.array(rows).T
+            assert np.allclose([float(v) for v in got.first()], curve_sums(a, b, x, y, np.ones(len(x))))
+            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+            shown = got._jdf.queryExecution().explainString(mode)
+            codes.add("\n".join(line.split("*/", 1)[1] for line in shown.splitlines() if line.startswith("/* ") and "*/" in line))
+        assert len(codes) == 1 and next(iter(codes))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
