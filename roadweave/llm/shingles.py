@@ -6,7 +6,7 @@ import numpy as np
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 1 << 18  # bytes hashed at a time, which take about 50 times their size
+_PIECE = 1 << 18  # bytes hashed at a time, each of which takes several 64-bit numbers
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
