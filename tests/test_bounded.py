@@ -69,3 +69,54 @@ def test_clustering_needs_no_matrix_of_all_points():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(labels) == 7000 and peak < 8 * 7000 * 7000
+
+
+def test_tracking_needs_no_matrix_of_a_frame(monkeypatch):
+    """Pairs are those of the whole matrix, and a frame of many boxes takes memory by its boxes."""
+    r = np.random.default_rng(5)
+    at = r.random((60, 2)) * [300, 200]
+    boxes = lambda f: np.hstack([at + 2 * f, at + 2 * f + 30 + r.integers(0, 9, (60, 2))]).round()
+    frames = [(boxes(f), r.random(60), [("car", "bus")[k] for k in r.integers(0, 2, 60)], [None if k % 7 == 0 else np.eye(4)[k % 4] for k in range(60)]) for f in range(12)]
+
+    def found(whole, looks):
+        monkeypatch.setattr(T, "WHOLE", whole)
+        monkeypatch.setattr(T, "HELD", 200)
+        tracker = T.Tracker(keep_lost=2)
+        return [[(i, tuple(box), c, m) for i, box, c, m in tracker.step(f, b, conf, modes, feats if looks else [None] * 60)] for f, (b, conf, modes, feats) in enumerate(frames)]
+
+    for looks in (False, True):
+        assert found(0, looks) == found(1 << 20, looks) and found(0, looks)[-1]
+    monkeypatch.undo()
+    y, x = np.divmod(np.arange(4000), 80)
+    many = np.stack([60.0 * x, 60.0 * y, 60.0 * x + 40, 60.0 * y + 30], 1)
+    tracker, none = T.Tracker(), [None] * 4000
+    tracemalloc.start()
+    seen = [len(tracker.step(f, many + 3 * f, np.full(4000, 0.9), ["car"] * 4000, none)) for f in range(3)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [0, 4000, 4000] and peak < 8 * 4000 * 4000
+
+
+def test_tracking_holds_a_frame_at_a_time(spark):
+    """Rows come in parts that may split a frame, and a frame's tracks leave before the rest is read."""
+    places = [(300.0, 200.0), (420.0, 500.0), (900.0, 350.0)]
+    rows = [(v, f, x + 3 * f, y, x + 3 * f + 40, y + 30, 0.9, "car") for v in (None, "u", "v") for f in (*range(5), *range(8, 12)) for x, y in places]
+    df = spark.createDataFrame(rows, "video_id string, frame int, x1 double, y1 double, x2 double, y2 double, conf double, mode string")
+    g = df.toPandas().sort_values(list(T.ORDER))
+    of = lambda out: {(None if isinstance(r[0], float) else r[0], *r[1:]) for r in out}
+    want = set()
+    for v in (None, "u", "v"):
+        one = g[g["video_id"].isna() if v is None else g["video_id"] == v]
+        want |= of(T.tracked_frames(T.Tracker(), one).itertuples(index=False, name=None))
+    assert len(want) == 3 * 8 * 3
+    read = []
+    parts = (read.append(k) or g.iloc[k : k + 2] for k in range(0, len(g), 2))
+    out = T.tracked_videos(parts)
+    first = next(out)
+    assert len(first) == 3 and len(read) < 6
+    assert of(r for d in (first, *out) for r in d.itertuples(index=False, name=None)) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert of(tuple(r) for r in T.tracked(df).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
