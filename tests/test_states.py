@@ -45,3 +45,23 @@ def test_states_of_repeated_tracks(spark):
     rows, tracks = [(1, 0, True, 5.0), (1, 0, True, 5.0), (2, 0, True, 5.0)], [(1, 0, False), (1, 3, False), (2, 1, False), (2, 1, True)]
     want = [(1, 0, False, "moving", k) for k in (1, 3)] * 4 + [(2, 0, False, "moving", 2), (2, 0, True, "parked", 2)]
     assert states(spark, rows, tracks) == sorted(want, key=repr)
+
+
+def test_ranges_of_ranks_go_by_the_number_of_tracks(spark, monkeypatch):
+    """Few tracks are ranked by one task, more by more, with the same display ids."""
+    dealt, ranked = [], T.ranked
+
+    def seen(*args, **named):
+        out = ranked(*args, **named)
+        dealt.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(T, "ranked", seen)
+    rows = spark.range(90).selectExpr("id AS track_id", "0 AS frame", "true AS kinematics_valid", "1D AS speed_mps")
+    summary = spark.range(90).selectExpr("id AS track_id", "cast(id % 7 AS int) AS f0", "id % 3 = 0 AS parked")
+    live = sorted((k % 7, k) for k in range(90) if k % 3)
+    want = {k: live.index((k % 7, k)) + 1 if k % 3 else None for k in range(90)}
+    for n in (100, 10):
+        monkeypatch.setattr(T, "TRACKS_A_RANGE", n, raising=False)
+        assert {r["track_id"]: r["display_id"] for r in T.motion_states(rows, summary).collect()} == want
+    assert dealt == [1, 7]
