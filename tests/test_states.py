@@ -1,8 +1,12 @@
 """Motion states: what joins the rows to their tracks' verdicts, and how often the tracks are computed for it."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from roadweave.operators import tracks as T
+from roadweave.params import MotionParams
 
 ROWS = "track_id long, frame int, kinematics_valid boolean, speed_mps double"
 TRACKS = "track_id long, f0 int, parked boolean"
@@ -65,3 +69,28 @@ def test_ranges_of_ranks_go_by_the_number_of_tracks(spark, monkeypatch):
         monkeypatch.setattr(T, "TRACKS_A_RANGE", n, raising=False)
         assert {r["track_id"]: r["display_id"] for r in T.motion_states(rows, summary).collect()} == want
     assert dealt == [1, 7]
+
+
+def test_window_steps_keep_the_order_of_the_rows(spark):
+    """Against a loop over each segment's taken rows: null and unplaced rows, null tracks, segments shorter than a window and single rows. One sort serves all of it."""
+    r = random.Random(7)
+    p = MotionParams(path_interval_s=0.4, parked_window_s=1.6)  # at 5 frames a second every second row, four of them a window
+    rows, want = [], {}
+    for track in (1, 2, 3, 4, 5, None):
+        for segment, n in enumerate((1, 2, 7, r.randrange(8, 12), 30)):
+            places = [(None if r.random() < 0.2 else r.uniform(-9, 9), None if r.random() < 0.2 else r.uniform(-9, 9)) for _ in range(n)]
+            taken = [k for k in range(0, n, 2) if None not in places[k]]
+            for k, (x, y) in enumerate(places):
+                rows.append((track, segment, 50 * segment + k, x, y))
+                i = taken.index(k) if k in taken else -1
+                back = 0 if 1 < len(taken) <= 4 and i == len(taken) - 1 else i - 4
+                want[track, 50 * segment + k] = math.hypot(x - places[taken[back]][0], y - places[taken[back]][1]) if i >= 0 and back >= 0 else None
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "track_id long, segment int, frame int, world_x_m double, world_y_m double")
+    out = T.with_window_steps(df, 5.0, p)
+    assert out.columns == [*df.columns, "_away_m"]
+    got = {(x["track_id"], x["frame"]): x["_away_m"] for x in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] is want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert sum(v is not None for v in want.values()) > 40
+    assert T.with_window_steps(df.where("false"), 5.0, p).count() == 0
+    assert T.with_window_steps(df, 5.0, p)._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
